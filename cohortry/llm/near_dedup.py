@@ -8,8 +8,8 @@ Candidates. Texts with equal sets collapse to one class first. Classes of over `
 registers each; two sets at the threshold share no key with a probability of about 1e-6. Classes of up to `PREFIX` shingles
 emit the n - ceil(0.75 n) + 1 smallest hashes instead, which misses no pair that has a set of up to `SMALL` shingles. Both
 kinds of key are joined to the smallest class that has the key (no pairs within a group); estimates prune, full sets confirm,
-components merge. Keys whose classes are then in several components have their cross-component pairs compared in blocks of
-registers; pairs that pass the estimate are verified and merged as well. Every candidate pair is thus either within a
+components merge. Keys whose classes are then in several components are compared in blocks: pairs across
+components that pass the estimate are verified in place, and only links that join what wasn't joined leave the block. Every candidate pair is thus either within a
 component already, or estimated far below the threshold, or verified.
 
 Null or word-less texts link with nothing. Repeated rows, equal ids and null ids are kept as rows; a null id never names a
@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .base import cut, saved
 from .components import connected_components
@@ -36,7 +37,8 @@ BANDS, ROWS = 40, 4
 SMALL, PREFIX = 96, 128
 #: Estimates below this don't go to verification: five standard deviations or more under the threshold.
 PRUNE = 0.5
-BLOCK = 1024
+#: Rows, and their shingles, in a block of a key.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 
 def _orders(seed: int, rows: int) -> np.ndarray:
@@ -116,9 +118,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, n = shingle_sets(data, offsets)
             regs = registers(h, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(prints(h, n)),
+                [batch.column("doc_id").slice(i, j - i), batch.column("tag").slice(i, j - i), pa.array(n, pa.int64()), pa.array(prints(h, n)),
                  pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(keys(h, n, regs), pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "regs", "keys"],
+                ["doc_id", "tag", "n", "node", "regs", "keys"],
             )
 
 
@@ -153,19 +155,46 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair of a key that lie in different components and pass the estimate."""
+    """Links that join components, of one block pair of a key: pairs of rows of different components that pass the estimate are
+    verified on their full sets in place; of the links found only those that join what wasn't joined yet come out."""
     regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, BUCKETS)
-    node, comp, n, part = (pdf[c].to_numpy() for c in ("node", "component", "n", "part"))
+    node, n, part = (pdf[c].to_numpy() for c in ("node", "n", "part"))
+    comp = pdf["component"].to_numpy().copy()
     same_block = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
     left = np.arange(len(pdf)) if same_block else np.flatnonzero(part == pdf["x"].iloc[0])
     right = left if same_block else np.flatnonzero(part == pdf["y"].iloc[0])
-    found = []
+    near = {}
     for i in left:
         others = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (not same_block))]
         others = others[np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * THRESHOLD]
         if len(others):
-            good = others[estimate(regs[others], regs[i][None], n[others], n[i]) >= PRUNE]
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in good]
+            others = others[estimate(regs[others], regs[i][None], n[others], n[i]) >= PRUNE]
+            if len(others):
+                near[i] = others
+    if not near:
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    used = np.unique(np.concatenate([np.fromiter(near, np.int64), *near.values()]))
+    texts = pdf["text"].to_numpy()
+    sets = [set_of(texts[i]) for i in used]
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    starts = ends - [len(x) for x in sets]
+    at = dict(zip(used.tolist(), range(len(used)), strict=True))
+    mark, found = np.zeros(len(values), bool), []
+    for i, others in near.items():
+        others = others[comp[others] != comp[i]]
+        if not len(others):
+            continue
+        own = flat[starts[at[i]] : ends[at[i]]]
+        mark[own] = True
+        for j in others:
+            if comp[j] != comp[i]:
+                other = flat[starts[at[j]] : ends[at[j]]]
+                both = int(np.count_nonzero(mark[other]))
+                if 100 * both >= THRESHOLD * (len(own) + len(other) - both):
+                    found.append((node[i], node[j]))
+                    comp[comp == comp[j]] = comp[i]
+        mark[own] = False
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -176,13 +205,15 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
+def row_name() -> Column:
+    """A name for a row by its id and text."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
 
-    component_id is the smallest id among the rows linked, null if none of them has one; kept: the row's id is that.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = saved(docs.mapInArrow(_sketch, "doc_id long, n long, node long, regs binary, keys array<long>"), "sketches")
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (row_name), n_shingles, group (names the component), component_id (its smallest id, or null) of each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_name().alias("tag"))
+    rows = saved(docs.mapInArrow(_sketch, "doc_id long, tag long, n long, node long, regs binary, keys array<long>"), "sketches")
     unique = saved(rows.where("n > 0").select("node", "n", "regs", "keys").dropDuplicates(["node"]), "classes")
     sketch = unique.select("node", "n", "regs")
 
@@ -198,20 +229,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = saved(_confirm(tested, texts), "links")
     label = connected_components(links)
 
-    placed = members.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    # a key of two classes had its only pair tested
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least < most and size > 2")
-    spread = placed.join(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "key")
+    placed = members.join(label, "node", "left").join(unique.select("node", "n"), "node").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    # a key of two classes had its only pair tested; of keys with the same classes one is enough
+    open_keys = placed.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("n").alias("shingles"))
+    open_keys = open_keys.where("least < most and size > 2").groupBy("who", "size").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    spread = placed.join(open_keys.select("key", parts.alias("parts")), "key")
     spread = spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("key", "node", "component", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).join(sketch, "node")
-    across = spread.groupBy("key", "x", "y").applyInPandas(_across, "a long, b long").distinct()
-    more = saved(_confirm(across, texts), "links")
+    spread = spread.select("key", "node", "component", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    more = saved(spread.join(sketch, "node").join(texts, "node").groupBy("key", "x", "y").applyInPandas(_across, "a long, b long"), "links")
     label = cut(connected_components(links.union(more)))
 
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("id"))
-    linked = label.join(ids, "node")
-    least = linked.groupBy("component").agg(F.min("id").alias("least"))
-    ids = ids.join(label.join(least, "component").select("node", "least"), "node", "left").select("node", F.least("id", "least").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(ids, "node")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    held = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
+    held = held.join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
+    least = held.groupBy("group").agg(F.min("id").alias("component_id"))
+    out = rows.select("doc_id", "tag", "n", "node").join(held.join(least, "group").select("node", "group", "component_id"), "node", "left")
+    empty = F.col("n") == 0
+    return out.select(
+        "doc_id", "tag", F.col("n").alias("n_shingles"), F.when(empty, F.col("tag")).otherwise(F.col("group")).alias("group"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
+
+    component_id is the smallest id among the rows linked, null if none of them has one; kept: the row's id is that.
+    """
+    out = groups(docs).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group, that of the smallest id (null only if none has one); texts without words all stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
+    winners = groups(docs).groupBy("group", F.col("n_shingles") == 0).agg(first.alias("w")).select(F.col("w.tag").alias("tag"))
+    full = docs.select(F.struct("*").alias("doc"), row_name().alias("tag")).join(winners, "tag", "left_semi")
+    full = full.withColumn("nth", F.row_number().over(W.partitionBy("tag").orderBy("tag"))).where("nth = 1")
+    return full.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
