@@ -75,12 +75,12 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, bloc
     lead = F.row_number().over(W.partitionBy("conv_id").orderBy("block")) == 1
     out = out.withColumn("own", has & lead)
     out = out.withColumn("room", F.greatest(F.lit(budget) - _tokens(F.col("system")) - history, F.lit(1)))
-    # by prefix sums: whether a turn is the first of its window
+    # by prefix sums, the window of each turn: whether a turn is the first of its window
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("base"), F.array().cast("array<int>").alias("window"))
 
     def step(s: Column, t: Column) -> Column:
         after = s["sum"] + t["tokens"]
-        last = F.coalesce(F.element_at(s["window"], F.greatest(F.size(s["window"]), F.lit(1))), F.lit(0))
+        last = F.coalesce(F.get(s["window"], F.size(s["window"]) - 1), F.lit(0))
         cut = (after - s["base"] > F.col("room")) & (s["sum"] > s["base"])
         return F.struct(after.alias("sum"), F.when(cut, s["sum"]).otherwise(s["base"]).alias("base"), F.concat(s["window"], F.array(F.when(cut, last + 1).otherwise(last).cast("int"))).alias("window"))
 

@@ -55,7 +55,7 @@ def test_chat_edges(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash")).withColumn("turns", F.lit(1))
     made = chat.format_chat(df).cache()
     assert chat_got(chat.digests(chat.read_chat(made))) == expected(rows)
-    assert chat.format_chat(df.where("turn = 99")).count() == 0
+    assert chat.format_chat(df.where("turn = 9999")).count() == 0
     # windows hold to the budget unless one turn alone is over it, and show the system turn and bounded history
     for r in chat.windows(df).collect():
         new = [t.tokens for t in r.new]
@@ -64,7 +64,6 @@ def test_chat_edges(spark):
         assert sum(t.tokens for t in r.repeated) <= chat.HISTORY
         if r.conv_id == 5:
             assert [t.turn for t in r.system] == [0]
-            assert r.window + r.block == 0 or r.repeated or r.new[0].turn <= 1 or True
     five = [r for r in made.where("conv_id = 5").orderBy("block", "window").collect()]
     assert len(five) > 5 and all(r.formatted.startswith("<|turn|>system<|text|>") for r in five)
 
@@ -112,7 +111,7 @@ def test_quality_edges(spark):
     own = lambda k: "\n".join(" ".join(f"{k}_{i}_{j}" for j in range(12)) for i in range(6))
     common = "Cookies  are\tused HERE 7 times"
     rows = [(1, None, "a"), (2, "", None), (3, " \n\t\n", "a"), (4, long, "a"), (5, "a b a b a b " * 20, "b"), (6, "same\nsame\n\nsame", "b"), (None, own("x"), "b"), (7, own("y"), "a"), (7, own("y"), "a")]
-    rows += [(100 + k, f"{common.replace('7', str(k))}\n" * (200 if k % 5 == 0 else 1) + own(k), "c") for k in range(40)]
+    rows += [(100 + k, f"{common.replace('7', str(k % 10))}\n" * (200 if k % 5 == 0 else 1) + own(k), "c") for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit(1)).withColumn("kept", F.lit("k")).withColumn("common", F.lit(0))
     out = quality.quality(df)
     assert quality_got(out) == brute_quality(rows)
@@ -150,7 +149,7 @@ def test_mix_whole_table(spark, sf_dir):
         used[r.source] += r.n_tokens
     p = {s: x / sum(own.values()) for s, x in own.items()}
     top = max(p, key=p.get)
-    x = 1 - math.log(2) / math.log(p[top] / min(p.values()))
+    x = max(0, 1 - math.log(2) / math.log(p[top] / min(p.values())))
     for s in p:
         quota = own[top] * (p[s] / p[top]) ** x
         assert quota - 1 <= used[s] <= quota + max(n.values()), s
