@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import experiments, forecasts, journeys, relational, series  # noqa: F401  registers their queries
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "mea_variant_stats_3way"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
