@@ -85,9 +85,9 @@ def collapse_dims(df: DataFrame, dims: Sequence[str], values: Sequence[str], ran
     Ties go to the first combination by dims. Only the k winners are broadcast.
     """
     totals = df.groupBy(*dims).agg(F.sum(rank_by).alias("_total"))
-    top = totals.orderBy(F.desc("_total"), *dims).limit(k).select(*dims).withColumn("_top", F.lit(True))
-    cond = [df[d].eqNullSafe(top[d]) for d in dims]
-    marked = df.join(F.broadcast(top), cond, "left").select(*[F.when(F.col("_top"), df[d]).otherwise(F.lit(fallback)).alias(d) for d in dims], *[df[c] for c in (*keep, *values)])
+    top = totals.orderBy(F.desc("_total"), *dims).limit(k).select(*[F.col(d).alias(f"_{d}") for d in dims], F.lit(True).alias("_top"))
+    cond = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims]
+    marked = df.join(F.broadcast(top), cond, "left").select(*[F.when(F.col("_top"), F.col(d)).otherwise(F.lit(fallback)).alias(d) for d in dims], *keep, *values)
     return marked.groupBy(*dims, *keep).agg(*[F.sum(v).alias(v) for v in values])
 
 

@@ -191,7 +191,10 @@ def _differenced(df: DataFrame, value: str, time_col: str | None, baseline: int
     """_d: the value, or the value less the centred rolling median of 2 * baseline + 1 rows."""
     x = F.col(value).cast("double")
     if baseline is not None:
-        x = x - F.median(x).over(W.partitionBy(*dims).orderBy(time_col).rowsBetween(-baseline, baseline))
+        near = F.sort_array(F.collect_list(x).over(W.partitionBy(*dims).orderBy(time_col).rowsBetween(-baseline, baseline)))
+        df = df.withColumn("_near", near)
+        middle = (F.get("_near", F.floor((F.size("_near") - 1) / 2).cast("int")) + F.get("_near", F.floor(F.size("_near") / 2).cast("int"))) / 2
+        return df.withColumn("_d", x - middle).drop("_near")
     return df.withColumn("_d", x)
 
 

@@ -162,7 +162,7 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return J.count_sequences(daily(spark, sf), 3)
 
 
-@query(f"""WITH {_C3}, p AS (SELECT s1 || '_1' AS source, s2 || '_2' AS target, n FROM c WHERE s2 IS NOT NULL UNION ALL SELECT s2 || '_2', s3 || '_3', n FROM c WHERE s3 IS NOT NULL UNION ALL SELECT s1 || '_1', s1 || '_2', n FROM c WHERE s2 IS NULL)
+@query(f"""WITH {_C3}, p AS (SELECT s1 || '_1' AS source, s2 || '_2' AS target, n FROM c WHERE s2 IS NOT NULL UNION ALL SELECT s2 || '_2', s3 || '_3', n FROM c WHERE s3 IS NOT NULL UNION ALL SELECT s1 || '_1', s1 || '_1', n FROM c WHERE s2 IS NULL)
     SELECT source, target, CAST(sum(n) AS BIGINT) AS value FROM p GROUP BY 1, 2""")
 def sankey_links(spark: SparkSession, sf: str) -> DataFrame:
     return J.links(_counts(spark, sf), 3)
@@ -174,7 +174,7 @@ def sankey_links_end(spark: SparkSession, sf: str) -> DataFrame:
     return J.links(_counts(spark, sf), 3, end="End")
 
 
-@query(f"""WITH {_C3}, f AS (SELECT list_filter([s1, s2, s3], x -> x IN ('view', 'purchase')) AS e, n FROM c), g AS (SELECT e[1] AS s1, e[2] AS s2, e[3] AS s3, CAST(sum(n) AS BIGINT) AS seq_count FROM f WHERE len(e) > 0 GROUP BY 1, 2, 3)
+@query(f"""WITH {_C3}, f AS (SELECT list_filter([s1, s2, s3], lambda x: x IN ('view', 'purchase')) AS e, n FROM c), g AS (SELECT e[1] AS s1, e[2] AS s2, e[3] AS s3, CAST(sum(n) AS BIGINT) AS seq_count FROM f WHERE len(e) > 0 GROUP BY 1, 2, 3)
     SELECT s1, s2, s3, seq_count, round(100.0 * seq_count / sum(seq_count) OVER (), 6) AS percent FROM g""")
 def sequence_filter_reagg(spark: SparkSession, sf: str) -> DataFrame:
     return R.rounded(J.filter_sequences(_counts(spark, sf), 3, ["view", "purchase"]))
