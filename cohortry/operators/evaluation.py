@@ -111,7 +111,7 @@ def range_scores(true: DataFrame, pred: DataFrame, alpha: float = 0.5, start: st
         y = others.select(F.col(start).cast("long").alias("c"), F.col(end).cast("long").alias("d")).distinct()
         # ranges are few next to the points that they came from, and meet on their extents
         both = x.join(F.broadcast(y), (F.col("a") <= F.col("d")) & (F.col("c") <= F.col("b")), "left")
-        overlap = F.coalesce(F.sum(F.least("b", "d") - F.greatest("a", "c") + 1), F.lit(0))
+        overlap = F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.least("b", "d") - F.greatest("a", "c") + 1)), F.lit(0))
         each = both.groupBy("a", "b").agg(overlap.alias("o"), F.count("c").alias("k"))
         hit = F.when(F.col("k") > 0, 1.0).otherwise(0.0)
         return each.agg(F.avg(alpha * hit + (1 - alpha) * F.least(F.col("o") / (F.col("b") - F.col("a") + 1), F.lit(1.0))).alias(name))

@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -10,7 +11,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 def spark():
     s = (
         SparkSession.builder.master("local[3]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.adaptive.coalescePartitions.enabled", "true").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", tempfile.mkdtemp()).config("spark.sql.adaptive.coalescePartitions.enabled", "true").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
