@@ -94,7 +94,10 @@ def quality(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, shar
     some = F.size("go") > 0
     out = out.withColumn("spent", F.when(some, chars(F.col("go")) > depleted * chars(full)).otherwise(False))
     out = out.withColumn("clean", F.when(some, left).otherwise(F.col("doc.text"))).withColumn("n_common_lines", F.size("go").cast("long"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("spent")).drop("go", "spent")
+    # this is always so, but not known to be: it keeps a filter on `kept` from being pushed into the steps above, whose arrays
+    # would then be made anew for each of their elements
+    verdict = ~F.col("base_failed") & ~F.col("spent")
+    return out.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, verdict)).drop("go", "spent")
 
 
 SQL = r"""
