@@ -52,7 +52,7 @@ def _tail(turns: Column, most: int) -> Column:
 
 
 def blocks(turns: DataFrame, block_turns: int = BLOCK_TURNS, history: int = HISTORY) -> DataFrame:
-    """conv_id, block, turns, system (array of up to one turn), carried (the turns before the block that fit the history)."""
+    """conv_id, block, turns, system (array of up to one turn), carried (the turns before the block that fit the history), lead (the first block)."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.col("turn").cast("long")
     row = F.struct(turn.alias("turn"), text("role").alias("role"), text("text").alias("text"), F.regexp_count(text("text"), F.lit(TOKEN)).cast("long").alias("tokens"))
@@ -61,10 +61,13 @@ def blocks(turns: DataFrame, block_turns: int = BLOCK_TURNS, history: int = HIST
     first = F.get("turns", F.lit(0))
     none = F.array().cast(f"array<{ROLE}>")
     grouped = grouped.withColumn("first", F.when(first["role"] == "system", F.array(first)).otherwise(none)).withColumn("tail", _tail(F.col("turns"), history))
-    # what blocks hand on is bounded by the history, apart from the system turn
+    # what blocks hand on is bounded by the history, apart from the system turn; only that is put in order by conversation
     order = W.partitionBy("conv_id").orderBy("block")
     before = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return grouped.select("conv_id", "block", "turns", F.first("first").over(before).alias("system"), F.coalesce(F.lag("tail").over(order), none).alias("carried"))
+    handed = grouped.select(
+        F.col("conv_id").alias("c"), F.col("block").alias("b"), F.first("first").over(before).alias("system"), F.coalesce(F.lag("tail").over(order), none).alias("carried"), (F.row_number().over(order) == 1).alias("lead"))
+    both = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))
+    return grouped.drop("first", "tail").join(handed, both).select("conv_id", "block", "turns", "system", "carried", "lead")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, block_turns: int = BLOCK_TURNS) -> DataFrame:
@@ -72,8 +75,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, bloc
     out = blocks(turns, block_turns, history)
     # the system turn is shown by itself, also where it lies in the block
     has = (F.size("system") > 0) & F.get("turns", F.lit(0)).eqNullSafe(F.get("system", F.lit(0)))
-    lead = F.row_number().over(W.partitionBy("conv_id").orderBy("block")) == 1
-    out = out.withColumn("own", has & lead)
+    out = out.withColumn("own", has & F.col("lead"))
     out = out.withColumn("room", F.greatest(F.lit(budget) - _tokens(F.col("system")) - history, F.lit(1)))
     # by prefix sums, the window of each turn: whether a turn is the first of its window
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("base"), F.array().cast("array<int>").alias("window"))
