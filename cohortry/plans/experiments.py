@@ -217,3 +217,40 @@ def interaction_cells(spark: SparkSession, sf: str) -> DataFrame:
     df = joined(spark, sf, 2).withColumn("trigger_state", E.shown(E.trigger_state(F.col("variant"))))
     x = F.coalesce("revenue", F.lit(0.0))
     return R.rounded(df.groupBy("trigger_state", "variant_1", "variant_2").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")), 3)
+
+
+@query(f"""WITH {merged_sql(3)}, p AS (SELECT 1 AS source, 2 AS target, variant_1 AS r, variant_2 AS c FROM merged UNION ALL SELECT 1, 3, variant_1, variant_3 FROM merged UNION ALL SELECT 2, 1, variant_2, variant_1 FROM merged
+    UNION ALL SELECT 2, 3, variant_2, variant_3 FROM merged UNION ALL SELECT 3, 1, variant_3, variant_1 FROM merged UNION ALL SELECT 3, 2, variant_3, variant_2 FROM merged),
+    o AS (SELECT source, target, r, c, count(*) AS n FROM p WHERE r <> 'nan' GROUP BY ALL),
+    g AS (SELECT a.source, a.target, a.r, b.c, coalesce(o.n, 0) AS n FROM (SELECT DISTINCT source, target, r FROM o) a JOIN (SELECT DISTINCT source, target, c FROM o) b ON a.source = b.source AND a.target = b.target
+          LEFT JOIN o ON o.source = a.source AND o.target = a.target AND o.r = a.r AND o.c = b.c),
+    e AS (SELECT *, sum(n) OVER (PARTITION BY source, target, r) * sum(n) OVER (PARTITION BY source, target, c) / sum(n) OVER (PARTITION BY source, target) AS x FROM g)
+    SELECT source, target, round(sum((n - x) ** 2 / x), 6) AS statistic, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS BIGINT) AS dof,
+           round(sqrt(sum((n - x) ** 2 / x) / (sum(n) * (least(count(DISTINCT r), count(DISTINCT c)) - 1))), 6) AS cramers_v FROM e GROUP BY 1, 2""")
+def trigger_invariance_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.assumptions import trigger_invariance
+
+    _, pairs, _ = trigger_invariance(E.variant_counts(E.merge_experiments(experiments(spark, sf, 3))))
+    rows = [(t.source, t.target, t.statistic, t.dof, t.cramers_v) for t in pairs]
+    return R.rounded(spark.createDataFrame(rows, "source int, target int, statistic double, dof long, cramers_v double"))
+
+
+@query()
+def metric_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.assumptions import metric_interaction as test
+
+    found = test(E.variant_stats(joined(spark, sf, 2), ["revenue"]))
+    return spark.createDataFrame([(list(t.trigger_state), t.f, t.p_value, t.dof[0], t.dof[1], t.passed) for t in found], "trigger_state array<boolean>, f double, p_value double, dof_1 long, dof_2 long, passed boolean")
+
+
+@query(f"""WITH {merged_sql(2)}, {REVENUE}, j AS (SELECT unit, variant, coalesce(revenue, 0) AS x, coalesce(n_orders, 0) AS y FROM merged LEFT JOIN rev USING (unit)), {BUCKETS},
+    s AS (SELECT CASE WHEN variant IN ({_in(_launch(2).treatment)}) THEN 't' WHEN variant IN ({_in(_launch(2).control)}) THEN 'c' END AS side, variant, jk, x, y FROM b),
+    v AS (SELECT side, variant, sum(x) AS x, sum(y) AS y, count(*) AS n FROM s WHERE side IS NOT NULL GROUP BY 1, 2), p AS (SELECT side, variant, jk, sum(x) AS x, sum(y) AS y, count(*) AS n FROM s WHERE side IS NOT NULL GROUP BY 1, 2, 3),
+    k AS (SELECT range AS jk FROM range({B})),
+    l AS (SELECT k.jk, v.side, v.n AS w, (v.x - coalesce(p.x, 0)) / (v.n - coalesce(p.n, 0)) AS mx, (v.y - coalesce(p.y, 0)) / (v.n - coalesce(p.n, 0)) AS my FROM k CROSS JOIN v LEFT JOIN p ON p.jk = k.jk AND p.variant = v.variant),
+    r AS (SELECT jk, sum(CASE WHEN side = 't' THEN w * mx END) / sum(CASE WHEN side = 't' THEN w * my END) - sum(CASE WHEN side = 'c' THEN w * mx END) / sum(CASE WHEN side = 'c' THEN w * my END) AS rep FROM l GROUP BY 1),
+    f AS (SELECT sum(CASE WHEN side = 't' THEN x END) / sum(CASE WHEN side = 't' THEN y END) - sum(CASE WHEN side = 'c' THEN x END) / sum(CASE WHEN side = 'c' THEN y END) AS full_delta FROM v)
+    SELECT 'launch' AS pair, round(full_delta - ({B} - 1) * (avg(rep) - full_delta), 2) AS delta, round(sqrt(({B} - 1) * var_pop(rep)), 2) AS se FROM r, f GROUP BY full_delta""")
+def jackknife_pair_effect(spark: SparkSession, sf: str) -> DataFrame:
+    df = E.bucketed(joined(spark, sf, 2).select("unit", "variant", "revenue", "n_orders"), ["unit"], B)
+    return R.rounded(E.pair_effects(df, Metric("revenue", denominator="n_orders"), [_launch(2)], B).select("pair", "delta", "se"), 2)

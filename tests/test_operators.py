@@ -189,3 +189,43 @@ def test_selection_prefers_the_better(spark):
     assert found.first().score == 0 and '"period": 7' in found.first().params
     assert selection.candidate_id({"a": 1, "b": 2}) == selection.candidate_id({"b": 2, "a": 1})
     assert selection.stepwise(run, [{"period": [5, 6]}, {"period": [7]}], {}, ["cutoff"], tie=["ts"])[0] == {"period": 7}
+
+
+def test_assumptions(spark):
+    from cohortry.operators.assumptions import metric_interaction, trigger_invariance
+
+    even = [((a, b), 250.0) for a in ("control", "v1") for b in ("control", "on", "nan")] + [(("nan", b), 900.0) for b in ("control", "on")]
+    moved = [(v, n * (2 if v == ("v1", "nan") else 1)) for v, n in even]
+    frame = lambda x: spark.createDataFrame([(list(v), int(n)) for v, n in x], "variant array<string>, variant_count long")
+    sources, pairs, passed = trigger_invariance(frame(even))
+    assert passed and len(sources) == 2 and len(pairs) == 2 and all(t.p_value > 0.9 for t in sources)
+    assert not trigger_invariance(frame(moved))[2]
+    stats = [(["c", "c"], 100, 100.0, 200.0), (["c", "x"], 100, 200.0, 500.0), (["v", "c"], 100, 200.0, 500.0), (["v", "x"], 100, 500.0, 2600.0), (["v", "nan"], 9, 1.0, 1.0)]
+    found = metric_interaction(spark.createDataFrame(stats, "variant array<string>, sample_count long, sum double, sum_sq double"))
+    assert len(found) == 1 and not found[0].passed and found[0].dof == (1, 396)
+
+
+def test_pair_effects_by_jackknife(spark):
+    rng = np.random.default_rng(3)
+    n = 600
+    arm = [["control"], ["v1"]]
+    data = [(i, arm[i % 2], float(rng.normal(10 + 2 * (i % 2), 1)), float(rng.integers(1, 4))) for i in range(n)]
+    df = spark.createDataFrame(data, "unit long, variant array<string>, x double, y double")
+    r = experiments.pair_effects(experiments.bucketed(df, ["unit"], 20), Metric("x", denominator="y"), [ComparisonPair((("v1",),), (("control",),), "p")]).first()
+    side = lambda k: sum(d[2] for d in data if d[0] % 2 == k) / sum(d[3] for d in data if d[0] % 2 == k)
+    assert abs(r.delta - (side(1) - side(0))) < 0.05 and r.ci_lower < r.delta < r.ci_upper and r.p_value < 1e-3
+    m = experiments.pair_effects(experiments.bucketed(df, ["unit"], 20), Metric("x"), [ComparisonPair((("v1",),), (("control",),), "p")]).first()
+    assert abs(m.delta - 2) < 0.3
+
+
+def test_flow(spark):
+    from cohortry.operators.flow import Flow
+
+    ev = spark.createDataFrame([(u, DAY + timedelta(days=d, hours=u), float(d % 7 + 1)) for d in range(35) for u in range(3)], "u long, t timestamp, v double")
+    flow = Flow(MetricSource("s", "u", (UnitMetric("v", "SUM", "v"),), (Metric("v"),)), "v", "t", params={"k": 2})
+    ahead = flow.forecast(ev).where("stage = 'forecast'")
+    assert ahead.count() == 7 and ahead.where("metric_id = 'v' and algo_name = 'simple'").count() == 7
+    overall = flow.evaluate(ev, 35).where("horizon_step is null").first()
+    assert overall.mae == 0 and overall.coverage == 1
+    with pytest.raises(ValueError):
+        Flow(flow.source, "v", "t", algorithm="other").forecast(ev)
