@@ -109,8 +109,10 @@ def range_scores(true: DataFrame, pred: DataFrame, alpha: float = 0.5, start: st
     def score(of: DataFrame, others: DataFrame, name: str) -> DataFrame:
         x = of.select(F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b")).distinct()
         y = others.select(F.col(start).cast("long").alias("c"), F.col(end).cast("long").alias("d")).distinct()
-        # ranges are few next to the points that they came from, and meet on their extents
-        both = x.join(F.broadcast(y), (F.col("a") <= F.col("d")) & (F.col("c") <= F.col("b")), "left")
+        # ranges meet on the days that they touch, so it's an equi-join
+        days = lambda p, q: F.explode(F.sequence(F.floor(F.col(p) / 86400), F.floor(F.col(q) / 86400))).alias("day")
+        met = x.select("*", days("a", "b")).join(y.select("*", days("c", "d")), "day").where("a <= d and c <= b").drop("day").distinct()
+        both = x.join(met, ["a", "b"], "left")
         overlap = F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.least("b", "d") - F.greatest("a", "c") + 1)), F.lit(0))
         each = both.groupBy("a", "b").agg(overlap.alias("o"), F.count("c").alias("k"))
         hit = F.when(F.col("k") > 0, 1.0).otherwise(0.0)
@@ -140,7 +142,7 @@ def live_forecasts(df: DataFrame, max_days: int, cutoffs: DataFrame | None = Non
     step = F.date_diff(F.col(date).cast("date"), F.col(cutoff).cast("date"))
     rows = df.where("stage = 'forecast'").withColumn("horizon_step", step).where(F.col("horizon_step").between(1, max_days))
     if cutoffs is not None:
-        rows = rows.join(F.broadcast(cutoffs.select(F.col(cutoff).alias("_c"))), F.col(cutoff).cast("date") == F.col("_c"), "left_semi")
+        rows = rows.join(cutoffs.select(F.col(cutoff).alias("_c")), F.col(cutoff).cast("date") == F.col("_c"), "left_semi")
     return rows
 
 

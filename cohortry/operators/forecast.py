@@ -174,7 +174,7 @@ def weight_over_period(df: DataFrame, time_col: str, period: str, freq: str = "D
 
 def bottom_up(leaves: DataFrame, tree: DataFrame, by: Sequence[str], value: str = "forecast") -> DataFrame:
     """Each node's sum of its leaves; tree (node, leaf) names all leaves under each node, itself included for a leaf."""
-    return leaves.withColumnRenamed("node", "leaf").join(F.broadcast(tree), "leaf").groupBy("node", *by).agg(F.sum(value).alias(value))
+    return leaves.withColumnRenamed("node", "leaf").join(tree, "leaf").groupBy("node", *by).agg(F.sum(value).alias(value))
 
 
 def reconcile(df: DataFrame, nodes: Sequence[str], leaves: Sequence[str], tree: dict[str, Sequence[str]], by: str, value: str = "forecast", weights: dict[str, float] | None = None) -> DataFrame:

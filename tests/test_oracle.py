@@ -9,7 +9,7 @@ import pytest
 
 from cohortry.plans.catalogue import QUERIES, SQL
 
-SF = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
