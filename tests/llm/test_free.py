@@ -152,3 +152,22 @@ def test_pipeline(spark, sf_dir):
     assert ids["shard"] == ids["mix"]
     bad = {x[0] for x in brute_items([(r.doc_id, r.text) for r in seen["near_dedup"].collect()], [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()])}
     assert set(ids["decontaminate"]) == set(ids["near_dedup"]) - bad
+
+
+def test_stages_take_nulls_ties_and_clashing_names(spark, sf_dir):
+    import corpus_pipeline
+    from cohortry.llm.base import saved
+
+    good = lambda k: "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(15)) for i in range(5))
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    rows = [(1, good(1), "en", "a"), (2, good(1), "en", "a"), (2, good(1), "en", "a"), (None, good(2), None, None), (3, None, "en", "a"), (4, "", None, "b"), (5, good(3) + "\n" + item, "en", "b"), (6, "z " * 60_000, "en", "a"), (7, " ".join(good(k) for k in range(100, 400)), "de", "c"), (8, good(4), "en", "b"), (8, good(5), "en", "b")]
+    df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "k", 7, 1.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, tag string, shard int, kept double")
+    at = saved(df, "edges")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = saved(stage(spark, at, sf_dir), name)
+        assert at.columns == df.columns and at.where("tag = 'k' and shard = 7 and kept = 1.5").count() == at.count()
+    assert {(r.doc_id, r.text) for r in at.collect()} == {(1, good(1)), (None, good(2)), (7, rows[8][1]), (8, good(4)), (8, good(5))}
+    last = corpus_pipeline.shard_stage(spark, at, sf_dir)
+    assert last.count() == at.count() and last.select("shard", "slot").distinct().count() == at.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.where("doc_id = 99"), sf_dir).count() == 0
