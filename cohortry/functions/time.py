@@ -59,3 +59,26 @@ def expected_rows(start: Column, freq: str, period: str) -> Column:
     end = shift(start, period)
     seconds = end.cast("timestamp").cast("long") - start.cast("timestamp").cast("long")
     return (seconds / {"s": 1, "min": 60, "h": 3600, "D": 86400, "W": 604800}[freq]).cast("long")
+
+
+def parse_time(col: Column, form: str | None = None) -> Column:
+    """A timestamp from text in a Java pattern (or ISO); null where it doesn't parse."""
+    return F.try_to_timestamp(col, F.lit(form)) if form else col.try_cast("timestamp")
+
+
+def floor_time(col: Column, freq: str) -> Column:
+    return bucket(col, freq)
+
+
+def ceil_time(col: Column, freq: str) -> Column:
+    """The next bucket's start, or col itself if it is one."""
+    low = bucket(col, freq)
+    return F.when(low == col, col).otherwise(shift(low, freq))
+
+
+def is_dst(col: Column, zone: str) -> Column:
+    """Whether daylight saving holds in a zone at a UTC time: its offset is above that of the year's least."""
+    offset = lambda t: F.from_utc_timestamp(t, zone).cast("long") - t.cast("long")
+    start = F.date_trunc("year", col)
+    winter = F.least(offset(start), offset(start + F.expr("interval 6 months")))
+    return offset(col) > winter

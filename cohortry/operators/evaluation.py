@@ -187,3 +187,29 @@ def detect(df: DataFrame, actual: str = "actual", forecast: str = "forecast", lo
         flag = flag & F.coalesce(t, F.lit(False))
     half = (F.col(upper) - F.col(lower)) / 2
     return df.withColumn("is_anomaly_predicted", flag).withColumn("anomaly_score", F.try_divide(F.abs(a - p), half))
+
+
+def fraction_outside_tolerance(actual: Column, forecast: Column, tolerance: float = 0.05) -> Column:
+    return F.avg(F.when(F.abs(forecast - actual) > tolerance * F.abs(actual), 1.0).otherwise(0.0))
+
+
+def confusion(df: DataFrame, true: str = "is_anomaly", pred: str = "is_anomaly_predicted", by: Sequence[str] = ()) -> DataFrame:
+    """Counts of each combination of truth and prediction, and informedness (recall of both classes less 1)."""
+    t, p = F.coalesce(F.col(true), F.lit(False)), F.coalesce(F.col(pred), F.lit(False))
+    c = lambda x: F.count_if(x)
+    out = df.groupBy(*by).agg(c(t & p).alias("tp"), c(~t & p).alias("fp"), c(t & ~p).alias("fn"), c(~t & ~p).alias("tn"))
+    return out.withColumn("informedness", F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")) + F.try_divide(F.col("tn").cast("double"), (F.col("tn") + F.col("fp")).cast("double")) - 1)
+
+
+def aggregated(df: DataFrame, columns: Sequence[str], rows: int, time_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Sums over runs of so many rows, counted back from the last; a run that isn't full at the start goes."""
+    back = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(time_col))) - 1
+    out = df.withColumn("_g", F.floor(back / rows)).groupBy(*by, "_g").agg(F.max(time_col).alias(time_col), *[F.sum(c).alias(c) for c in columns], F.count("*").alias("_n"))
+    return out.where(F.col("_n") == rows).drop("_g", "_n")
+
+
+def best_forecast(df: DataFrame, forecasts: Sequence[str], actual: str = "actual", by: Sequence[str] = ()) -> DataFrame:
+    """Of several forecast columns the one of least mean absolute error in each group."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("name"), F.abs(F.col(actual) - F.col(f)).alias("e")) for f in forecasts])).alias("x")
+    scored = df.select(*by, each).groupBy(*by, "x.name").agg(F.avg("x.e").alias("mae"))
+    return scored.groupBy(*by).agg(F.min_by("name", F.struct("mae", "name")).alias("best"), F.min("mae").alias("mae"))

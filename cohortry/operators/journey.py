@@ -173,3 +173,13 @@ def shown_sequences(seq: DataFrame, keep: Sequence[str] | None = None, sort: boo
     array = F.col("event_seq")
     array = F.filter(array, lambda x: x.isin(*keep)) if keep else array
     return category_distribution(seq.select(F.array_join(F.array_sort(array) if sort else array, ">").alias("sequence")), "sequence", top=top)
+
+
+def sunburst(counts: DataFrame, n: int, dims: Sequence[str] = (), top: int = 5, value: str = "seq_count", end: str = "end") -> DataFrame:
+    """Sequence counts by dims and steps: steps beyond the end filled, dim values beyond the top ones as Others."""
+    for d in dims:
+        best = counts.groupBy(F.col(d).alias(f"_{d}")).agg(F.sum(value).alias("_v")).orderBy(F.desc("_v"), f"_{d}").limit(top).select(f"_{d}", F.lit(True).alias("_top"))
+        counts = counts.join(F.broadcast(best), F.col(d).eqNullSafe(F.col(f"_{d}")), "left").withColumn(d, F.when(F.col("_top"), F.col(d)).otherwise("Others")).drop(f"_{d}", "_top")
+    steps = [f"s{i + 1}" for i in range(n)]
+    out = counts.select(*dims, *[F.coalesce(s, F.lit(end)).alias(s) for s in steps], value)
+    return out.groupBy(*dims, *steps).agg(F.sum(value).alias(value))

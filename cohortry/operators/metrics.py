@@ -115,4 +115,24 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
+def matching(names: Sequence[str], include: str | None = None, exclude: str | None = None) -> list[str]:
+    """Names that match the pattern to include, or else don't match the one to exclude."""
+    import re
+
+    if include:
+        return [n for n in names if re.search(include, n)]
+    return [n for n in names if not (exclude and re.search(exclude, n))]
+
+
+def weighted_mean(df: DataFrame, col: str, by: str, strata: DataFrame, weight: str) -> DataFrame:
+    """The mean of strata's means by their weights; strata that df lacks don't count."""
+    means = df.groupBy(by).agg(F.avg(col).alias("_m")).join(strata.select(by, weight), by)
+    return means.agg((F.sum(F.col("_m") * F.col(weight)) / F.sum(weight)).alias("weighted_mean"))
+
+
+def wide(df: DataFrame, x: str, group: str, value: str, names: Sequence[str] | None = None) -> DataFrame:
+    """One column for each group."""
+    return df.groupBy(x).pivot(group, list(names) if names else None).agg(F.first(value))
+
+
 __all__ = ["UnitMetric", "agg_metrics", "category_distribution", "collapse_dims", "describe", "distinct_per_entity", "freq", "impacted_units", "segments", "time_metrics", "to_long", "unit_metrics"]

@@ -335,3 +335,18 @@ def level_shifts(df: DataFrame, time_col: str, value: str, cutoff: float = 3.0,
     out = rows.join(stats, list(dims)) if dims else rows.crossJoin(F.broadcast(stats))
     return out.withColumn("is_shift", F.coalesce((F.col("step") - F.col("_m")) / F.col("_s") > cutoff, F.lit(False))).drop("_m", "_s")
 
+
+def lags_of(df: DataFrame, time_col: str, orders: dict[str, Sequence[int]], dims: Sequence[str] = ()) -> DataFrame:
+    """lags for several columns, each with orders of its own."""
+    for value, some in orders.items():
+        df = lags(df, time_col, value, some, dims)
+    return df
+
+
+def impute_columns(df: DataFrame, time_col: str, values: Sequence[str], orders: Sequence[int], rounds: int = 1, dims: Sequence[str] = ()) -> DataFrame:
+    return reduce(lambda d, v: impute_with_lags(d, time_col, v, orders, rounds, dims), values, df)
+
+
+def outlier_intervals(df: DataFrame, time_col: str, value: str, cutoff: float = 3.0, trim: float = 0.01, dims: Sequence[str] = ()) -> DataFrame:
+    """Runs of z-score outliers as intervals."""
+    return islands(zscore_outliers(df, value, cutoff, trim, dims=dims), time_col, "is_outlier", dims)

@@ -51,3 +51,21 @@ def respond(merged: DataFrame, base: float, sd: float, lifts: dict[tuple[int, st
         hit = reduce(lambda a, b: a & b, (F.col(f"variant_{i}") == v for i, v in enumerate(variant, 1) if v != NOT_TRIGGERED))
         parts.append(F.when(hit, lift).otherwise(0.0))
     return merged.withColumn(name, F.lit(base) + sd * normal(F.col("unit"), seed) + sum(parts, F.lit(0.0)))
+
+
+def random_dates(df: DataFrame, start: str, days: int, key: str = "unit", seed: int = 5, name: str = "date") -> DataFrame:
+    """df with a date within so many days of the start, always the same for a key."""
+    return df.withColumn(name, F.date_add(F.lit(start).cast("date"), F.floor(uniform(F.col(key), seed) * days).cast("int")))
+
+
+def click_through(spark: SparkSession, n: int, seed: int = 1317) -> tuple[DataFrame, float]:
+    """(units with variant_1, variant_2, impressions, clicks; the true difference of rates of (enabled, v1) and (control, control))."""
+    units = population(spark, n, seed)
+    from .experiments import merge_numbered
+
+    arms = [[("control", 0.5), ("enabled", 0.5)], [("control", 0.5), ("v1", 0.5)]]
+    merged = merge_numbered([assign(units, a, seed + i, 0.1) for i, a in enumerate(arms)], ["unit"], ["variant"])
+    rate = F.lit(0.10) + F.when(F.col("variant_1") == "enabled", 0.02).otherwise(0.0) + F.when(F.col("variant_2") == "v1", 0.01).otherwise(0.0)
+    rate = rate + F.when((F.col("variant_1") == "enabled") & (F.col("variant_2") == "v1"), 0.01).otherwise(0.0)
+    out = merged.withColumn("impressions", (5 + F.floor(uniform(F.col("unit"), seed + 50) * 10)).cast("double"))
+    return out.withColumn("clicks", F.round(F.col("impressions") * rate + 0.3 * normal(F.col("unit"), seed + 60), 3)), 0.04

@@ -229,3 +229,29 @@ def test_flow(spark):
     assert overall.mae == 0 and overall.coverage == 1
     with pytest.raises(ValueError):
         Flow(flow.source, "v", "t", algorithm="other").forecast(ev)
+
+
+def test_second_tier(spark):
+    from cohortry.functions.time import ceil_time, is_dst, parse_time
+
+    one = spark.createDataFrame([(datetime(2024, 7, 1, 10, 30), "2024/01/31", "x")], "t timestamp, a string, b string")
+    r = one.select(ceil_time(F.col("t"), "h").alias("c"), is_dst(F.col("t"), "Europe/Berlin").alias("s"), parse_time(F.col("a"), "yyyy/MM/dd").alias("p"), parse_time(F.col("b")).alias("n")).first()
+    assert r.c == datetime(2024, 7, 1, 11) and r.s and r.p == datetime(2024, 1, 31) and r.n is None
+    assert metrics.matching(["ab", "cd"], include="^a") == ["ab"] and metrics.matching(["ab", "cd"], exclude="a") == ["cd"]
+    df = spark.createDataFrame([("g", DAY + timedelta(days=i), float(i), float(i) + 1, 9.0, i % 2 == 0, i % 3 == 0) for i in range(7)], "g string, ts timestamp, actual double, f double, h double, is_anomaly boolean, is_anomaly_predicted boolean")
+    assert evaluation.best_forecast(df, ["f", "h"], by=["g"]).first().best == "f"
+    c = evaluation.confusion(df).first()
+    assert (c.tp, c.fp, c.fn, c.tn) == (2, 1, 2, 2) and abs(c.informedness - (0.5 + 2 / 3 - 1)) < 1e-12
+    assert [r.actual for r in evaluation.aggregated(df, ["actual"], 3, "ts", ["g"]).orderBy("ts").collect()] == [6.0, 15.0]
+    assert df.agg(evaluation.fraction_outside_tolerance(F.col("actual"), F.col("f"), 0.5)).first()[0] == 2 / 7
+    spikes = df.withColumn("actual", F.when(F.dayofmonth("ts").isin(3, 4), 99.0).otherwise(F.col("actual")))
+    iv = series.outlier_intervals(spikes, "ts", "actual", 1.0, 0.0).first()
+    assert (iv.start_ts.day, iv.end_ts.day, iv.n) == (3, 4, 2)
+    counts = spark.createDataFrame([("a", None, "p", 5), ("a", "b", "q", 3), ("b", None, "r", 1)], "s1 string, s2 string, d string, seq_count long")
+    assert rows(journey.sunburst(counts, 2, ["d"], 1)) == sorted([("p", "a", "end", 5), ("Others", "a", "b", 3), ("Others", "b", "end", 1)], key=str)
+    sim, truth = simulate.click_through(spark, 4000)
+    rate = {r["v"]: r["x"] for r in sim.groupBy(experiments.shown(F.col("variant")).alias("v")).agg((F.sum("clicks") / F.sum("impressions")).alias("x")).collect()}
+    assert abs(rate["enabled|v1"] - rate["control|control"] - truth) < 0.005
+    assert simulate.random_dates(spark.range(100).withColumnRenamed("id", "unit"), "2024-01-01", 31).agg(F.max("date")).first()[0].month == 1
+    means = spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 10.0)], "s string, v double")
+    assert metrics.weighted_mean(means, "v", "s", spark.createDataFrame([("x", 3.0), ("y", 1.0)], "s string, w double"), "w").first()[0] == 4.0
