@@ -41,7 +41,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again; for what is used more than once."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.saved_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `saved` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lowered(text: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .base import cut, saved
+from .base import cut, discard, saved
 from .components import connected_components
 from .shingles import U, mix, set_of, shingle_sets, slices
 
@@ -240,6 +240,7 @@ def groups(docs: DataFrame) -> DataFrame:
     spread = spread.select("key", "node", "component", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
     more = saved(spread.join(sketch, "node").join(texts, "node").groupBy("key", "x", "y").applyInPandas(_across, "a long, b long"), "links")
     label = cut(connected_components(links.union(more)))
+    discard(unique, members, texts, links, more)
 
     held = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
     held = held.join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
