@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .base import cut, shared_dir
+from .base import cut, saved, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 20_000
+#: Decisions on rows that revisit or repeat others are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = (
     "id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string,"
@@ -61,17 +63,27 @@ def _id(kind: str, page_id: Column | None = None, url: Column | None = None) ->
 
 
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, sha1, record_type, refers_to_id, refers_to_page of each capture."""
+    """page_id, url, html, sha1, record_type and best (page_id and url of the response, for revisits) of each capture.
+
+    Only rows that revisit or repeat another need a decision. If those are few enough to broadcast, html stays where it is;
+    beyond that it's joined to them by a shuffle.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    # of an exact repeat one row is kept before anything travels
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("page_id", "url", "sha1").orderBy("sha1"))).where("nth = 1").drop("nth")
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size"))
-    best = slim.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("best"), F.min(F.struct("page_id", "url")).alias("least"))
-    best = best.where("not (best <=> least)").select("sha1", "best")
-    slim = slim.where(F.col("size") >= min_bytes).distinct().join(best, "sha1").where("not (best <=> struct(page_id, url))")
-    slim = slim.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("sha1").alias("s"), "best")
-    out = rows.join(slim, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("sha1") == F.col("s")), "left")
+    slim = rows.select("page_id", "url", "sha1", F.octet_length("html").alias("size")).groupBy("page_id", "url", "sha1", "size").agg(F.count("*").alias("n"))
+    slim = saved(slim, "captures")
+    best = slim.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count("*").alias("k")).where("k > 1")
+    decided = slim.alias("a").join(best.alias("b"), (F.col("a.sha1") == F.col("b.sha1")) & (F.col("a.size") == F.col("b.size")), "left")
+    decided = decided.select(F.col("a.page_id").alias("p"), F.col("a.url").alias("u"), F.col("a.sha1").alias("s"), "n", F.when(~F.col("best").eqNullSafe(F.struct("a.page_id", "a.url")), F.col("best")).alias("best"))
+    decided = cut(decided.where("best is not null or n > 1"))
+    weight, repeats = decided.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("u"), F.lit(0)) + F.coalesce(F.octet_length("best.url"), F.lit(0)) + 100), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+    if weight <= BROADCAST_BYTES:
+        decided = F.broadcast(decided)
+    out = rows.join(decided, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("sha1") == F.col("s")), "left")
+    if repeats:
+        # of an exact repeat one row is kept; ranks are cut off before anything travels
+        again = out.where("n > 1").withColumn("nth", F.row_number().over(W.partitionBy("page_id", "url", "sha1").orderBy("sha1"))).where("nth = 1").drop("nth")
+        out = out.where("n is null or n = 1").unionByName(again)
     return out.select("page_id", "url", "html", "sha1", F.when(F.col("best").isNull(), "response").otherwise("revisit").alias("record_type"), "best")
 
 
