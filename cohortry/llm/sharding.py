@@ -6,7 +6,8 @@ largest first, where they lie if there is room. Then the remaining capacities ar
 in proportion to their weights, and a minimum-cost flow from the old shards' bytes to those capacities, at one unit for each
 byte that leaves its shard, says how many bytes go where. The flow is realised by cutting each old shard's sequence of blocks of
 groups at the flow's amounts: prefix sums over blocks, then over the groups in a block, each group going where its middle falls.
-Slots are numbered the same way, by counts of buckets and a rank in the bucket. No text is shuffled unless columns are carried.
+Slots are numbered the same way, by counts of buckets and a rank in the bucket. Planning shuffles no text; rewriting the affected
+shards' files does, once.
 
 Law `bytes`: shard sizes near equal (within about 1/100 of a shard where no single row is larger).
 Null texts have no bytes (size 8, crc 0). Null ids, repeated rows and ties are ordered by id and text; an empty table gives an
@@ -16,13 +17,14 @@ empty result; other columns are ignored unless carried.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .base import cut, saved
+from .base import cut, saved, shared_dir
 
 OLD, NEW = 16, 24
 LARGE = 200
@@ -105,11 +107,11 @@ def place_large(groups: list[tuple[int, int, int]], room: list[float]) -> tuple[
     return out, taken
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *carried: str) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.xxhash64("doc_id", text).alias("row_hash"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.xxhash64("doc_id", text).alias("row_hash"), *carried,
     )
 
 
@@ -194,14 +196,38 @@ def reshard_rows(docs: DataFrame, **how) -> DataFrame:
     return slots(saved(rows.drop("old").join(groups.drop("bytes"), "unit"), "sharded")).select("row_hash", "shard", "slot")
 
 
-def rewrite(docs: DataFrame, path: str, **how) -> list[int]:
-    """Writes the shards whose rows change as Parquet under path/shard=N; returns their numbers. The others' files stay."""
+def rewrite(docs: DataFrame, path: str, every: bool = False, **how) -> list[int]:
+    """Writes the shards whose rows change as Parquet under path/shard=N; returns their numbers. The others' files stay, and
+    folders of shards that are left without rows go. With `every`, all shards are written: no file of the old layout is there.
+
+    Files have docs' columns and old_shard. Rows are written where the join leaves them, so text is shuffled once.
+    """
+    return _rewrite(docs, path, every, how)[1]
+
+
+def _rewrite(docs: DataFrame, path: str, every: bool, how: dict) -> tuple[DataFrame, list[int]]:
+    """The rows written, and the shards' numbers."""
     groups, rows = plan(saved(sized(docs), "sized"), **how)
     groups = cut(groups)
+    held = {r[0] for r in groups.select("shard").distinct().collect()}
     moved = groups.where("old <> shard")
-    hit = sorted(r[0] for r in moved.select("shard").union(moved.select("old")).distinct().collect())
-    where = rows.select("row_hash", "unit").distinct().join(groups.where(F.col("shard").isin(hit)).select("unit", "shard"), "unit").select("row_hash", "shard")
+    hit = sorted(held if every else {r[0] for r in moved.select("shard").union(moved.select("old")).distinct().collect()})
+    to = groups.where(F.col("shard").isin(hit)).select("unit", "shard", F.col("old").alias("old_shard"))
+    where = rows.select("row_hash", "unit").distinct().join(to, "unit").select("row_hash", "shard", "old_shard")
     full = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("row_hash")).join(where, "row_hash")
-    full = full.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "shard"], "shard")
-    full.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return hit
+    full = full.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "old_shard")], "old_shard", "shard")
+    full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for j in set(hit) - held:
+        folder = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
+        folder.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    return full, hit
+
+
+def reshard_files(docs: DataFrame, **how) -> DataFrame:
+    """What `reshard` returns, with the shards written to the shared folder and each column taken from the files read back."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    full, _ = _rewrite(docs, path, True, how)
+    files = spark.read.schema(full.schema).parquet(path)
+    out = slots(saved(sized(files, "shard", "old_shard"), "sharded"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

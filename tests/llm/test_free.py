@@ -72,6 +72,36 @@ def test_rewrite_leaves_other_shards(spark, tmp_path):
     assert set(r[0] for r in back.select("shard").distinct().collect()) <= set(hit)
 
 
+def test_query_rewrites_shards_and_reads_them(spark, sf_dir):
+    from pathlib import Path
+
+    from cohortry.llm.base import shared_dir
+    from cohortry.llm.queries import QUERIES
+
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.glob("shards-*"))
+    rows = QUERIES["op4_min_cost_flow_resharding"](spark, sf_dir).collect()
+    docs = table(spark, sf_dir, "documents")
+    check_shards(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    (made,) = set(root.glob("shards-*")) - before
+    files = spark.read.parquet(str(made))
+    assert Counter(map(tuple, files.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    assert Counter((r.doc_id, r.shard, r.old_shard) for r in files.collect()) == Counter((r.doc_id, r.shard, r.old_shard) for r in rows)
+    assert sharding.reshard_files(docs.where("doc_id < 0")).count() == 0
+    ties = spark.createDataFrame([(None, None, 1), (None, "", 2), (1, "a", 3), (1, "a", 3)], "doc_id long, text string, old_shard int")
+    assert Counter(r.doc_id for r in sharding.reshard_files(ties).collect()) == Counter([None, None, 1, 1])
+
+
+def test_rewrite_deletes_emptied_shards(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string").withColumn("shard", F.expr("pmod(xxhash64(text), 4)").cast("int"))
+    df.write.partitionBy("shard").parquet(path)
+    assert (tmp_path / "out/shard=3").exists()
+    assert 3 in sharding.rewrite(df, path, n_old=4, weights=[1.0] * 3)
+    assert not (tmp_path / "out/shard=3").exists()
+    assert Counter(r.doc_id for r in spark.read.parquet(path).collect()) == Counter(range(400))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_flow_costs_least(seed):
     import random
