@@ -8,15 +8,17 @@ languages; expectation-maximisation finds the proportions. Starting from all lan
 until one is left; of these nested sets the one with the highest log-likelihood less `PENALTY` * (languages - 1) * log(words)
 is the document's. The language predicted is that of the largest proportion, the score its proportion in the set.
 
-Documents are read twice, without a shuffle of text; the model is (languages x BINS) numbers, whatever the corpus. The most
-frequent `MAX_LANGUAGES` labels are learnt; more than that would be a parameter to raise. Null or letterless texts are `und` with
+Documents are read twice, without a shuffle of text; the model is (languages x BINS) numbers, whatever the corpus. All labels are
+learnt. Beyond `AT_ONCE` of them, training sends the sums of each run of words, and prediction takes fewer words at a time, so
+that memory besides the model doesn't follow the number of labels. Null or letterless texts are `und` with
 score 0, as is every text if no row can be learnt from. Ties go to the first language by name. Null ids are rows like others
 (their remainder is taken as 0, so not held out); repeated rows are predicted each; other columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,15 @@ from pyspark.sql import functions as F
 from .shingles import slices, word_spans
 
 BINS = 1 << 14
-MAX_LANGUAGES = 64
+#: Languages for which words are held as below; of more languages, fewer words.
+AT_ONCE = 64
 SMOOTH = 0.5
 PENALTY = 1.0
 ROUNDS, MINOR = 8, 0.02
 #: Words whose trigrams are held at once.
 WORDS_AT_ONCE = 50_000
+#: Words or rows of a run whose likelihoods are held, at up to AT_ONCE languages.
+HELD = 1 << 19
 _GAP = np.ones(256, bool)
 _GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SAME = np.arange(256, dtype=np.uint8)
@@ -49,8 +54,24 @@ def trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return ((before << 16 | mid << 8 | after) * 0x9E3779B1 >> 13) % BINS, word
 
 
-def _runs(n: int) -> Iterator[slice]:
-    return (slice(i, i + WORDS_AT_ONCE) for i in range(0, n, WORDS_AT_ONCE))
+def _runs(n: int, k: int = 1) -> Iterator[slice]:
+    """Runs of n words, shorter where there are more than AT_ONCE languages."""
+    size = max(1, WORDS_AT_ONCE * AT_ONCE // max(k, AT_ONCE))
+    return (slice(i, min(i + size, n)) for i in range(0, n, size))
+
+
+def _row_runs(words: np.ndarray, k: int, held: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows that hold up to `held` words and rows for AT_ONCE of k languages, one row at least."""
+    if k <= AT_ONCE:
+        yield 0, len(words)
+        return
+    ends = np.cumsum(np.maximum(words, 1))
+    i = 0
+    while i < len(words):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + held * AT_ONCE // k, "right")))
+        yield i, j
+        i = j
 
 
 def _lower(texts: pa.Array) -> pa.Array:
@@ -60,8 +81,12 @@ def _lower(texts: pa.Array) -> pa.Array:
 def _count(languages: list[str]):
     index = {x: i for i, x in enumerate(languages)}
 
+    def sums(lang: np.ndarray, bins: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bins, pa.int32()), pa.array(n, pa.int64())], ["l", "bin", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BINS), np.int64)
+        dense = len(languages) <= AT_ONCE
+        total = np.zeros((len(languages) if dense else 0, BINS), np.int64)
         for batch in batches:
             of = np.array([index.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
             for i, j, data, offsets in slices(_lower(batch.column("text")), _SAME):
@@ -70,18 +95,22 @@ def _count(languages: list[str]):
                     bins, word = trigrams(data, start[x], end[x])
                     lang = of[i:j][row[x]][word]
                     good = lang >= 0
-                    total += np.bincount(lang[good] * BINS + bins[good], minlength=total.size).reshape(total.shape)
+                    at = lang[good] * BINS + bins[good]
+                    if dense:
+                        total += np.bincount(at, minlength=total.size).reshape(total.shape)
+                    else:
+                        at, n = np.unique(at, return_counts=True)
+                        yield sums(at // BINS, at % BINS, n)
         lang, bins = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bins, pa.int32()), pa.array(total[lang, bins])], ["l", "bin", "n"])
+        yield sums(lang, bins, total[lang, bins])
 
     return count
 
 
-def train(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of BINS trigrams for each) from all of rows (text, lang)."""
     rows = rows.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r.lang for r in top)
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((0, BINS), np.float32)
     counts = np.zeros((len(languages), BINS))
@@ -89,8 +118,12 @@ def train(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str
     for r in sums.toLocalIterator():
         counts[r.l, r.bin] = r.n
     # the bins of all languages together back up those that a language lacks
-    backed = counts + SMOOTH * (counts.sum(0) > 0) + 1e-3
-    return languages, np.log(backed / backed.sum(1, keepdims=True)).astype(np.float32)
+    back = SMOOTH * (counts.sum(0) > 0) + 1e-3
+    table = np.empty(counts.shape, np.float32)
+    for i, own in enumerate(counts):
+        backed = own + back
+        table[i] = np.log(backed / backed.sum())
+    return languages, table
 
 
 def _fit(like: np.ndarray, row: np.ndarray, n_rows: int, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,17 +147,24 @@ def mixture(log_like: np.ndarray, row: np.ndarray, n_rows: int, penalty: float =
     """The proportions of each row's chosen language set; log_like: (words, languages), row: sorted, n_rows over all of them."""
     k = log_like.shape[1]
     like = np.exp(log_like - log_like.max(1, keepdims=True))
+    share, fit = _fit(like, row, n_rows, np.ones((n_rows, k)), ROUNDS)
+    return _nested(like, row, share, fit, k, penalty)
+
+
+def _nested(like: np.ndarray, row: np.ndarray, share: np.ndarray, fit: np.ndarray, k: int, penalty: float) -> np.ndarray:
+    """The best of the nested sets below the whole one of k languages, which share and fit are of; like may hold only the
+    languages of the largest set that is compared."""
+    n_rows = len(share)
     words = np.bincount(row, minlength=n_rows)
-    allowed = np.ones((n_rows, k))
-    share, fit = _fit(like, row, n_rows, allowed, ROUNDS)
+    allowed = np.ones(share.shape)
     best, best_score = share.copy(), fit - penalty * (k - 1) * np.log(np.maximum(words, 2))
     live = np.arange(n_rows)
     keep = row >= 0
-    for size in range(k - 1, 0, -1):
+    for size in range(_largest(k), 0, -1):
         # the least goes; languages of hardly any share go at once, down to the set's next size
         order = np.argsort(np.where(allowed[live] > 0, share, -1), axis=1, kind="stable")
         nxt = allowed[live].copy()
-        np.put_along_axis(nxt, order[:, : k - size], 0, axis=1)
+        np.put_along_axis(nxt, order[:, : share.shape[1] - size], 0, axis=1)
         allowed[live] = nxt
         if size > 1 and k > 2:
             # a row whose larger set already gives one language everything needs only the last comparison
@@ -147,9 +187,48 @@ def mixture(log_like: np.ndarray, row: np.ndarray, n_rows: int, penalty: float =
     return best
 
 
-def _predict(languages: list[str], table: np.ndarray):
+def _largest(k: int) -> int:
+    """The largest set below the whole one that is compared: in larger ones not every language can have over MINOR."""
+    return min(k - 1, int(1 / MINOR) + 1)
+
+
+def mixture_of_long(blocks: Callable[[], Iterator[np.ndarray]], k: int, penalty: float = PENALTY) -> np.ndarray:
+    """`mixture` of one row whose likelihoods aren't held for all k languages: blocks() gives them anew, in runs of words."""
+
+    def likelihoods() -> Iterator[np.ndarray]:
+        for x in blocks():
+            yield np.exp(x - x.max(1, keepdims=True))
+
+    share = np.full(k, 1 / k)
+    for _ in range(ROUNDS):
+        whole, words = np.zeros(k), 0
+        for like in likelihoods():
+            part = like * share
+            whole += (part / np.maximum(part.sum(1, keepdims=True), 1e-30)).sum(0)
+            words += len(like)
+        share = whole / words
+    top = np.sort(np.argsort(share, kind="stable")[k - _largest(k) :])
+    fit, held = 0.0, []
+    for like in likelihoods():
+        fit += np.log(np.maximum(like @ share, 1e-30)).sum()
+        held.append(like[:, top])
+    few = np.concatenate(held)
+    out = np.zeros((1, k))
+    out[0, top] = _nested(few, np.zeros(len(few), np.int64), share[None, top], np.array([fit]), k, penalty)[0]
+    return out
+
+
+def _predict(languages: list[str], table: np.ndarray, held: int = HELD):
+    k = len(languages)
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bin = np.ascontiguousarray(table.T)
+
+        def likelihoods(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+            for x in _runs(len(start), k):
+                bins, word = trigrams(data, start[x], end[x])
+                yield np.add.reduceat(by_bin[bins], np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), axis=0)
+
         for batch in batches:
             some = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             for i, j, data, offsets in slices(_lower(batch.column("text")), _SAME):
@@ -157,16 +236,21 @@ def _predict(languages: list[str], table: np.ndarray):
                 start, end, row = word_spans(data, offsets, _GAP)
                 pred, score = np.array(["und"] * n, object), np.zeros(n)
                 if len(start) and languages:
-                    parts = []
-                    for x in _runs(len(start)):
-                        bins, word = trigrams(data, start[x], end[x])
-                        parts.append(np.add.reduceat(by_bin[bins], np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), axis=0))
-                    log_like = np.concatenate(parts)
-                    share = mixture(log_like, row, n)
-                    top = share.argmax(1)
-                    has = (np.bincount(row, minlength=n) > 0) & some[i:j]
-                    pred[has] = np.array(languages, object)[top[has]]
-                    score[has] = np.clip(share[np.arange(n), top][has], 0, 1)
+                    words = np.bincount(row, minlength=n)
+                    ends = np.r_[0, np.cumsum(words)]
+                    for a, b in _row_runs(words, k, held):
+                        first, last = ends[a], ends[b]
+                        blocks = partial(likelihoods, data, start[first:last], end[first:last])
+                        if first == last:
+                            continue
+                        if k > AT_ONCE and (last - first) * k > held * AT_ONCE:
+                            share = mixture_of_long(blocks, k)
+                        else:
+                            share = mixture(np.concatenate(list(blocks())), row[first:last] - a, b - a)
+                        top = share.argmax(1)
+                        has = np.flatnonzero((words[a:b] > 0) & some[i + a : i + b])
+                        pred[a + has] = np.array(languages, object)[top[has]]
+                        score[a + has] = np.clip(share[has, top[has]], 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(pred.tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return predict

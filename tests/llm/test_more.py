@@ -96,6 +96,43 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def many_labels(n):
+    """Labels with words of their own, the later ones the rarer."""
+    rng = np.random.default_rng(1)
+    own = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(30)] for k in range(n)}
+    return own, [(x, " ".join(rng.choice(w, 40))) for k, (x, w) in enumerate(own.items()) for _ in range(3 + (n - k) // 20)]
+
+
+def test_language_learns_all_labels(spark):
+    _, rows = many_labels(90)
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    languages, table_ = language.train(df)
+    assert len(languages) == 90
+    out = {r.doc_id: r.lang_pred for r in language.predict(df, languages, table_).collect()}
+    assert [out[i] for i in range(len(rows))] == [x for x, _ in rows]
+
+
+def test_language_blocks_change_nothing():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    like = rng.normal(-6, 1, (400, 130)).astype(np.float32)
+    like[:300, 7] += 6
+    like[300:, 120] += 6
+    whole = language.mixture(like, np.zeros(400, np.int64), 1)
+    parts = language.mixture_of_long(lambda: iter(np.array_split(like, 7)), 130)
+    assert whole[0].argmax() == parts[0].argmax() == 7 and np.allclose(whole, parts, atol=1e-6)
+    # runs of rows, and rows that are too long for one
+    own, rows = many_labels(70)
+    languages = sorted(own)
+    table_ = np.log(rng.random((70, language.BINS)) + 1e-3).astype(np.float32)
+    texts = [t for _, t in rows] + ["", None, " ".join(" ".join(w) for w in own.values())]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([bool(t) for t in texts])], ["doc_id", "text", "letters"])
+    got = [pa.Table.from_batches(language._predict(languages, table_, held)(iter([batch]))).to_pydict() for held in (1 << 19, 300, 10)]
+    assert got[0]["lang_pred"] == got[1]["lang_pred"] == got[2]["lang_pred"]
+    assert np.allclose(got[0]["score"], got[1]["score"], atol=1e-5) and np.allclose(got[0]["score"], got[2]["score"], atol=1e-5)
+
+
 def test_mixture_recovers_proportions_and_sets():
     rng = np.random.default_rng(0)
     like = np.full((3000, 3), -6.0)
