@@ -1,10 +1,11 @@
 """Main text of web pages by consensus of a host's pages.
 
 First pass: each page's containers are scored by the text of the blocks in them, less that of links, with a decay on the way up
-and a bonus for elements that say they hold the content; the page votes for the generalised path (tags and classes, digits as #)
-of its best container. Votes are counted per host and path by an aggregation, and each host's path with the most votes wins.
-Second pass: each page's text is taken from the container on the host's winning path, or from the page's own best one where that
-path is missing or holds under a third of the own one's score.
+and a bonus for elements that say they hold the content. From the best container the page climbs to the widest one around it, below
+the body, in which what was added has more text than links; the page votes for the generalised path (tags and classes, digits as #)
+of that. Votes are counted per host and path by an aggregation, and each host's path with the most votes wins.
+Second pass: each page's text is taken from all containers with a score on the host's winning path, in page order, or from those on
+the page's own path where the winning one is missing or holds under a third of the own best container's score.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by tag, role, class and id, and
 never count nor come out; a `header` inside an article is part of it. Character references are decoded, white space inside a block becomes
@@ -94,6 +95,7 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.paths, self.parents, self.bonus, self.own = [""], [-1], [0.6], [0.0]
+        self.outer = [True]  # the page itself, html and body
         self.parts: list[tuple[int, str]] = []  # (container, text or a block's end)
         stack: list[tuple[str, int, bool]] = []  # (tag, container, whether its text is dropped)
         at, size = 0, len(html)
@@ -147,6 +149,7 @@ class Page:
                 name = ".".join([tag, *sorted(DIGITS.sub("#", c) for c in attributes.get("class", "").split())])
                 self.paths.append(f"{self.paths[parent]}>{name}")
                 self.parents.append(parent)
+                self.outer.append(tag in ("html", "body"))
                 self.bonus.append(_bonus(tag, attributes))
                 self.own.append(0.0)
             stack.append((tag, node, dropped))
@@ -187,26 +190,46 @@ class Page:
             held[self.parents[i]] += DECAY * max(0.0, held[i])
         return [x * b for x, b in zip(held, self.bonus, strict=True)]
 
-    def best(self) -> tuple[int, float]:
-        scores = self.scores()
+    def best(self, scores: list[float] | None = None) -> tuple[int, float]:
+        scores = scores or self.scores()
         i = max(range(len(scores)), key=lambda i: (scores[i], -i))
         return i, scores[i]
 
-    def on(self, path: str | None) -> int:
-        """The container to read: the best on the path, or the page's own best."""
-        own, most = self.best()
-        if path is None:
-            return own
+    def widest(self, node: int) -> int:
+        """The widest container around node, below the body, that adds more text than links at each step that adds some."""
+        whole = list(self.own)  # text less links, all of it
+        for i in range(len(whole) - 1, 0, -1):
+            whole[self.parents[i]] += whole[i]
+        if self.outer[node]:
+            return node
+        out, at = node, self.parents[node]
+        while at >= 0 and not self.outer[at]:
+            more = whole[at] - whole[out]
+            if more < 0:
+                break
+            # a wrapper that adds nothing says nothing
+            if more > 0:
+                out = at
+            at = self.parents[at]
+        return out
+
+    def on(self, path: str | None) -> list[int]:
+        """The containers to read: those on the path, or on the page's own path."""
         scores = self.scores()
-        there = [i for i, p in enumerate(self.paths) if p == path]
-        i = max(there, key=lambda i: (scores[i], -i), default=own)
-        return i if scores[i] >= SHARE_OF_OWN * most else own
-
-    def text(self, node: int) -> str:
+        own, most = self.best(scores)
+        there = [i for i, p in enumerate(self.paths) if p == path] if path is not None else []
+        there = [i for i in there if scores[i] > 0] or there
+        if there and sum(scores[i] for i in there) >= SHARE_OF_OWN * most:
+            return there
+        own = self.widest(own)
+        return [i for i, p in enumerate(self.paths) if i == own or (p == self.paths[own] and scores[i] > 0)]
+
+    def text(self, nodes: list[int]) -> str:
         inside = [False] * len(self.paths)
-        inside[node] = True
-        for i in range(node + 1, len(self.paths)):
-            inside[i] = inside[self.parents[i]]
+        for node in nodes:
+            inside[node] = True
+        for i in range(nodes[0] + 1, len(self.paths)):
+            inside[i] = inside[i] or inside[self.parents[i]]
         return " ".join("".join(t for i, t in self.parts if inside[i]).split())
 
 
@@ -216,7 +239,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column("html"):
             page = Page(x.as_py() or "")
             i, score = page.best()
-            paths.append(page.paths[i] if score > 0 else None)
+            paths.append(page.paths[page.widest(i)] if score > 0 else None)
             scores.append(round(score))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
 

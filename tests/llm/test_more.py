@@ -232,3 +232,25 @@ def test_html_consensus_beats_one_page(spark):
     odd = (9, "http://h.example/", f"<body><div class='c9'><p>{long}</p></div><div class='extra'><p>{long * 2}</p></div></body>")
     out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame([*usual, odd], "page_id long, url string, html string")).collect()}
     assert out[9] == long.strip()
+
+
+def test_html_takes_the_whole_article(spark):
+    part = lambda k, n: f"Part {k} has some sentences of running text in it. " * n
+    links = "<div><a href=/a>One link of the site</a> <a href=/b>Another link of the site</a></div>"
+    cases = {
+        # the headline outside the container with nearly all of the text, with a byline, and links around the whole
+        1: (page(f"<div class=wrap>{links}<div><div class=post><h1>Headline</h1><div class=entry>{part(1, 30)}</div></div></div></div>"), "Headline " + part(1, 30)),
+        2: (page(f"<div class=box><h1>A longer headline</h1><p>By <a href=/bob>Bob</a></p><div class=entry>{part(2, 30)}</div></div>"), "A longer headline By Bob " + part(2, 30)),
+        # unequal siblings, of one path and of several
+        3: (page(f"<div><article>{part(3, 6)}</article><article>{part(4, 4)}</article></div>"), part(3, 6) + part(4, 4)),
+        4: (page(f"<article>{part(3, 6)}</article>{links}<article>{part(4, 4)}</article>"), part(3, 6) + part(4, 4)),
+        5: (page(f"<div><div class=top>{part(5, 6)}</div><section>{part(6, 4)}</section></div>"), part(5, 6) + part(6, 4)),
+    }
+    rows = [(k, f"http://w{k}.example/", h) for k, (h, _) in cases.items()]
+    # a host whose other pages have the winning path once, and one that has it three times
+    rows += [(10 + i, "http://blog.example/", page(f"<div class=post><p>{part(i, 5)}</p></div>{links}")) for i in range(3)]
+    rows += [(20, "http://blog.example/", page("".join(f"<div class=post><p>{part(i, 5)}</p></div>{links}" for i in range(3))))]
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (_, want) in cases.items():
+        assert out[k] == " ".join(want.split()), k
+    assert out[11] == part(1, 5).strip() and out[20] == "".join(part(i, 5) for i in range(3)).strip()
