@@ -86,6 +86,11 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.clip((raw - chance) / (1 - chance), 0, 1)
 
 
+def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Which pairs go to verification. Small sets fill few registers, so their pairs go without an estimate."""
+    return (np.maximum(na, nb) <= PREFIX) | (estimate(a, b, na, nb) >= PRUNE)
+
+
 def keys(hashes: np.ndarray, n: np.ndarray, regs: np.ndarray) -> list[np.ndarray]:
     """The candidate keys of each row."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(n)
@@ -137,7 +142,7 @@ def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("regs_a", "regs_b")]
         na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
         fits = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * THRESHOLD
-        yield batch.select(["a", "b"]).filter(pa.array(fits & (estimate(*side, na, nb) >= PRUNE)))
+        yield batch.select(["a", "b"]).filter(pa.array(fits & passes(*side, na, nb)))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +173,7 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
         others = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (not same_block))]
         others = others[np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * THRESHOLD]
         if len(others):
-            others = others[estimate(regs[others], regs[i][None], n[others], n[i]) >= PRUNE]
+            others = others[passes(regs[others], regs[i][None], n[others], n[i])]
             if len(others):
                 near[i] = others
     if not near:

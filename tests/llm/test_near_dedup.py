@@ -103,3 +103,20 @@ def test_across_emits_a_forest():
     texts = ["a b c d e f g", "a b c d e f g", "z y x w v u t", "a b c d e f g"]
     rows = pd.DataFrame({"node": [1, 2, 3, 4], "component": [1, 1, 3, 4], "n": [3] * 4, "regs": [regs] * 4, "text": texts, "part": [0] * 4, "x": 0, "y": 0})
     assert near_dedup._across(rows).to_numpy().tolist() == [[1, 4]]
+
+
+def test_small_sets_are_linked_whatever_their_estimate(spark):
+    texts, lost = [], 0
+    for k in range(60_000):
+        text = " ".join(f"{x}{k}" for x in "abcdefg")
+        one, two = near_dedup.set_of(text), near_dedup.set_of(f"{text} h{k}")
+        sizes = np.array([len(one)]), np.array([len(two)])
+        if near_dedup.estimate(near_dedup.registers(one, sizes[0]), near_dedup.registers(two, sizes[1]), *sizes)[0] < near_dedup.PRUNE:
+            texts += [text, f"{text} h{k}"]
+            lost += 1
+            if lost == 3:
+                break
+    assert lost
+    rows = list(enumerate(texts))
+    out = got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == sorted(brute(rows), key=str) and all(c == i // 2 * 2 for i, _, c in out)
