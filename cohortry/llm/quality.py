@@ -3,13 +3,17 @@
 Everything on the way is a DataFrame function. Measures are computed inside the row, so no text is shuffled; only (host, line
 hash, text hash) rows are, summed up before they travel.
 
+Repeated windows. Each window of three words has a 64-bit hash. Where all hashes of a text differ, so do its windows; in the other
+texts windows are sorted by hash and words and neighbours compared word by word, so the number is exact for texts of any length.
+
 A line is normalised (lower case, digits as 0, white space as one space) and hashed. It is common if more than
 `max(least, share * distinct texts of the host)` distinct texts of the host hold it: copies of one text count once, so a group
 of copies doesn't make its own lines common. Common lines go; a document is depleted if over `depleted` of its characters in
 lines go. Both limits are parameters.
 
-Null texts count as empty (and fail the base rules), null hosts are a host, rows with one id are judged each by itself, an
-empty table gives an empty result, other columns are left alone and may have any name.
+Null texts count as empty (and fail the base rules), null hosts are a host, rows with one id are judged each by itself, a line on
+exactly as many texts as the limit stays, an empty table gives an empty result, other columns are left alone and may have any name.
+A very long text takes memory in proportion to its words, in its own row's task.
 """
 
 from __future__ import annotations
@@ -17,74 +21,114 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, words
+from .base import GAP, cut
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
-#: White space that isn't one space already.
-GAPS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
-HAS_WORD = r"[^\x20\x09-\x0D]"
+SYMBOLS = r"[#*$%&|<>]"
+#: White space inside a line that isn't one space already; line breaks with what is around them; lines without a word.
+GAPS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
+BREAKS = r" ?\n[ \n]*"
+BLANK = r"\n[\x20\x09\x0B-\x0D]++(?=\n|\z)"
 MIN_WORDS, MAX_REPEATED = 50, 50
 LEAST_DOCS, SHARE_OF_HOST, DEPLETED = 20, 0.10, 0.70
-#: Hosts with common lines that may be broadcast; each has under lines-per-document / SHARE_OF_HOST of them.
-BROADCAST_HOSTS = 2000
+#: Common lines of all hosts may be broadcast up to this size; beyond, documents meet them in so many parts for each host.
+BROADCAST_BYTES, HOST_PARTS = 16 << 20, 32
 
 
 def lines_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(HAS_WORD))
+    """The lines of a text that have a word, as they are."""
+    return F.array_remove(F.split(F.regexp_replace(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), BLANK, "\n"), "\n"), "")
+
+
+def _level(text: Column) -> Column:
+    """Lower case, digits as 0, white space inside lines as one space."""
+    same = F.regexp_replace(F.lower(text), "[1-9]", "0")
+    some = F.contains(text, F.lit("  "))
+    for space in "\t\x0b\x0c\r":
+        some |= F.contains(text, F.lit(space))
+    return F.when(some, F.regexp_replace(same, GAPS, " ")).otherwise(same)
 
 
 def line_hash(line: Column) -> Column:
-    spaced = F.regexp_replace(F.translate(F.lower(line), "0123456789", "0000000000"), GAPS, " ")
-    return F.xxhash64(F.trim(spaced))
+    return F.xxhash64(F.trim(_level(line)))
+
+
+def line_hashes(text: Column) -> Column:
+    """The distinct hashes (as `line_hash`) of a text's lines, normalised all at once."""
+    each = F.array_remove(F.split(F.trim(F.regexp_replace(F.concat(F.lit("\n"), _level(text)), BREAKS, "\n")), "\n"), "")
+    return F.array_distinct(F.transform(each, lambda x: F.xxhash64(x)))
+
+
+def _after(array: Column, k: int) -> Column:
+    """An array without its first k elements."""
+    return F.slice(array, F.lit(k + 1), F.greatest(F.size(array) - k, F.lit(0)))
 
 
-def repeated_words(hashes: Column, mask: Column) -> tuple[Column, Column, Column]:
-    """Steps, each to be a column of its own (packed, then repeats), to the number of words in repeated three-word windows.
+def repeated_words(df: DataFrame) -> DataFrame:
+    """df (with words) and n_repeat_words: the words in windows of three that its words hold twice or more.
 
-    packed: for each window its hash's upper bits over its position, sorted, so equal windows are neighbours.
+    Steps are columns of their own, so that each is computed once.
     """
-    high = F.bitwise_not(mask)
-    windows = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0)))
-    packed = F.sort_array(F.transform(windows, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))))
-    at = F.col("packed")
-    same = lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(high) == 0, F.lit(False))
-    repeats = F.sort_array(F.transform(F.filter(at, lambda x, i: same(x, F.get(at, i + 1)) | same(x, F.get(at, i - 1))), lambda x: x.bitwiseAND(mask)))
-    steps = F.col("repeats")
-    return packed, repeats, F.aggregate(F.transform(steps, lambda p, i: F.least(F.coalesce(F.get(steps, i + 1) - p, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda s, x: s + x)
+    words = F.col("words")
+    df = df.withColumn("hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    two = F.zip_with("hashes", _after(F.col("hashes"), 1), lambda a, b: F.xxhash64(a, b))
+    three = F.zip_with(two, _after(F.col("hashes"), 2), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("hashes", F.slice(three, F.lit(1), F.greatest(F.size("hashes") - 2, F.lit(0))))
+    again = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    at = F.sequence(F.lit(0), F.size("hashes") - 1)
+    names = [c.alias(k) for k, c in {"h": F.col("hashes"), "a": words, "b": _after(words, 1), "c": _after(words, 2), "at": at}.items()]
+    df = df.withColumn("windows", F.when(again, F.sort_array(F.arrays_zip(*names))))
+    same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    both = F.zip_with("windows", _after(F.col("windows"), 1), lambda x, y: F.when(same(x, y), F.array(x["at"], y["at"])).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("places", F.sort_array(F.array_distinct(F.flatten(both))))
+    # a window covers three words, or those up to the next one's start
+    steps = F.zip_with("places", _after(F.col("places"), 1), lambda x, y: F.least(F.coalesce(y - x, F.lit(3)), F.lit(3)))
+    return df.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))).drop("hashes", "windows", "places")
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc, a struct of all columns of docs, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.struct("*").alias("doc"), text.alias("t"), F.transform(words(text), lambda w: F.xxhash64(w)).alias("hashes"))
-    out = out.withColumn("mask", F.expr("shiftleft(1L, cast(ceil(log2(size(hashes) + 2)) as int)) - 1L"))
-    packed, repeats, n_repeat = repeated_words(F.col("hashes"), F.col("mask"))
-    out = out.withColumn("packed", packed).withColumn("repeats", repeats)
-    full = lines_of(F.col("t"))
+    out = docs.select(F.struct("*").alias("doc"), text.alias("t"), F.array_remove(F.split(text, GAP), "").alias("words"))
+    out = repeated_words(out).withColumn("lines", lines_of(F.col("t")))
     out = out.select(
-        "doc", F.size("hashes").cast("long").alias("n_words"), F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"), n_repeat.alias("n_repeat_words"),
+        "doc", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
     )
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
 def common_lines(docs: DataFrame, host: str, least: int = LEAST_DOCS, share: float = SHARE_OF_HOST) -> DataFrame:
-    """host, lines: the hashes of each host's common lines; hosts without any are absent."""
-    held = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("doc"), F.array_distinct(F.transform(lines_of(F.col("text").cast("string")), line_hash)).alias("lines"))
+    """host, lines: the hashes of each host's common lines; hosts without any are absent.
+
+    A host has fewer than (its mean of lines a text) / share of them, however many texts it holds.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    held = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("doc"), text.alias("text"))
     total = held.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
-    counted = held.select("host", "doc", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > least)
+    counted = held.select("host", "doc", F.explode(line_hashes(F.col("text"))).alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > least)
     both = counted.alias("c").join(total.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
     return both.where(F.col("n") > share * F.col("docs")).groupBy(F.col("c.host").alias("host")).agg(F.collect_set("line").alias("lines"))
 
 
-def quality(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: float = SHARE_OF_HOST, depleted: float = DEPLETED) -> DataFrame:
+def with_common(rows: DataFrame, common: DataFrame, host: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with common, the hashes of their host's common lines or null.
+
+    Those lines are broadcast up to a size that is measured; beyond it, each host's rows and lines meet in `HOST_PARTS` parts, so
+    a host with a third of all rows isn't one task.
+    """
+    common = common.toDF("common_host", "common")
+    size = common.agg(F.sum(8 * F.size("common") + F.coalesce(F.octet_length("common_host"), F.lit(0)) + 64)).first()[0] or 0
+    if size <= most:
+        return rows.join(F.broadcast(common), host.eqNullSafe(F.col("common_host")), "left").drop("common_host")
+    common = common.withColumn("common_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(HOST_PARTS)).cast("int"))
+    return rows.join(common, host.eqNullSafe(F.col("common_host")) & (F.col("part") == F.col("common_part")), "left").drop("common_host", "common_part", "part")
+
+
+def quality(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: float = SHARE_OF_HOST, depleted: float = DEPLETED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc (all columns of docs as a struct), the measures, base_failed, n_common_lines, clean (the text without them), kept."""
-    common = cut(common_lines(docs, host, least, share)).toDF("common_host", "common")
-    if len(common.take(BROADCAST_HOSTS + 1)) <= BROADCAST_HOSTS:
-        common = F.broadcast(common)
-    out = measures(docs).join(common, F.col(f"doc.{host}").cast("string").eqNullSafe(F.col("common_host")), "left").drop("common_host")
+    common = cut(common_lines(docs, host, least, share))
+    out = with_common(measures(docs), common, F.col(f"doc.{host}").cast("string"), broadcast_bytes)
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     full = lines_of(text)
     go = F.filter(full, lambda x: F.array_contains(F.col("common"), line_hash(x)))
@@ -92,12 +136,10 @@ def quality(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, shar
     chars = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("go"), x)), "\n")
     some = F.size("go") > 0
-    out = out.withColumn("spent", F.when(some, chars(F.col("go")) > depleted * chars(full)).otherwise(False))
-    out = out.withColumn("clean", F.when(some, left).otherwise(F.col("doc.text"))).withColumn("n_common_lines", F.size("go").cast("long"))
-    # this is always so, but not known to be: it keeps a filter on `kept` from being pushed into the steps above, whose arrays
-    # would then be made anew for each of their elements
-    verdict = ~F.col("base_failed") & ~F.col("spent")
-    return out.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, verdict)).drop("go", "spent")
+    spent = F.when(some, chars(F.col("go")) > depleted * chars(full)).otherwise(False)
+    found = F.struct(F.size("go").cast("long").alias("n_common_lines"), F.when(some, left).otherwise(F.col("doc.text")).alias("clean"), (~F.col("base_failed") & ~spent).alias("kept"))
+    # a generated row: filters on the verdict stay above it, so no step below is computed twice
+    return out.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.inline(F.array(found)))
 
 
 SQL = r"""

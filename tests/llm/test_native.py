@@ -118,6 +118,26 @@ def test_quality_edges(spark):
     r = out.where("doc.doc_id = 100").first()
     assert not r.kept and r.clean == own(0) and r.n_common_lines == 200
     assert quality.quality(df.where("doc_id = 0")).count() == 0
+    # hosts that meet their lines in parts, as where those are too many to broadcast
+    assert quality_got(quality.quality(df, broadcast_bytes=0)) == brute_quality(rows)
+
+
+def test_quality_of_very_long_texts(spark):
+    words = lambda n, every: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), (i % every).cast("string"))), " ")
+    df = spark.range(1).select(F.lit(1).alias("doc_id"), words(6_000_000, 10**9).alias("text"), F.lit("a").alias("source"))
+    r = quality.measures(df).select("n_words", "n_repeat_words", "base_failed").first()
+    assert tuple(r) == (6_000_000, 0, False)
+    df = spark.range(1).select(F.lit(1).alias("doc_id"), words(300_000, 299_000).alias("text"), F.lit("a").alias("source"))
+    assert quality.measures(df).first().n_repeat_words == 2000
+
+
+def test_quality_normalises_texts_as_lines(spark):
+    texts = ["\n a\t b \n\n \x0b\nA B\n", "  x1\r\n\r\ny  2\x0c", "", " \n ", "É\u00a0ö\n  é\u00a0Ö 77\n", "no break"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    each = F.array_distinct(F.transform(quality.lines_of(F.col("text")), quality.line_hash))
+    rows = df.select(F.sort_array(each).alias("a"), F.sort_array(quality.line_hashes(F.col("text"))).alias("b"), quality.lines_of(F.col("text")).alias("c")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert [r.c for r in rows] == [[x for x in t.split("\n") if WORDS.search(x)] for t in texts]
 
 
 # mixing
