@@ -1,13 +1,17 @@
 """WARC archives: writing captures with revisits, reading records, and assembling transactions.
 
-Writing. Each page becomes a capture of three records: a request, a response (or a revisit of an equal payload) and metadata. Of
-captures with equal payloads of at least `min_bytes`, that with the largest (page_id, url) is the response and the others revisit
-it. The winner is found by aggregating digests alone; no text travels for it, and equal payloads are never gathered. Records end
+Writing. Each row of pages becomes a capture of three records: a request, a response (or a revisit of an equal payload) and
+metadata. Of captures with equal payloads of at least `min_bytes`, that with the largest (page_id, url) is the response and the
+others revisit it. Revisits hold headers only, so they, and who wins, come from a table of digests without any html. Of the
+html, payloads that occur once are written where they are read; a Bloom filter of the digests that occur again (of up to
+`FILTER_WORDS` words, so bounded whatever the table) tells which rows may not be such, and only those meet by digest, each
+task's copies being merged before they travel. There is one plan for all sizes. Records end
 with the two line breaks that the format asks for, which are the line separator of Spark's own text writer: output goes through
 its committer to any store that Spark writes to, gzipped, and a lost executor's task is simply written again.
 
-Reading. Archives are read whole, file by file (files hold up to `records_per_file` records), and parsed by Content-Length, so
-payloads may hold anything, record starts included.
+Reading. Archives are unpacked and parsed piece by piece by Content-Length, so payloads may hold anything, record starts
+included, and a task holds one compressed archive and one record. How many records an archive gets depends on their size class
+(`CLASSES`), which bounds it.
 
 Assembly. Requests and metadata name their response in WARC-Concurrent-To. Records are joined by that identifier into one nested
 row per capture: request, response, metadata. A response without either still gives a row; records that name no response are rows
@@ -15,8 +19,9 @@ without one. Where several requests or metadata records name one response, the o
 of both are.
 
 Null html is an empty payload; null urls have no target URI; control characters in a url are percent-encoded. Rows with a null
-id are captures that rank below all others. A row repeated exactly (id, url and html) is one capture. An empty table gives an
-empty archive and no rows; other columns play no part.
+id are captures that rank below all others. Rows repeated exactly (id, url and html) are captures of their own, all but one of
+them revisits. Ties in id go to the larger url. An empty table gives an empty archive and no rows; other columns play no part.
+A payload may have up to the 2 GB that Spark's values have.
 """
 
 from __future__ import annotations
@@ -30,16 +35,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .base import cut, saved, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 20_000
-#: Decisions on rows that revisit or repeat others are broadcast up to this size.
-BROADCAST_BYTES = 32 << 20
+#: (largest payload, records in an archive): an archive has 1.6 GB at most, and 20 MB where pages have 10 KB.
+CLASSES = ((256 << 10, 6000), (16 << 20, 100), (1 << 31, 3))
+#: Words of 64 bits in the Bloom filter, at most; 16 bits for each digest below that.
+FILTER_WORDS = 1 << 20
+#: Copies of one row that one row stands for.
+COPIES = 10_000
+PIECE = 1 << 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = (
     "id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string,"
@@ -47,54 +55,57 @@ RECORD = (
 )
 
 
-def base32_sha1(data: Column) -> tuple[Column, list[Column]]:
-    """The 160 bits of the SHA-1 of binary data, and the letters of its upper-case base32 given those as the column bits."""
-    bits = F.lpad(F.conv(F.substring(F.sha1(data), 1, 10), 16, 2), 40, "0")
-    for at in (11, 21, 31):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(F.sha1(data), at, 10), 16, 2), 40, "0"))
+def base32(sha1: Column) -> tuple[Column, list[Column]]:
+    """The 160 bits of a SHA-1 in hex, and the letters of its upper-case base32 given those as the column bits."""
+    bits = F.concat(*[F.lpad(F.conv(F.substring(sha1, at, 10), 16, 2), 40, "0") for at in (1, 11, 21, 31)])
     letter = lambda i: F.substring(F.lit(ALPHABET), F.conv(F.substring(F.col("bits"), i * 5 + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
     return bits, [letter(i) for i in range(32)]
 
 
-def _id(kind: str, page_id: Column | None = None, url: Column | None = None) -> Column:
-    page_id, url = (F.col("page_id"), F.col("url")) if page_id is None else (page_id, url)
-    h = F.md5(F.concat_ws("\x1f", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("\x1e")), F.coalesce(url, F.lit("\x1e")), "sha1"))
+def _id(kind: str, *parts: Column | str) -> Column:
+    h = F.md5(F.concat_ws("\x1f", F.lit(kind), *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\x1e")) for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), *[x for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.lit("-" if i > 1 else ""), F.substring(h, i, n))], F.lit(">"))
 
 
-def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, sha1, record_type and best (page_id and url of the response, for revisits) of each capture.
-
-    Only rows that revisit or repeat another need a decision. If those are few enough to broadcast, html stays where it is;
-    beyond that it's joined to them by a shuffle.
-    """
+def captures(pages: DataFrame, min_bytes: int = 0, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """page_id, url, html (null for revisits), sha1, size, id, best (page_id and id of the response, for revisits) of each capture."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    slim = rows.select("page_id", "url", "sha1", F.octet_length("html").alias("size")).groupBy("page_id", "url", "sha1", "size").agg(F.count("*").alias("n"))
-    slim = saved(slim, "captures")
-    best = slim.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count("*").alias("k")).where("k > 1")
-    decided = slim.alias("a").join(best.alias("b"), (F.col("a.sha1") == F.col("b.sha1")) & (F.col("a.size") == F.col("b.size")), "left")
-    decided = decided.select(F.col("a.page_id").alias("p"), F.col("a.url").alias("u"), F.col("a.sha1").alias("s"), "n", F.when(~F.col("best").eqNullSafe(F.struct("a.page_id", "a.url")), F.col("best")).alias("best"))
-    decided = cut(decided.where("best is not null or n > 1"))
-    weight, repeats = decided.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("u"), F.lit(0)) + F.coalesce(F.octet_length("best.url"), F.lit(0)) + 100), F.lit(0)), F.count_if(F.col("n") > 1)).first()
-    if weight <= BROADCAST_BYTES:
-        decided = F.broadcast(decided)
-    out = rows.join(decided, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("sha1") == F.col("s")), "left")
-    if repeats:
-        # of an exact repeat one row is kept; ranks are cut off before anything travels
-        again = out.where("n > 1").withColumn("nth", F.row_number().over(W.partitionBy("page_id", "url", "sha1").orderBy("sha1"))).where("nth = 1").drop("nth")
-        out = out.where("n is null or n = 1").unionByName(again)
-    return out.select("page_id", "url", "html", "sha1", F.when(F.col("best").isNull(), "response").otherwise("revisit").alias("record_type"), "best")
-
-
-def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """value: the records of every capture as text, without the two line breaks at their end."""
-    rows = captures(pages, min_bytes)
-    bits, letters = base32_sha1(F.col("html").cast("binary"))
-    rows = rows.withColumn("bits", bits).withColumn("digest", F.concat(*letters)).drop("bits")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
+    slim = saved(rows.groupBy("page_id", "url", "sha1", "size").agg(F.count("*").alias("n")), "captures")
+    many = slim.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("best"), F.sum("n").alias("k"))
+    many = cut(many.where("k > 1").drop("k"))
+    first = _id("response", "sha1", "size")
+
+    # the winner has one response; its other copies, and all other rows, revisit that
+    again = slim.join(many, ["sha1", "size"])
+    again = again.withColumn("n", F.col("n") - F.struct("page_id", "url").eqNullSafe(F.col("best")).cast("long")).where("n > 0")
+    again = again.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).withColumn("from", F.col("from") * COPIES).repartition("page_id", "url", "sha1", "from")
+    again = again.withColumn("nth", F.explode(F.sequence(F.col("from"), F.least(F.col("n"), F.col("from") + COPIES) - 1)))
+    best = F.struct(F.col("best.page_id").alias("page_id"), first.alias("id"))
+    revisits = again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "size", _id("revisit", "page_id", "url", "sha1", "size", "nth").alias("id"), best.alias("best"))
+
+    words = min(filter_words, max(16, many.count() // 4))
+    at = F.pmod(F.xxhash64("sha1", "size"), F.lit(64 * words))
+    word, bit = F.floor(F.col("at") / 64), F.expr("shiftleft(1L, cast(at % 64 as int))")
+    marks = F.broadcast(many.select(at.alias("at")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks")))
+    rows = rows.withColumn("at", at).withColumn("bit", bit).withColumn("own", word).join(marks, F.col("own") == F.col("word"), "left")
+    maybe = (F.col("size") >= min_bytes) & F.coalesce(F.col("marks").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    none = F.lit(None).cast("struct<page_id: bigint, id: string>").alias("best")
+    small = F.when(F.col("size") < min_bytes, _id("small", "page_id", "url", F.monotonically_increasing_id()))
+    alone = rows.where(~maybe).select("page_id", "url", "html", "sha1", "size", F.coalesce(small, first).alias("id"), none)
+    met = rows.where(maybe).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("w"), F.first("html").alias("html"))
+    met = met.select("w.page_id", "w.url", "html", "sha1", "size", first.alias("id"), none)
+    return alone.unionByName(met).unionByName(revisits)
+
+
+def records(found: DataFrame) -> DataFrame:
+    """stored (bytes of the payload in the record), value (a record as text, without the two line breaks at its end): three of each capture."""
+    bits, letters = base32(F.col("sha1"))
+    rows = found.withColumn("bits", bits).withColumn("digest", F.concat(*letters)).drop("bits")
+    rows = rows.withColumn("request", _id("request", "id")).withColumn("about", _id("metadata", "id"))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
-    kept = rows.withColumn("id", _id("response")).withColumn("request", _id("request")).withColumn("about", _id("metadata"))
-    refers = _id("response", F.col("best.page_id"), F.col("best.url"))
+    revisit = F.col("html").isNull()
 
     def record(kind: Column | str, name: Column, content: str, body: Column, *more: Column) -> Column:
         head = [F.lit("WARC/1.1" + CRLF + "WARC-Type: "), F.lit(kind) if isinstance(kind, str) else kind, F.lit(f"{CRLF}WARC-Record-ID: "), name, F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}")]
@@ -105,45 +116,74 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     host = F.coalesce(F.regexp_extract(uri, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = F.coalesce(F.regexp_extract(uri, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit(""))
     asked = F.concat(F.lit("GET "), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
-    size = F.octet_length("html").cast("string")
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF * 2))
-    revisit = F.col("record_type") == "revisit"
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF))
-    pointer = F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), refers, F.lit(CRLF))).otherwise("")
+    pointer = F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), F.col("best.id"), F.lit(CRLF))).otherwise("")
     about = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF), F.when(revisit, F.concat(F.lit("refers-to-page-id: "), F.coalesce(F.col("best.page_id").cast("string"), F.lit("")), F.lit(CRLF))).otherwise(""))
     three = F.array(
         record("request", F.col("request"), "application/http;msgtype=request", asked, concurrent),
-        record(F.col("record_type"), F.col("id"), "application/http;msgtype=response", body, digest, pointer),
+        record(F.when(revisit, "revisit").otherwise("response"), F.col("id"), "application/http;msgtype=response", body, digest, pointer),
         record("metadata", F.col("about"), "application/warc-fields", about, concurrent),
     )
-    return kept.select(F.explode(three).alias("value"))
-
-
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    records(pages, min_bytes).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    return rows.select(F.when(revisit, 0).otherwise(F.col("size")).alias("stored"), F.explode(three).alias("value"))
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, filter_words: int = FILTER_WORDS, classes: tuple[tuple[int, int], ...] = CLASSES) -> None:
+    """Writes the archives of pages under path. Classes of sizes that no page has are not looked for."""
+    found = captures(pages, min_bytes, filter_words)
+    largest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    low = -1
+    for high, n in classes:
+        if low < largest:
+            some = found.where(F.col("html").isNull() | (F.col("size") <= high)) if low < 0 else found.where(F.col("html").isNotNull() & (F.col("size") > low) & (F.col("size") <= high))
+            out = records(some).select("value").write.mode("append").option("lineSep", CRLF * 2)
+            out.option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
+        low = high
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """data unpacked piece by piece, if it's gzipped (in any number of members)."""
+    packed = data[:2] == b"\x1f\x8b"
+    z, at = zlib.decompressobj(31), 0
+    while at < len(data):
+        piece = data[at : at + PIECE]
+        at += len(piece)
+        yield z.decompress(piece) if packed else piece
+        if packed and z.eof:
+            at -= len(z.unused_data)
+            z = zlib.decompressobj(31)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record of an archive, gzipped in any number of members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            z = zlib.decompressobj(31)
-            parts.append(z.decompress(data))
-            data = z.unused_data
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+    pieces, held, at = _pieces(data), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not more():
+                if held:
+                    raise ValueError(f"no record at byte {at}")
+                return
+        lines = held[:end].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         start = end + 4
-        size = int(headers["content-length"])
-        yield headers, data[start : start + size]
-        at = start + size + 4
+        over = start + int(headers["content-length"])
+        while len(held) < over + 4 and more():
+            pass
+        yield headers, bytes(held[start:over])
+        del held[: over + 4]
+        at += over + 4
 
 
 def _bare(digest: str | None) -> str | None:
@@ -154,7 +194,7 @@ def _records(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
+                rows, held = [], 0
                 for h, block in parse(content.as_py()):
                     kind, payload, size, digest, fields = h.get("warc-type"), None, None, None, {}
                     if kind in ("response", "revisit", "request"):
@@ -166,9 +206,10 @@ def _records(with_payload: bool):
                     elif kind == "metadata":
                         fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(CRLF)) if k}
                     rows.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), digest if kind == "response" else _bare(h.get("warc-payload-digest")), size, _bare(h.get("warc-payload-digest")), list(fields.items()), payload if with_payload and kind == "response" else None))
-                    if len(rows) == 1000:
+                    held += len(payload or b"") if with_payload else 0
+                    if len(rows) == 1000 or held > 16 << 20:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 yield _batch(rows)
 
     return read
@@ -199,11 +240,11 @@ def assemble(found: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, **how) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture, written to archives in the shared folder and read back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(pages, path, min_bytes)
+    write_warc(pages, path, min_bytes, **how)
     whole = assemble(read_warc(spark, path)).where("response is not null")
     page = lambda field: F.nullif(F.col("metadata.fields")[field], F.lit("")).cast("long")
     return whole.select(page("page-id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), page("refers-to-page-id").alias("refers_to"))
