@@ -66,3 +66,19 @@ def n_words(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of a text, [] for null or none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+
+
+def meet(rows: DataFrame, few: DataFrame, key: str, by: Column, most: int, parts: int) -> DataFrame:
+    """rows with the columns of few (one row a key, null being one), null where few lacks the key.
+
+    few is broadcast up to `most` bytes, which are measured; beyond, each key's rows meet it in `parts` parts (told by the hash `by`), so
+    a key with a third of all rows isn't one task.
+    """
+    few = few.withColumnRenamed(key, "_key")
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) * F.greatest(F.size(c), F.lit(0)) if kind.startswith("array<bigint") else F.lit(8) for c, kind in few.dtypes]
+    weight = few.agg(F.sum(sum(sizes, F.lit(64)))).first()[0] or 0
+    if weight <= most:
+        return rows.join(F.broadcast(few), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.withColumn("_own", F.pmod(by, F.lit(parts)).cast("int"))
+    return rows.join(few, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_part")), "left").drop("_key", "_part", "_own")

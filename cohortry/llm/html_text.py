@@ -7,52 +7,76 @@ of that. Votes are counted per host and path by an aggregation, and each host's
 Second pass: each page's text is taken from all containers with a score on the host's winning path, in page order, or from those on
 the page's own path where the winning one is missing or holds under a third of the own best container's score.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by tag, role, class and id, and
-never count nor come out; a `header` inside an article is part of it. Character references are decoded, white space inside a block becomes
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count nor come out; a `header`
+inside an article is part of it. Tags, roles and hidden elements tell them for certain. Classes and ids only hint: a name counts by its
+last or first word, but for states (`no-sidebar`, `has-nav`, `menu-open`), and an element told by its name alone stays if it holds
+an article, main part or h1 with more text than all the page has outside of such elements (comments, adverts and lists of other
+articles don't). Character references are decoded, white space inside a block becomes
 one space, blocks are joined by one space; nothing else is changed, dropped or capped. Broken markup (unclosed, misnested, cut
-off) is read as far as it goes.
+off) is read as far as it goes. A page is read in time and memory in proportion to its length, however deep or broken it is.
 
 The host is the url's, in lower case; pages without one share the host "". Null html is an empty page with an empty text. Repeated
-rows and null ids are pages like others; an empty table gives an empty result; other columns play no part.
+rows and null ids are pages like others; ties of votes go to the path with more text, then to the lesser digest; an empty table gives an
+empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, meet
 
-#: Hosts whose paths may be broadcast; a path takes some hundred bytes.
-BROADCAST_HOSTS = 20_000
+#: Hosts' paths may be broadcast up to this size; beyond, pages meet them in so many parts for each host.
+BROADCAST_BYTES, HOST_PARTS = 16 << 20, 32
 DECAY = 0.9
 SHARE_OF_OWN = 1 / 3
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label nobr ruby rb rt rp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label nobr ruby rb rt rp math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPE = frozenset("ul ol dl table div article section main body td th form nav aside".split())
+CLOSABLE = frozenset(("p", *(t for tags in CLOSED_BY.values() for t in tags)))
 
-DROP_TAGS = frozenset("head script style noscript template nav aside footer form button select option textarea iframe object embed svg canvas audio video map menu dialog input datalist math title".split())
+DROP_TAGS = frozenset("head script style noscript template nav aside footer form button select option textarea iframe object embed svg canvas audio video map menu dialog input datalist title".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar tablist form".split())
+#: Words of names of what is no main text: those that count alone or at a name's end, those that count at its start whatever follows,
+#: and those of elements that stay dropped whatever they hold.
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs"
     " sidebar aside rail widget widgets footer foot comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr banner popup modal overlay alert"
     " newsletter subscribe signup login share sharing social related recommended recommendations trending popular pagination pager masthead topbar toolbar search skip".split()
 )
+FIRST_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer comment comments commentlist disqus"
+    " cookie cookies consent gdpr popup modal newsletter share sharing pagination pager masthead topbar toolbar".split()
+)
+FIRM_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promos promotion comment comments commentlist disqus respond replies reply"
+    " cookie cookies consent gdpr newsletter related recommended recommendations trending popular".split()
+)
+#: Words that only say which piece of the element it is, and words of names that state something of an element around it.
+PIECES = frozenset("area bar block body box button buttons col column container content group head header heading icon icons inner item items left line link links list listing main message outer panel posts right row section slot stories text title unit wrap wrapper articles".split())
+STATES_FIRST = frozenset("no not non has have with without hide is".split())
+STATES_LAST = frozenset("none off on disabled enabled open opened closed collapsed expanded hidden visible active inactive".split())
 KEEP_WORDS = frozenset("article content post entry story main body text".split())
 CONTENT_WORDS = frozenset("article content post entry story main maincontent articlebody".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>")
+TAG_START = re.compile(r"</?[a-zA-Z]")
 #: A tag whose quotes don't match.
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
 LOOSE = re.compile(r"</?[a-zA-Z][^<>]*>")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 NAME = re.compile(r"[a-z]+|[0-9]+")
@@ -60,23 +84,43 @@ DIGITS = re.compile(r"[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _drops(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
+SURE, FIRM, HINT = 3, 2, 1
+
+
+def _named(name: str, in_content: bool) -> int:
+    """What a class or id says of its element: FIRM or HINT for no main text, else 0."""
+    words = NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    if not words or words[0] in STATES_FIRST or words[-1] in STATES_LAST:
+        return 0
+    whole = len(words)
+    while len(words) > 1 and (words[-1] in PIECES or words[-1].isdigit()):
+        words.pop()
+    hits = [w for w in (words[-1], words[0]) if w in DROP_WORDS]
+    if hits and (words[-1] in DROP_WORDS or (words[0] in FIRST_WORDS and not in_content)):
+        return FIRM if any(w in FIRM_WORDS for w in hits) else HINT
+    if "header" in name.lower() and not in_content and not set(words) & KEEP_WORDS and (words[-1] == "header" or whole > len(words)):
+        return HINT
+    return 0
+
+
+def _drops(tag: str, attributes: dict[str, str], in_content: bool) -> int:
+    """SURE, FIRM or HINT if an element is no main text, else 0."""
     if tag in DROP_TAGS or (tag == "header" and not in_content):
-        return True
+        return SURE
     if not attributes:
-        return False
+        return 0
     if attributes.get("role", "").lower() in DROP_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDDEN.search(attributes.get("style", "").lower()):
-        return True
+        return SURE
     if tag in ("body", "html", "article", "main"):
-        return False
-    for value in (attributes.get("class", ""), attributes.get("id", "")):
-        for name in value.split():
-            words = set(NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
-            if words & DROP_WORDS:
-                return True
-            if "header" in words and not (in_content or words & KEEP_WORDS):
-                return True
-    return False
+        return 0
+    return max((_named(name, in_content) for c in ("class", "id") for name in attributes.get(c, "").split()), default=0)
+
+
+def _holds_article(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element says that main text is in it, rather than a comment or teaser."""
+    if tag in ("article", "main"):
+        return not any(_named(name, False) for c in ("class", "id") for name in attributes.get(c, "").split())
+    return tag == "h1" or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
 
 
 def _bonus(tag: str, attributes: dict[str, str]) -> float:
@@ -90,91 +134,153 @@ def _bonus(tag: str, attributes: dict[str, str]) -> float:
     return 1.25 if words & CONTENT_WORDS else 1.0
 
 
+def _marks(html: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, match) of each tag, and of comments and declarations without a match."""
+    at, strict = 0, True
+    while (at := html.find("<", at)) >= 0:
+        m = MARK.match(html, at)
+        if m:
+            yield at, m.end(), None
+            at = m.end()
+            continue
+        m = TAG.match(html, at) if strict else None
+        if not m and TAG_START.match(html, at):
+            # its quotes run to the page's end; from here on, quotes don't hold marks
+            strict = False
+            m = LOOSE_TAG.match(html, at)
+        if not m:
+            at += 1
+            continue
+        at = (yield at, m.end(), m) or m.end()
+
+
+class Stack:
+    """The open elements, with where those are that others close, so that nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int, bool]] = []  # (tag, container, whether its text is surely dropped)
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, node: int, dropped: bool) -> None:
+        self.places[tag].append(len(self.items))
+        if tag in SCOPE:
+            self.scopes.append(len(self.items))
+        self.items.append((tag, node, dropped))
+
+    def cut(self, size: int) -> None:
+        while len(self.items) > size:
+            tag = self.items.pop()[0]
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def open(self, *tags: str) -> bool:
+        return any(self.places[t] for t in tags)
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places[tag] else -1
+
+    def close(self, tags: tuple[str, ...]) -> None:
+        """Closes the last open one of tags in the innermost scope, and those of them right around it."""
+        at, scope = max(map(self.last, tags)), self.scopes[-1] if self.scopes else -1
+        if at < 0 or at < scope:
+            return
+        while at and self.items[at - 1][0] in tags:
+            at -= 1
+        self.cut(at)
+
+    @property
+    def top(self) -> tuple[int, bool]:
+        return self.items[-1][1:] if self.items else (0, False)
+
+
 class Page:
     """The elements of a page that may hold text, and its text in order."""
 
     def __init__(self, html: str) -> None:
-        self.paths, self.parents, self.bonus, self.own = [""], [-1], [0.6], [0.0]
-        self.outer = [True]  # the page itself, html and body
+        # of each container: a digest of its path, the one around it, its bonus, its text less that of links, whether it is the
+        # page itself, html or body, what its name hints, and whether it says it holds main text
+        self.paths, self.parents, self.bonus, self.own = [b""], [-1], [0.6], [0.0]
+        self.outer, self.hints, self.article = [True], [0], [False]
         self.parts: list[tuple[int, str]] = []  # (container, text or a block's end)
-        stack: list[tuple[str, int, bool]] = []  # (tag, container, whether its text is dropped)
-        at, size = 0, len(html)
-        links = 0
-        while at < size:
-            m = TOKEN.search(html, at)
-            # a mark that is no tag is text; one that is cut off at the end isn't
-            end = m.start() if m else size
-            if end > at:
-                text = html[at:end]
-                if not m:
-                    text = re.sub(r"<[a-zA-Z/!?][^<]*\Z", "", text)
-                self._text(text, stack, links)
-            if not m:
-                break
-            at = m.end()
-            tag = m[2]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        links -= sum(t == "a" for t, _, _ in stack[i:])
-                        self._break(tag, stack)
-                        del stack[i:]
-                        break
-                else:
-                    self._break(tag, stack)
-                continue
-            if tag in CLOSES_P:
-                links -= self._close(stack, ("p",))
-            if tag in CLOSED_BY:
-                links -= self._close(stack, CLOSED_BY[tag])
-            self._break(tag, stack)
-            if tag in VOID:
-                continue
-            raw = m[3]
-            attributes = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t\r") else {}
-            if tag in RAW:
-                close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-                over = html.find(">", close.start()) if close else -1
-                at = over + 1 if over >= 0 else size
-                continue
-            parent, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            in_content = any(t in ("article", "main") for t, _, _ in stack)
-            dropped = dropped or _drops(tag, attributes, in_content)
-            node = parent
-            if not dropped and tag not in INLINE and tag not in ("p", "br") and not raw.endswith("/"):
-                node = len(self.paths)
-                name = ".".join([tag, *sorted(DIGITS.sub("#", c) for c in attributes.get("class", "").split())])
-                self.paths.append(f"{self.paths[parent]}>{name}")
-                self.parents.append(parent)
-                self.outer.append(tag in ("html", "body"))
-                self.bonus.append(_bonus(tag, attributes))
-                self.own.append(0.0)
-            stack.append((tag, node, dropped))
-            links += tag == "a"
+        self._read(html)
+        self.off = self._off()
+        for i, off in enumerate(self.off):
+            if off:
+                self.own[i] = 0.0
+
+    def _read(self, html: str) -> None:
+        stack, at = Stack(), 0
+        marks = _marks(html)
+        found = next(marks, None)
+        while found:
+            start, end, m = found
+            if start > at:
+                self._text(html[at:start], stack)
+            at, jump = end, None
+            if m:
+                jump = self._tag(m, stack, html)
+                at = jump or end
+            found = next(marks, None) if jump is None else self._sent(marks, jump)
+        if at < len(html):
+            # a tag that is cut off at the end is no text
+            self._text(re.sub(r"<[a-zA-Z/!?][^<]*\Z", "", html[at:]), stack)
 
     @staticmethod
-    def _close(stack: list, tags: tuple[str, ...]) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                # the outermost of those that are open in this scope
-                while i and stack[i - 1][0] in tags:
-                    i -= 1
-                links = sum(t == "a" for t, _, _ in stack[i:])
-                del stack[i:]
-                return links
-            if stack[i][0] in SCOPE:
-                break
-        return 0
-
-    def _break(self, tag: str, stack: list) -> None:
-        if tag not in INLINE and not (stack and stack[-1][2]):
-            self.parts.append((stack[-1][1] if stack else 0, "\n"))
-
-    def _text(self, text: str, stack: list, links: int) -> None:
-        node, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+    def _sent(marks: Iterator, at: int):
+        try:
+            return marks.send(at)
+        except StopIteration:
+            return None
+
+    def _tag(self, m: re.Match, stack: Stack, html: str) -> int | None:
+        """Where to read on, if not after the tag."""
+        tag = m[2].lower()
+        if m[1]:
+            if stack.open(tag):
+                self._break(tag, stack)
+                stack.cut(stack.last(tag))
+            else:
+                self._break(tag, stack)
+            return None
+        if tag in CLOSES_P:
+            stack.close(("p",))
+        if tag in CLOSED_BY:
+            stack.close(CLOSED_BY[tag])
+        self._break(tag, stack)
+        if tag in VOID:
+            return None
+        raw = m[3]
+        attributes = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t\r") else {}
+        if tag in RAW:
+            close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, m.end())
+            over = html.find(">", close.start()) if close else -1
+            return over + 1 if over >= 0 else len(html)
+        parent, dropped = stack.top
+        hint = _drops(tag, attributes, stack.open("article", "main"))
+        dropped = dropped or hint == SURE
+        node = parent
+        if not dropped and (hint or (tag not in INLINE and tag not in ("p", "br") and not raw.endswith("/"))):
+            node = len(self.paths)
+            name = ".".join([tag, *sorted(DIGITS.sub("#", c) for c in attributes.get("class", "").split())])
+            self.paths.append(hashlib.blake2b(self.paths[parent] + name.encode("utf-8", "surrogatepass"), digest_size=12).digest())
+            self.parents.append(parent)
+            self.outer.append(tag in ("html", "body"))
+            self.hints.append(hint)
+            self.article.append(_holds_article(tag, attributes))
+            self.bonus.append(_bonus(tag, attributes))
+            self.own.append(0.0)
+        stack.push(tag, node, dropped)
+        return None
+
+    def _break(self, tag: str, stack: Stack) -> None:
+        node, dropped = stack.top
+        if tag not in INLINE and not dropped:
+            self.parts.append((node, "\n"))
+
+    def _text(self, text: str, stack: Stack) -> None:
+        node, dropped = stack.top
         if dropped:
             return
         if "<" in text:
@@ -182,7 +288,28 @@ class Page:
         text = entities.unescape(text) if "&" in text else text
         self.parts.append((node, text))
         size = len(text.strip())
-        self.own[node] += -size if links > 0 else size
+        self.own[node] += -size if stack.open("a") else size
+
+    def _off(self) -> list[bool]:
+        """Which containers are no main text by their names, or by those around them."""
+        n = len(self.paths)
+        firm, told = [h == FIRM for h in self.hints], [h > 0 for h in self.hints]
+        for i in range(1, n):
+            firm[i] = firm[i] or firm[self.parents[i]]
+            told[i] = told[i] or told[self.parents[i]]
+        if not any(told):
+            return told
+        outside = sum(x for x, t in zip(self.own, told, strict=True) if not t)
+        inside = [0.0 if f else x for x, f in zip(self.own, firm, strict=True)]
+        holds = [a and not f for a, f in zip(self.article, firm, strict=True)]
+        for i in range(n - 1, 0, -1):
+            inside[self.parents[i]] += inside[i]
+            holds[self.parents[i]] = holds[self.parents[i]] or holds[i]
+        off = [False] * n
+        for i in range(1, n):
+            stays = holds[i] and inside[i] > outside and not firm[i]
+            off[i] = off[self.parents[i]] or (self.hints[i] > 0 and not stays)
+        return off
 
     def scores(self) -> list[float]:
         held = list(self.own)
@@ -213,7 +340,7 @@ class Page:
             at = self.parents[at]
         return out
 
-    def on(self, path: str | None) -> list[int]:
+    def on(self, path: bytes | None) -> list[int]:
         """The containers to read: those on the path, or on the page's own path."""
         scores = self.scores()
         own, most = self.best(scores)
@@ -230,7 +357,7 @@ class Page:
             inside[node] = True
         for i in range(nodes[0] + 1, len(self.paths)):
             inside[i] = inside[i] or inside[self.parents[i]]
-        return " ".join("".join(t for i, t in self.parts if inside[i]).split())
+        return " ".join("".join(t for i, t in self.parts if inside[i] and not self.off[i]).split())
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +368,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, score = page.best()
             paths.append(page.paths[page.widest(i)] if score > 0 else None)
             scores.append(round(score))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.binary()), pa.array(scores, pa.int64())], ["host", "path", "score"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,17 +385,15 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: of each host the path with the most votes (then the most text, then the first by name)."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string, score long").where("path is not null")
+    """host, path (its digest): of each host the path with the most votes (then the most text, then the least)."""
+    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path binary, score long").where("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("score"), "path")).alias("path"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
+def main_text(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id, url, text, n_chars of each page; most: bytes of hosts' paths to broadcast."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    paths = cut(host_paths(pages)).toDF("of", "path")
-    if len(paths.limit(BROADCAST_HOSTS + 1).select("of").collect()) <= BROADCAST_HOSTS:
-        paths = F.broadcast(paths)
-    rows = pages.join(paths, host_of(F.col("url")) == F.col("of"), "left").select("page_id", "url", "html", "path")
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    paths = cut(host_paths(pages))
+    rows = meet(pages.withColumn("host", host_of(F.col("url"))), paths, "host", F.xxhash64("page_id", "url"), BROADCAST_BYTES if most is None else most, HOST_PARTS)
+    return rows.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import GAP, cut
+from .base import GAP, cut, meet
 
 SYMBOLS = r"[#*$%&|<>]"
 #: White space inside a line that isn't one space already; line breaks with what is around them; lines without a word.
@@ -110,25 +110,11 @@ def common_lines(docs: DataFrame, host: str, least: int = LEAST_DOCS, share: flo
     return both.where(F.col("n") > share * F.col("docs")).groupBy(F.col("c.host").alias("host")).agg(F.collect_set("line").alias("lines"))
 
 
-def with_common(rows: DataFrame, common: DataFrame, host: Column, most: int = BROADCAST_BYTES) -> DataFrame:
-    """rows with common, the hashes of their host's common lines or null.
-
-    Those lines are broadcast up to a size that is measured; beyond it, each host's rows and lines meet in `HOST_PARTS` parts, so
-    a host with a third of all rows isn't one task.
-    """
-    common = common.toDF("common_host", "common")
-    size = common.agg(F.sum(8 * F.size("common") + F.coalesce(F.octet_length("common_host"), F.lit(0)) + 64)).first()[0] or 0
-    if size <= most:
-        return rows.join(F.broadcast(common), host.eqNullSafe(F.col("common_host")), "left").drop("common_host")
-    common = common.withColumn("common_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(HOST_PARTS)).cast("int"))
-    return rows.join(common, host.eqNullSafe(F.col("common_host")) & (F.col("part") == F.col("common_part")), "left").drop("common_host", "common_part", "part")
-
-
 def quality(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, share: float = SHARE_OF_HOST, depleted: float = DEPLETED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc (all columns of docs as a struct), the measures, base_failed, n_common_lines, clean (the text without them), kept."""
     common = cut(common_lines(docs, host, least, share))
-    out = with_common(measures(docs), common, F.col(f"doc.{host}").cast("string"), broadcast_bytes)
+    out = measures(docs).withColumn("host", F.col(f"doc.{host}").cast("string"))
+    out = meet(out, common.toDF("host", "common"), "host", F.xxhash64("doc.text"), broadcast_bytes, HOST_PARTS).drop("host")
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     full = lines_of(text)
     go = F.filter(full, lambda x: F.array_contains(F.col("common"), line_hash(x)))

@@ -268,3 +268,42 @@ def test_html_takes_the_whole_article(spark):
     for k, (_, want) in cases.items():
         assert out[k] == " ".join(want.split()), k
     assert out[11] == part(1, 5).strip() and out[20] == "".join(part(i, 5) for i in range(3)).strip()
+
+
+def test_html_names_are_hints(spark):
+    long = "A sentence of the article that is long enough to count. " * 6
+    comments = "<div class=comments>" + "<article class=comment><h1>Re</h1><p>A comment of a reader.</p></article>" * 40 + "</div>"
+    cases = {
+        1: (f"<body><div class='layout no-sidebar'><article><p>{long}</p></article></div></body>", long),
+        2: (f"<body><div id=page class=has-nav><div class=content><p>{long}</p></div></div></body>", long),
+        3: (f"<body><article><p>{long}</p><section class=popular-science><p>{long}</p></section><div class=popular-posts>No</div></article></body>", long * 2),
+        4: (f"<body><article><p>{long}<math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article></body>", long + "x=2"),
+        5: (f"<body><div class='sidebar-wrap'><div class='nav-body'><article><p>{long}</p></article><div class=social-links>No</div></div></div><p>Site</p></body>", long),
+        6: (f"<body class='menu-open sidebar-collapsed'><div class=post><p>{long}</p></div>{comments}<div id=left-sidebar><p>{long}</p></div></body>", long),
+        7: (f"<body><div class=entry><p>{long}</p><p class=newsletter-signup>No</p><span class='ad-300'>No</span><div class=block-social-links>No</div><div class=widget_recent_entries>No</div></div></body>", long),
+        8: (f"<body><div class=siteHeader>No</div><div class='article-header'><h1>Head</h1></div><div class=text><p>{long}</p></div></body>", long),
+    }
+    rows = [(k, f"http://n{k}.example/", h) for k, (h, _) in cases.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (None, 0):  # hosts' paths broadcast, and met in parts
+        out = {r.page_id: r.text for r in html_text.main_text(df, most).collect()}
+        for k, (_, want) in cases.items():
+            assert out[k] == " ".join(want.split()), k
+
+
+def test_html_reads_in_linear_time():
+    import time
+
+    sizes = {"<div>": "x", "<div><b>": "x", '<a "': "", "<a '": "", "<p><b>": "x", "</i>": "", "<td><p>": "x", "<": "", "<!": "", "<a b='": ""}
+    for mark, end in sizes.items():
+        took = []
+        for n in (1 << 14, 1 << 17):
+            began = time.process_time()
+            page = html_text.Page("<p>start</p>" + "<b>" * n + mark * n + end)
+            text = page.text(page.on(None))
+            took.append(time.process_time() - began)
+        assert text.startswith("start"), mark
+        assert took[1] < 8 * 4 * max(took[0], 0.02), (mark, took)
+    page = html_text.Page("<div>" * 100_000 + "deep" + "</div>" * 100_000)
+    assert page.text(page.on(None)) == "deep"
+    assert html_text.Page('<p>one</p>' + '<a title="' * 100_000 + "<p>two</p>").parts[0][1] != ""
