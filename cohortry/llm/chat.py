@@ -3,11 +3,14 @@
 Template. A turn is `<|turn|>role<|text|>text<|end|>` and a newline. Inside roles and texts, a backslash becomes two and `<|`
 becomes `<\\|`, so marks never occur in them; reading reverses this exactly.
 
-Windows. A conversation's turns are taken in order of turn, role and text (so ties are settled). Runs of `block_turns` turn
-numbers form blocks, which bound what a task holds of one conversation. In a block, prefix sums of the turns' tokens choose
-windows: a window's new turns end before the first whose prefix sum passes the window's start plus what the budget leaves after
-the system turn and history; a turn over the budget has a window of its own. Each window shows the conversation's system turn
-(its first turn, if a system turn), then the last turns before the window that fit into `history` tokens, then its new turns.
+Windows. A conversation's turns are taken in order of turn, role and text (ties by the text's first characters, then its
+hash). All turns are put in order once by ranges, whatever their numbers; blocks are runs of up to `BLOCK_TURNS` of them, so no task
+holds more of one conversation. Prefix sums of a block's tokens choose its windows: a window's new turns end before the first
+that would take it beyond what the budget leaves after the system turn and history. The last window of a block and the first
+of the next are one where that fits. Each window shows the conversation's system turn (its first turn, if a system turn of up to
+half of the budget; a longer one is a turn like others, shown once), then the last turns before the window that fit into `history`
+tokens (at most `HISTORY_TURNS`), then its new turns. Where a new turn doesn't fit beside them, history and then the system turn
+are left out; a turn that is over the budget alone has a window of its own, the only kind that may pass the budget.
 Repeats, system turn included, are masked: only new turns of `target` roles are under the loss mask, so each is a target once.
 Tokens are counted as words and single marks of punctuation.
 
@@ -21,9 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .base import saved
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-BUDGET, HISTORY, BLOCK_TURNS = 512, 128, 64
+BUDGET, HISTORY, HISTORY_TURNS = 512, 128, 64
+#: Turns in a block (a power of two).
+BLOCK_TURNS = 1024
 ROLE = "struct<turn: bigint, role: string, text: string, tokens: bigint>"
 
 
@@ -40,7 +47,7 @@ def _tokens(turns: Column) -> Column:
     return F.aggregate(turns, F.lit(0).cast("long"), lambda s, t: s + t["tokens"])
 
 
-def _tail(turns: Column, most: int) -> Column:
+def _tail(turns: Column, most: Column | int) -> Column:
     """The last turns with up to `most` tokens together."""
     total = _tokens(turns)
     kept = F.aggregate(
@@ -51,50 +58,102 @@ def _tail(turns: Column, most: int) -> Column:
     return F.slice(turns, kept + 1, F.size(turns))
 
 
-def blocks(turns: DataFrame, block_turns: int = BLOCK_TURNS, history: int = HISTORY) -> DataFrame:
-    """conv_id, block, turns, system (array of up to one turn), carried (the turns before the block that fit the history), lead (the first block)."""
+def blocks(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """conv_id, block (rising in a conversation), turns: all turns in order, in runs of up to block_turns."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turn = F.col("turn").cast("long")
-    row = F.struct(turn.alias("turn"), text("role").alias("role"), text("text").alias("text"), F.regexp_count(text("text"), F.lit(TOKEN)).cast("long").alias("tokens"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(turn / block_turns).alias("block"), row.alias("t"))
-    grouped = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    first = F.get("turns", F.lit(0))
+    row = F.struct(F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"), F.regexp_count(text("text"), F.lit(TOKEN)).cast("long").alias("tokens"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), row.alias("t"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("conv_id", "t", F.col("t.turn").alias("turn"), F.col("t.role").alias("role"), F.substring("t.text", 1, 64).alias("head"), F.xxhash64("t.text").alias("hash"), "row")
+    order = ["conv_id", "turn", "role", "head", "hash", "row"]
+    # within a partition the id counts rows, and partitions are in order
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "t", F.monotonically_increasing_id().alias("at"))
+    block = F.floor(F.col("at") / block_turns)
+    found = at.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("x"))
+    return saved(found.select("conv_id", "block", F.transform("x", lambda x: x["t"]).alias("turns")), "turns")
+
+
+def _spans(tokens: Column, room: Column) -> Column:
+    """(start, size, tokens) of each window over an array of tokens, by their running sum."""
+    kind = "array<struct<start: int, size: int, tokens: bigint>>"
+    none, zero = F.array().cast(kind), F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), zero.alias("sum"), none.alias("out"))
+    span = lambda s: F.array(F.struct(s["start"].alias("start"), (s["i"] - s["start"]).alias("size"), s["sum"].alias("tokens")))
+
+    def step(s: Column, n: Column) -> Column:
+        over = (s["sum"] + n > room) & (s["i"] > s["start"])
+        return F.struct(
+            (s["i"] + 1).alias("i"), F.when(over, s["i"]).otherwise(s["start"]).alias("start"), F.when(over, n).otherwise(s["sum"] + n).alias("sum"),
+            F.when(over, F.concat(s["out"], span(s))).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: F.concat(s["out"], span(s)))
+
+
+def plan(found: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """conv_id, block, system, carried (turns before the block that fit the history), own (the block starts with the system turn),
+    spans (its windows), after (the block and window that its first one is part of, or null), before (its last one has a part in the next).
+
+    Apart from a bounded history only numbers travel by conversation.
+    """
     none = F.array().cast(f"array<{ROLE}>")
-    grouped = grouped.withColumn("first", F.when(first["role"] == "system", F.array(first)).otherwise(none)).withColumn("tail", _tail(F.col("turns"), history))
-    # what blocks hand on is bounded by the history, apart from the system turn; only that is put in order by conversation
+    first = F.get("turns", F.lit(0))
+    is_system = (first["role"] == "system") & (first["tokens"] <= budget // 2)
+    tail = _tail(F.slice("turns", F.greatest(F.size("turns") - HISTORY_TURNS + 1, F.lit(1)), HISTORY_TURNS), history)
+    slim = found.select("conv_id", "block", F.col("turns.tokens").alias("tokens"), F.when(is_system, F.array(first)).otherwise(none).alias("first"), tail.alias("tail"))
     order = W.partitionBy("conv_id").orderBy("block")
-    before = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    handed = grouped.select(
-        F.col("conv_id").alias("c"), F.col("block").alias("b"), F.first("first").over(before).alias("system"), F.coalesce(F.lag("tail").over(order), none).alias("carried"), (F.row_number().over(order) == 1).alias("lead"))
-    both = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))
-    return grouped.drop("first", "tail").join(handed, both).select("conv_id", "block", "turns", "system", "carried", "lead")
+    earlier = [F.coalesce(F.lag("tail", k).over(order), none) for k in (4, 3, 2, 1)]
+    slim = slim.select(
+        "conv_id", "block", "tokens", F.first("first").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("system"),
+        F.concat(*earlier).alias("carried"), (F.row_number().over(order) == 1).alias("lead"),
+    )
+    slim = slim.withColumn("own", F.col("lead") & (F.size("system") > 0)).withColumn("room", F.lit(budget) - _tokens(F.col("system")) - history)
+    slim = slim.withColumn("tokens", F.when(F.col("own"), F.slice("tokens", F.lit(2), F.size("tokens"))).otherwise(F.col("tokens")))
+    slim = slim.withColumn("spans", _spans(F.col("tokens"), F.col("room")))
+    # a system turn that the first new turn doesn't fit beside has a window of its own
+    alone = F.col("own") & (F.get("spans", F.lit(0))["size"] > 0) & (F.get("spans", F.lit(0))["tokens"] + _tokens(F.col("system")) > budget)
+    empty = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("tokens")))
+    slim = slim.withColumn("spans", F.when(alone, F.concat(empty, F.col("spans"))).otherwise(F.col("spans"))).withColumn("n", F.size("spans"))
+    last = F.element_at("spans", -1)["tokens"]
+    slim = slim.withColumn("fits", F.coalesce(F.lag(last).over(order) + F.get("spans", F.lit(0))["tokens"] <= F.col("room"), F.lit(False)))
+    # of a block's one window, the edge before goes first, so that no window has three parts
+    joins = F.col("fits") & ((F.lag("n").over(order) > 1) | ~F.lag("fits").over(order))
+    slim = slim.withColumn("after", F.when(joins, F.struct(F.lag("block").over(order).alias("block"), (F.lag("n").over(order) - 1).alias("window"))))
+    slim = slim.withColumn("before", F.coalesce(F.lead(F.col("after").isNotNull()).over(order), F.lit(False)))
+    return slim.select("conv_id", "block", "system", _tail(F.col("carried"), history).alias("carried"), "own", "spans", "after", "before")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """conv_id, block, window, system, repeated, new: the turns of each window."""
-    out = blocks(turns, block_turns, history)
+    """conv_id, block, window, system, system_is_new, repeated, new: the turns of each window."""
+    found = blocks(turns, block_turns)
+    to = plan(found, budget, history).withColumnsRenamed({"conv_id": "c", "block": "b"})
+    out = found.join(to, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
     # the system turn is shown by itself, also where it lies in the block
-    has = (F.size("system") > 0) & F.get("turns", F.lit(0)).eqNullSafe(F.get("system", F.lit(0)))
-    out = out.withColumn("own", has & F.col("lead"))
-    out = out.withColumn("room", F.greatest(F.lit(budget) - _tokens(F.col("system")) - history, F.lit(1)))
-    # by prefix sums, the window of each turn: whether a turn is the first of its window
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("base"), F.array().cast("array<int>").alias("window"))
-
-    def step(s: Column, t: Column) -> Column:
-        after = s["sum"] + t["tokens"]
-        last = F.coalesce(F.get(s["window"], F.size(s["window"]) - 1), F.lit(0))
-        cut = (after - s["base"] > F.col("room")) & (s["sum"] > s["base"])
-        return F.struct(after.alias("sum"), F.when(cut, s["sum"]).otherwise(s["base"]).alias("base"), F.concat(s["window"], F.array(F.when(cut, last + 1).otherwise(last).cast("int"))).alias("window"))
-
-    shown = F.when(F.col("own"), F.slice("turns", F.lit(2), F.size("turns"))).otherwise(F.col("turns"))
-    out = out.withColumn("turns", shown)
-    out = out.withColumn("window", F.aggregate("turns", start, step)["window"])
-    out = out.select("conv_id", "block", "turns", "system", "carried", "own", "window", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(F.array_max("window"), F.lit(0)), F.lit(0)))).alias("w"))
-    mine = lambda keep: F.filter("turns", lambda t, i: keep(F.get("window", i)))
-    out = out.withColumn("new", mine(lambda k: k == F.col("w"))).withColumn("past", F.concat("carried", mine(lambda k: k < F.col("w"))))
-    # a system turn in the carried history is shown once, at the top
+    out = out.withColumn("turns", F.when(F.col("own"), F.slice("turns", F.lit(2), F.size("turns"))).otherwise(F.col("turns")))
+
+    def window(span: Column, i: Column) -> Column:
+        start = F.greatest(span["start"] - HISTORY_TURNS, F.lit(0))
+        near = F.slice("turns", start + 1, span["start"] - start)
+        past = F.when(start > 0, near).otherwise(F.concat("carried", near))
+        joined = (i == 0) & F.col("after").isNotNull()
+        return F.struct(
+            F.when(joined, F.col("after.block")).otherwise(F.col("block")).alias("block"), F.when(joined, F.col("after.window")).otherwise(i).alias("window"),
+            (joined | (F.col("before") & (i == F.size("spans") - 1))).alias("parted"), joined.alias("second"),
+            ((i == 0) & F.col("own")).alias("system_is_new"), past.alias("past"), F.slice("turns", span["start"] + 1, span["size"]).alias("new"),
+        )
+
+    out = out.select("conv_id", "system", F.inline(F.transform("spans", window)))
+    parts = F.sort_array(F.collect_list(F.struct("second", "system", "system_is_new", "past", "new")))
+    joined = out.where("parted").groupBy("conv_id", "block", "window").agg(parts.alias("p"))
+    whole = F.get("p", F.lit(0))
+    joined = joined.select("conv_id", "block", "window", whole["system"].alias("system"), whole["system_is_new"].alias("system_is_new"), whole["past"].alias("past"), F.flatten(F.col("p.new")).alias("new"))
+    out = out.where("not parted").drop("parted", "second").unionByName(joined)
+    # a system turn in the carried history is shown once, at the top; what doesn't fit beside the new turns is left out
     past = F.filter("past", lambda t: ~F.coalesce(t.eqNullSafe(F.get("system", F.lit(0))), F.lit(False)))
-    return out.select("conv_id", "block", F.col("w").alias("window"), "system", ((F.col("w") == 0) & F.col("own")).alias("system_is_new"), _tail(past, history).alias("repeated"), "new")
+    shown = F.col("system_is_new") | (_tokens(F.col("system")) + F.col("used") <= budget)
+    out = out.withColumn("used", _tokens(F.col("new")))
+    out = out.withColumn("system", F.when(shown, F.col("system")).otherwise(F.array().cast(f"array<{ROLE}>")))
+    left = F.least(F.lit(history), F.lit(budget) - F.col("used") - _tokens(F.col("system")))
+    return out.select("conv_id", "block", "window", "system", "system_is_new", _tail(past, F.greatest(left, F.lit(0))).alias("repeated"), "new")
 
 
 def format_chat(turns: DataFrame, target: tuple[str, ...] = ("assistant",), **how) -> DataFrame:

@@ -56,11 +56,14 @@ def test_chat_edges(spark):
     made = chat.format_chat(df).cache()
     assert chat_got(chat.digests(chat.read_chat(made))) == expected(rows)
     assert chat.format_chat(df.where("turn = 9999")).count() == 0
+    # blocks of any size give the same, but for where windows end
+    for some in (1, 2, 8, 64):
+        assert chat_got(chat.digests(chat.read_chat(chat.format_chat(df, block_turns=some)))) == expected(rows), some
     # windows hold to the budget unless one turn alone is over it, and show the system turn and bounded history
     for r in chat.windows(df).collect():
         new = [t.tokens for t in r.new]
         used = sum(new) + sum(t.tokens for t in r.repeated) + sum(t.tokens for t in r.system)
-        assert used <= chat.BUDGET or len(new) == 1
+        assert used <= chat.BUDGET or used == new[0] > chat.BUDGET
         assert sum(t.tokens for t in r.repeated) <= chat.HISTORY
         if r.conv_id == 5:
             assert [t.turn for t in r.system] == [0]
@@ -68,6 +71,32 @@ def test_chat_edges(spark):
     assert len(five) > 5 and all(r.formatted.startswith("<|turn|>system<|text|>") for r in five)
 
 
+def test_chat_windows(spark):
+    made = lambda rows, **how: chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), **how).orderBy("conv_id", "block", "window").collect()
+    say = lambda n: "w " * n
+    # turn numbers don't matter, far apart, all one or none
+    for number in (lambda i: i, lambda i: 1000 * i, lambda i: 7, lambda i: None):
+        rows = [(1, number(i), "user", f"{i:03d} " + say(9)) for i in range(40)]
+        assert [len(r.new) for r in made(rows)] == [38, 2]
+    # a long system turn is shown once; one of half of the budget with each window
+    rows = lambda n: [(1, 0, "system", say(n))] + [(1, i, "user", say(20)) for i in range(1, 21)]
+    out = made(rows(600))
+    assert [len(r.new) for r in out] == [1, 19, 1] and all(not r.system for r in out)
+    out = made(rows(256))
+    assert all(r.system[0].tokens == 256 and sum(t.tokens for t in r.new + r.repeated) <= 256 for r in out) and sum(len(r.new) for r in out) == 20
+    # what doesn't fit beside a new turn is left out: history, then the system turn
+    out = made([(1, 0, "system", say(200)), (1, 1, "user", say(100)), (1, 2, "user", say(300)), (1, 3, "user", say(400)), (1, 4, "user", say(10))])
+    assert [(len(r.system), len(r.repeated), [t.tokens for t in r.new]) for r in out] == [(1, 0, [100]), (1, 0, [300]), (0, 0, [400]), (1, 0, [10])]
+    assert [len(r.new) for r in made([(1, 0, "system", say(200)), (1, 1, "user", say(400))])] == [0, 1]
+    # windows go on over the edges of blocks, history too
+    rows = [(1, i, "user", say(10)) for i in range(400)]
+    whole, cut = made(rows, block_turns=1024), made(rows, block_turns=16)
+    assert sum(len(r.new) for r in cut) == 400 and max(len(r.new) for r in cut) > 16
+    assert all(sum(t.tokens for t in r.repeated) == 120 for r in cut[1:] + whole[1:])
+    rows = [(1, i, "user", "hi") for i in range(3000)]
+    assert [t.turn for r in made(rows) for t in r.new] == list(range(3000))
+
+
 # quality
 
 
