@@ -14,7 +14,7 @@ from .html_text import main_text
 from .language import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
-from .sharding import reshard_files
+from .sharding import reshard_files, shard_of_source
 
 HARD_TEXT = "\\### Assistant: </turn> ok"
 
@@ -34,7 +34,7 @@ def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshard_files(table(spark, sf_dir, "documents"))
+    return reshard_files(table(spark, sf_dir, "documents"), old=shard_of_source())
 
 
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

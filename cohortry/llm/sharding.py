@@ -1,6 +1,8 @@
 """Minimum-cost-flow resharding: from old shard sizes to new capacities with the fewest bytes moved.
 
-Sizes are UTF-8 bytes plus 8 a row. Rows of equal text form a group that stays together unless it outgrows a shard; then its
+Old shards are what the caller says of each row (a column; rows without one are new and have none to stay in), or by a hash. Sizes
+are UTF-8 bytes plus 8 a row. A group of equal texts in several old shards counts as in the one that holds most of it (ties: the
+first), since the rest of it moves in any case. Rows of equal text form a group that stays together unless it outgrows a shard; then its
 rows are groups of their own. Groups of over 1/200 of a shard (at most 200 for each shard, by that bound) are placed first,
 largest first, where they lie if there is room. Then the remaining capacities are levelled so that all shards come out equal
 in proportion to their weights, and a minimum-cost flow from the old shards' bytes to those capacities, at one unit for each
@@ -11,7 +13,8 @@ shards' files does, once.
 
 Law `bytes`: shard sizes near equal (within about 1/100 of a shard where no single row is larger).
 Null texts have no bytes (size 8, crc 0). Null ids, repeated rows and ties are ordered by id and text; an empty table gives an
-empty result; other columns are ignored unless carried.
+empty result; other columns are ignored unless carried. Very long texts are rows like others: one over a shard's share makes that shard
+larger. A caller's columns named shard and old_shard don't go into files, which have their own.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ def place_large(groups: list[tuple[int, int, int]], room: list[float]) -> tuple[
     return out, taken
 
 
-def sized(docs: DataFrame, *carried: str) -> DataFrame:
+def sized(docs: DataFrame, *carried: Column | str) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
@@ -115,18 +118,25 @@ def sized(docs: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def plan(rows: DataFrame, old: Column | None = None, n_old: int = OLD, weights: list[float] | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(unit, old, shard, bytes) of each group of `sized` rows, and the rows with their unit."""
+def plan(rows: DataFrame, old: Column | None = None, n_old: int | None = None, weights: list[float] | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unit, old, shard, bytes) of each group of `sized` rows, the rows with their unit and old shard, and (unit, old, bytes) of each
+    group's part in each old shard. old: of rows, else by hash in n_old shards."""
     weights = weights or [1.0] * NEW
     by_text = rows.groupBy("text_hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    total, count = rows.agg(F.sum("size"), F.count("*")).first()
+    total, count, most = rows.agg(F.sum("size"), F.count("*"), F.max(F.lit(0) if old is None else old)).first()
     total = total or 0
     shard_bytes = total / len(weights)
+    n_old = n_old or (OLD if old is None else int(most or 0) + 1)
     # groups that outgrow a shard are at most as many as the shards
     outgrown = [r.text_hash for r in by_text.where((F.col("bytes") > shard_bytes) & (F.col("n") > 1)).select("text_hash").collect()]
     unit = F.when(F.col("text_hash").isin(outgrown), F.col("row_hash")).otherwise(F.col("text_hash")) if outgrown else F.col("text_hash")
-    rows = rows.withColumn("unit", unit).withColumn("old", F.pmod(F.col("unit"), F.lit(n_old)).cast("int") if old is None else old)
-    groups = cut(rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.min("old").alias("old")))
+    blocks = max(1, -(-count // (n_old * block_rows)))
+    new = max(n_old, len(weights))  # stands for the old shard of rows without one
+    own = F.pmod(unit, F.lit(n_old)) if old is None else F.coalesce(old, F.lit(new))
+    rows = rows.withColumn("unit", unit).withColumn("old", own.cast("int"))
+    cells = cut(rows.groupBy("unit", "old").agg(F.sum("size").alias("bytes")))
+    n_old = new + 1
+    groups = cut(cells.groupBy("unit").agg(F.sum("bytes").alias("bytes"), F.max_by("old", F.struct("bytes", -F.col("old"))).alias("old")))
     large_at = shard_bytes / LARGE
     large = groups.where(F.col("bytes") > large_at)
     room = [total * w / sum(weights) for w in weights]
@@ -134,7 +144,6 @@ def plan(rows: DataFrame, old: Column | None = None, n_old: int = OLD, weights:
     spark = rows.sparkSession
     placed = F.broadcast(spark.createDataFrame(list(placed.items()), T.StructType([T.StructField("unit", T.LongType()), T.StructField("shard", T.IntegerType())])))
     small = groups.where(F.col("bytes") <= large_at)
-    blocks = max(1, -(-count // (n_old * block_rows)))
     small = small.withColumn("block", F.pmod(F.shiftright("unit", 17), F.lit(blocks)).cast("int"))
     sizes = cut(small.groupBy("old", "block").agg(F.sum("bytes").alias("bytes")))
     by_old = {r.old: r.bytes for r in sizes.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect()}
@@ -156,7 +165,7 @@ def plan(rows: DataFrame, old: Column | None = None, n_old: int = OLD, weights:
     middle = F.col("start") + F.col("before") + F.col("bytes") / 2
     at = F.coalesce(F.get(F.filter("cuts", lambda c: middle < c["end"]), F.lit(0)), F.element_at("cuts", -1))
     small = small.select("unit", "old", at["shard"].alias("shard"), "bytes")
-    return small.unionByName(large.join(placed, "unit").select("unit", "old", "shard", "bytes")), rows
+    return small.unionByName(large.join(placed, "unit").select("unit", "old", "shard", "bytes")), *(x.withColumn("old", F.nullif("old", F.lit(new))) for x in (rows, cells))
 
 
 def slots(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -171,11 +180,16 @@ def slots(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return rows.withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long")).drop("of_shard", "of_bucket", "offset", "rank", "bucket")
 
 
-def reshard(docs: DataFrame, **how) -> DataFrame:
+def _placed(docs: DataFrame, old: Column | None, how: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`plan` of docs' rows; old: of docs."""
+    rows = saved(sized(docs, *([] if old is None else [old.cast("int").alias("old")])), "sized")
+    return plan(rows, None if old is None else F.col("old"), **how)
+
+
+def reshard(docs: DataFrame, old: Column | None = None, **how) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: `bytes` depends on all rows), old_shard of each row."""
-    groups, rows = plan(saved(sized(docs), "sized"), **how)
-    found = rows.drop("old").join(groups.drop("bytes"), "unit")
-    out = slots(saved(found, "sharded"))
+    groups, rows, _ = _placed(docs, old, how)
+    out = slots(saved(rows.join(groups.select("unit", "shard"), "unit"), "sharded"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
@@ -190,44 +204,56 @@ def with_shards(docs: DataFrame, **how) -> DataFrame:
     return full.join(slim, ["row_hash", "nth"]).select("doc", "shard", "slot")
 
 
-def reshard_rows(docs: DataFrame, **how) -> DataFrame:
+def reshard_rows(docs: DataFrame, old: Column | None = None, **how) -> DataFrame:
     """row_hash, shard, slot of each row."""
-    groups, rows = plan(saved(sized(docs), "sized"), **how)
-    return slots(saved(rows.drop("old").join(groups.drop("bytes"), "unit"), "sharded")).select("row_hash", "shard", "slot")
+    groups, rows, _ = _placed(docs, old, how)
+    return slots(saved(rows.join(groups.select("unit", "shard"), "unit"), "sharded")).select("row_hash", "shard", "slot")
 
 
-def rewrite(docs: DataFrame, path: str, every: bool = False, **how) -> list[int]:
+def rewrite(docs: DataFrame, path: str, every: bool = False, old: Column | None = None, **how) -> list[int]:
     """Writes the shards whose rows change as Parquet under path/shard=N; returns their numbers. The others' files stay, and
     folders of shards that are left without rows go. With `every`, all shards are written: no file of the old layout is there.
 
-    Files have docs' columns and old_shard. Rows are written where the join leaves them, so text is shuffled once.
+    docs must not read from path itself. Files have docs' columns and old_shard (null: new). Rows are written where the join leaves
+    them, so text is shuffled once.
     """
-    return _rewrite(docs, path, every, how)[1]
+    return _rewrite(docs, path, every, old, how)[1]
 
 
-def _rewrite(docs: DataFrame, path: str, every: bool, how: dict) -> tuple[DataFrame, list[int]]:
+def _rewrite(docs: DataFrame, path: str, every: bool, old: Column | None, how: dict) -> tuple[DataFrame, list[int]]:
     """The rows written, and the shards' numbers."""
-    groups, rows = plan(saved(sized(docs), "sized"), **how)
+    groups, rows, cells = _placed(docs, old, how)
     groups = cut(groups)
     held = {r[0] for r in groups.select("shard").distinct().collect()}
-    moved = groups.where("old <> shard")
-    hit = sorted(held if every else {r[0] for r in moved.select("shard").union(moved.select("old")).distinct().collect()})
-    to = groups.where(F.col("shard").isin(hit)).select("unit", "shard", F.col("old").alias("old_shard"))
-    where = rows.select("row_hash", "unit").distinct().join(to, "unit").select("row_hash", "shard", "old_shard")
-    full = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("row_hash")).join(where, "row_hash")
+    moved = cells.join(groups.select("unit", "shard"), "unit").where(~F.col("old").eqNullSafe(F.col("shard")))
+    hit = sorted(held if every else {r[0] for r in moved.select("shard").union(moved.select("old").where("old is not null")).distinct().collect()})
+    names = ("row_hash", "unit", "old")
+    where = rows.select(*names).distinct().join(groups.where(F.col("shard").isin(hit)).select("unit", "shard"), "unit")
+    own = F.xxhash64("doc_id", F.col("text").cast("string")).alias("row_hash")
+    full = docs.select(F.struct("*").alias("doc"), own, F.lit(None).cast("int").alias("own") if old is None else old.cast("int").alias("own"))
+    # copies of a row may lie in several old shards, and each comes from its own
+    where = where.select("row_hash", "shard", F.col("old").alias("old_shard")) if old is None else where.groupBy("row_hash").agg(F.first("shard").alias("shard"))
+    full = full.join(where, "row_hash")
+    full = full if old is None else full.withColumn("old_shard", F.col("own"))
     full = full.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "old_shard")], "old_shard", "shard")
     full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = docs.sparkSession
     for j in set(hit) - held:
-        folder = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
-        folder.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return full, hit
 
 
-def reshard_files(docs: DataFrame, **how) -> DataFrame:
+def reshard_files(docs: DataFrame, old: Column | None = None, **how) -> DataFrame:
     """What `reshard` returns, with the shards written to the shared folder and each column taken from the files read back."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    full, _ = _rewrite(docs, path, True, how)
+    full, _ = _rewrite(docs, path, True, old, how)
     files = spark.read.schema(full.schema).parquet(path)
     out = slots(saved(sized(files, "shard", "old_shard"), "sharded"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def shard_of_source(n: int = OLD, source: str = "source") -> Column:
+    """An old layout in which each source lies in one shard, as unequal as the sources are."""
+    return F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(n)).cast("int")

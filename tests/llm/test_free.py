@@ -58,9 +58,9 @@ def test_rewrite_leaves_other_shards(spark, tmp_path):
     even = spark.createDataFrame([(i, "same size", i % 4) for i in range(400)], "doc_id long, text string, now int").withColumn("text", F.concat("text", F.col("doc_id") + 1000))
     weights = [1.0] * 4
     rows_of = lambda d: sharding.sized(d).join(d.select("doc_id", F.col("now").alias("old_now")), "doc_id")
-    groups, _ = sharding.plan(rows_of(even), old=F.col("old_now"), n_old=4, weights=weights)
+    groups, _, _ = sharding.plan(rows_of(even), old=F.col("old_now"), n_old=4, weights=weights)
     assert groups.where("old <> shard").count() == 0
-    groups, _ = sharding.plan(rows_of(df), old=F.col("old_now"), n_old=4, weights=weights)
+    groups, _, _ = sharding.plan(rows_of(df), old=F.col("old_now"), n_old=4, weights=weights)
     moved = groups.where("old <> shard").agg(F.sum("bytes")).first()[0]
     by = Counter()
     for r in groups.collect():
@@ -102,6 +102,39 @@ def test_rewrite_deletes_emptied_shards(spark, tmp_path):
     assert Counter(r.doc_id for r in spark.read.parquet(path).collect()) == Counter(range(400))
 
 
+def test_rewrite_from_given_shards(spark, tmp_path):
+    """Fewest bytes move, only touched shards' files are written, rows are whole, and equal texts come together."""
+    path = tmp_path / "out"
+    rows = [(i, f"text {i:04d}", i % 3, "k") for i in range(300)] + [(1000 + i, f"more {i:04d}", 1, "k") for i in range(150)]
+    rows += [(2000 + i, "the same text", i % 2 * 2, "k") for i in range(9)] + [(3000, None, 2, "k"), (3000, None, 2, "k"), (3001, "a new row", None, "k")]
+    # shards 3 and 4 are as full as all are to be, so they stay
+    rows += [(4000 + i, f"text {i:04d}!", 3 + i % 2, "k") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, unit string")
+    df.where("shard is not null").write.partitionBy("shard").parquet(str(path))
+    before = {f.name: f.stat().st_mtime_ns for f in path.glob("shard=4/*")}
+    size = lambda t: len((t or "").encode()) + 8
+    total = Counter()
+    for _, t, j, _ in rows:
+        total[j] += size(t)
+    goal = [total[j] for j in range(5)]
+    rest = sum(total[j] for j in (0, 1, 2, None)) / 3
+    weights = [rest, rest, rest, float(goal[3]), float(goal[4])]
+    hit = sharding.rewrite(df, str(path), old=F.col("shard"), weights=weights)
+    back = spark.read.parquet(str(path)).select("doc_id", "text", "unit", "shard").collect()
+    assert Counter((r.doc_id, r.text, r.unit) for r in back) == Counter((d, t, u) for d, t, _, u in rows)
+    assert len({r.shard for r in back if r.text == "the same text"}) == 1
+    was = {d: j for d, _, j, _ in rows}
+    moved = sum(size(r.text) for r in back if was[r.doc_id] is not None and was[r.doc_id] != r.shard)
+    over = sum(max(0, total[j] - rest) for j in range(3))
+    together = 4 * size("the same text")
+    assert over - 60 <= moved <= over + together + 60
+    assert hit == [0, 1, 2]
+    assert {f.name: f.stat().st_mtime_ns for f in path.glob("shard=4/*")} == before
+    out = sharding.reshard(df, old=F.col("shard")).collect()
+    check_shards(out, [(d, t) for d, t, _, _ in rows])
+    assert Counter((r.doc_id, r.old_shard) for r in out) == Counter((d, j) for d, _, j, _ in rows)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_flow_costs_least(seed):
     import random
