@@ -43,7 +43,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sharding.with_shards(docs)
+    out = sharding.with_shards(docs, old=sharding.shard_of_source() if "source" in docs.columns else None)
     return out.select(*_columns(docs, [c for c in docs.columns if c not in ("shard", "slot")]), "shard", "slot")
 
 
