@@ -1,15 +1,17 @@
 """Cross-site line dedup: lines that many distinct sites share are boilerplate and go.
 
 Each distinct normalised line (lower case, white space as one space) of at least `MIN_CHARS` gets a HyperLogLog sketch of the sites
-that hold it; sketches are built before the shuffle and merged by the aggregation, so a line on a third of all pages
-travels as a few sketches. Lines whose estimate is clear of the threshold by the sketch's error are decided by it; those near it get an
-exact distinct count of their sites, so the decision is the exact one for every line. Lines on `sites` or more distinct sites go from every document; the
+that hold it, in one aggregation: each task builds its own sketches before the shuffle, which merges them, so a line on a third of
+all pages travels as one sketch a task. Lines whose estimate is clear of the threshold by three standard errors are decided by it; those
+near it get an exact distinct count of their sites. Lines on `sites` or more distinct sites go from every document; the
 texts that remain keep their order.
 
-Documents don't travel with their lines: only hashes do, and each document meets the hashes of its own lines that go.
+Documents don't travel with their lines: only hashes do, and each document meets the hashes of its own lines that go. Tables of
+lines are broadcast where their measured size allows; beyond that they meet rows in parts, so that no line is one task.
 
 Null texts stay null and hold no lines; a null site is no site; rows with one id and text are treated alike; null ids are rows;
-an empty table gives an empty result; other columns are passed through inside a struct and may have any name.
+an empty table gives an empty result; other columns are passed through inside a struct and may have any name. A line on exactly
+`sites` sites goes. A very long text takes memory in proportion to its lines, in its own row's task.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, saved
+from .base import cut, meet, saved
 
 SITES, MIN_CHARS = 10, 1
+#: Lines that may be broadcast, and the parts in which more of them meet rows.
+BROADCAST_BYTES, LINE_PARTS = 16 << 20, 32
 LG_K = 12
 #: White space that isn't one space already.
 SPACES = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -46,25 +50,29 @@ def held_lines(docs: DataFrame, site: str = "source", min_chars: int = MIN_CHARS
     return docs.where(text.isNotNull()).select(F.xxhash64("doc_id", text).alias("name"), F.col(site).cast("string").alias("site"), F.explode(each).alias("line"))
 
 
-def spread(held: DataFrame, sites: int = SITES) -> DataFrame:
+def held_by(held: DataFrame, some: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of held whose line is in some (line)."""
+    marked = some.select("line", F.lit(1).cast("long").alias("here"))
+    return meet(held, marked, "line", F.xxhash64(*held.columns), most, LINE_PARTS).where("here = 1").drop("here")
+
+
+def spread(held: DataFrame, sites: int = SITES, most: int = BROADCAST_BYTES) -> DataFrame:
     """line, n_sites (estimated, or exact near the threshold), exact: of each line on enough sites."""
     held = held.where("site is not null").select("site", "line")
-    # a line with one site has nothing to merge; the sketches are for the others
-    several = held.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b or " + str(sites < 2).lower()).select("line")
-    candidates = held.join(several, "line", "left_semi")
-    sketched = cut(candidates.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n")))
-    near = sketched.where((F.col("n") >= sites * (1 - ERROR) - 1) & (F.col("n") <= sites * (1 + ERROR) + 1)).select("line")
-    exact = held.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("n")).select("line", F.col("n").alias("n_sites"), F.lit(True).alias("exact"))
-    clear = sketched.where(F.col("n") > sites * (1 + ERROR) + 1).select("line", F.col("n").alias("n_sites"), F.lit(False).alias("exact"))
-    return clear.union(exact.where(F.col("n_sites") >= sites))
+    sketched = held.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"))
+    sketched = cut(sketched.select("line", F.hll_sketch_estimate("sites").alias("n")).where(F.col("n") >= sites * (1 - ERROR) - 1))
+    clear = F.col("n") > sites * (1 + ERROR) + 1
+    pairs = held_by(held, sketched.where(~clear), most).distinct()
+    exact = pairs.groupBy("line").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= sites)
+    return sketched.where(clear).select("line", F.col("n").alias("n_sites"), F.lit(False).alias("exact")).union(exact.select("line", "n_sites", F.lit(True)))
 
 
-def remove_lines(docs: DataFrame, site: str = "source", sites: int = SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_lines(docs: DataFrame, site: str = "source", sites: int = SITES, min_chars: int = MIN_CHARS, most: int = BROADCAST_BYTES) -> DataFrame:
     """doc (all columns of docs as a struct), n_lines (with a word), n_removed, clean."""
     held = saved(held_lines(docs, site, min_chars), "lines")
-    common = cut(spread(held, sites).select("line"))
+    common = cut(spread(held, sites, most).select("line"))
     # the hashes of the lines that go, gathered by row
-    go = held.join(common, "line", "left_semi").groupBy("name").agg(F.collect_set("line").alias("go"))
+    go = held_by(held, common, most).groupBy("name").agg(F.collect_set("line").alias("go"))
     full = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("name")).join(go, "name", "left").drop("name")
     own = F.col("doc.text").cast("string")
     bad = lambda x: (F.length(norm(x)) >= min_chars) & F.array_contains(F.col("go"), line_hash(x))
