@@ -33,6 +33,7 @@ class Effect:
     ci_percent: Interval
     dof: float
     delta_sum: float
+    ci_sum: Interval = (NAN, NAN)
     #: Of (control, treatment).
     sample_counts: tuple[float, float] = field(default=(NAN, NAN))
     impacted_counts: tuple[float, float] = field(default=(NAN, NAN))
@@ -53,41 +54,53 @@ def normal_ci(mean: float, se: float, coverage: float = 0.95) -> tuple[Interval,
     return (mean - q * se, mean + q * se), 2 * (1 - dist.normal_cdf(abs(mean / se)))
 
 
-def _impact(treatment: Arm, control: Arm, delta: float, same_population: bool, tolerance: float) -> float:
+def _impact(treatment: Arm, control: Arm, spread: float, same_population: bool, tolerance: float) -> tuple[float, float]:
+    """(effect on all triggered units, its variance): on the arms' common population, or on each arm's own. spread: the difference's variance."""
     t, c = treatment.triggered, control.triggered
     if t is None or c is None:
-        return NAN
+        return NAN, NAN
     if not same_population:
-        return NAN
+        return t * treatment.mean - c * control.mean, t * t * treatment.var + c * c * control.var
     if abs(t - c) / (t + c) > tolerance:
         raise ValueError(f"triggered populations differ: {c} and {t}")
-    return (t + c) / 2 * delta
+    n = (t + c) / 2
+    return n * (treatment.mean - control.mean), n * n * spread
 
 
 def two_sample(treatment: Arm, control: Arm, coverage: float = 0.95, law: str = "t", same_population: bool = True, tolerance: float = 0.1) -> Effect:
     """Welch's test (degrees of freedom rounded down) or the normal test.
 
-    An arm of one unit is an error; five units or fewer leave the interval open. Where one variance is unknown, three times the
-    other stands in. Without any variance p is 1 if the means are equal, else 0.
+    An arm of one unit is an error; five units or fewer leave the intervals open. Where one variance is unknown, the difference's is three
+    times the other, with that arm's degrees of freedom. Without any variance p is 1 if the means are equal, else 0. Percentages are of
+    the control's mean, whatever its sign.
     """
     if treatment.n <= 1 or control.n <= 1:
         raise ValueError("each arm needs two units at least")
     delta = treatment.mean - control.mean
     vt, vc = treatment.var, control.var
-    if math.isnan(vt) != math.isnan(vc):
-        vt, vc = (3 * vc, vc) if math.isnan(vt) else (vt, 3 * vt)
-    ci, p, dof = (NAN, NAN), NAN, NAN
+    if math.isnan(vt) or math.isnan(vc):
+        known, n = (vc, control.n) if math.isnan(vt) else (vt, treatment.n)
+        spread, free = 3 * known, n - 1.0
+    else:
+        spread = vt + vc
+        free = math.floor(spread**2 / (vt**2 / (treatment.n - 1) + vc**2 / (control.n - 1))) if spread > 0 else NAN
+    total, total_var = _impact(treatment, control, spread, same_population, tolerance)
+    ci, ci_sum, p, dof = (NAN, NAN), (NAN, NAN), NAN, NAN
     if min(treatment.n, control.n) > 5:
-        if not vt + vc > 0:
+        if not spread > 0:
             ci, p = (delta, delta), float(delta == 0)
         else:
-            dof = math.floor((vt + vc) ** 2 / (vt**2 / (treatment.n - 1) + vc**2 / (control.n - 1)))
-            se = math.sqrt(vt + vc)
-            ci, p = student_ci(delta, se, dof, coverage) if law == "t" else normal_ci(delta, se, coverage)
-    share = lambda x: NAN if control.mean == 0 or math.isnan(x) else round(100 * x / abs(control.mean), 3)
+            dof = free
+            law_ci = (lambda x, se: student_ci(x, se, dof, coverage)) if law == "t" else (lambda x, se: normal_ci(x, se, coverage))
+            ci, p = law_ci(delta, math.sqrt(spread))
+            if total_var > 0:
+                ci_sum, _ = law_ci(total, math.sqrt(total_var))
+            elif total_var == 0:
+                ci_sum = total, total
+    share = lambda x: NAN if control.mean == 0 or math.isnan(x) else round(100 * x / control.mean, 3)
     return Effect(
-        delta, ci, p, share(delta), (share(ci[0]), share(ci[1])), dof, _impact(treatment, control, delta, same_population, tolerance),
-        (control.n, treatment.n), (control.triggered or NAN, treatment.triggered or NAN),
+        delta, ci, p, share(delta), (share(ci[0]), share(ci[1])), dof, total, ci_sum,
+        (control.n, treatment.n), (NAN if control.triggered is None else control.triggered, NAN if treatment.triggered is None else treatment.triggered),
     )
 
 

@@ -252,7 +252,7 @@ def pair_effects(df: DataFrame, metric: Metric, pairs: Sequence[ComparisonPair],
         delta = whole - (buckets - 1) * (reps.mean() - whole)
         se = float(np.sqrt((buckets - 1) / buckets * ((reps - reps.mean()) ** 2).sum()))
         ci, p_value = student_ci(delta, se, buckets - 1, coverage)
-        rows.append((p.name, float(delta), float(100 * delta / abs(control)) if control else None, se, *map(float, ci), float(p_value)))
+        rows.append((p.name, float(delta), float(100 * delta / control) if control else None, se, *map(float, ci), float(p_value)))
     clean = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows]
     return df.sparkSession.createDataFrame(clean, "pair string, delta double, percent double, se double, ci_lower double, ci_upper double, p_value double")
 

@@ -24,11 +24,18 @@ def test_welch_guards():
     assert two_sample(Arm(2, 0, 10), Arm(2, 0, 10)).p_value == 1 and two_sample(Arm(3, 0, 10), Arm(2, 0, 10)).p_value == 0
     assert math.isnan(two_sample(Arm(2, 1, 10), Arm(0, 1, 10)).percent)
     one = two_sample(Arm(2, float("nan"), 10), Arm(1, 0.5, 10))
-    assert one.dof > 0 and not math.isnan(one.p_value)
+    assert one.dof == 9 and abs(one.ci[1] - (1 + dist.t_ppf(0.975, 9) * math.sqrt(1.5))) < 1e-12
+    other = two_sample(Arm(2, 0.5, 8), Arm(1, float("nan"), 10), law="z")
+    assert other.dof == 7 and abs(other.ci[0] - (1 - 1.959963984540054 * math.sqrt(1.5))) < 1e-12
+    # a negative control turns the sign of percentages
+    assert two_sample(Arm(-1, 0.1, 10), Arm(-2, 0.1, 10)).percent == -50
     e = two_sample(Arm(1.5, 0.04, 50, 100), Arm(1.0, 0.05, 60, 110))
     assert e.dof == math.floor(0.09**2 / (0.04**2 / 49 + 0.05**2 / 59)) and e.delta_sum == 52.5 and e.sample_counts == (60, 50) and e.percent == 50
     with pytest.raises(ValueError):
         two_sample(Arm(1.5, 0.04, 50, 100), Arm(1.0, 0.05, 60, 200))
+    assert abs(e.ci_sum[1] - (52.5 + dist.t_ppf(0.975, e.dof) * 105 * 0.3)) < 1e-9
+    own = two_sample(Arm(1.5, 0.04, 50, 100), Arm(1.0, 0.05, 60, 200), same_population=False)
+    assert own.delta_sum == -50 and abs(own.ci_sum[0] - (-50 - dist.t_ppf(0.975, own.dof) * math.sqrt(100**2 * 0.04 + 200**2 * 0.05))) < 1e-9
     z = two_sample(Arm(1.5, 0.04, 50), Arm(1.0, 0.05, 60), law="z")
     assert abs(z.ci[0] - (0.5 - 1.959963984540054 * 0.3)) < 1e-12
 
