@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .relational import match
+
 TRIMMED = ("mae", "rmse", "mape", "smape", "medape", "medae")
 
 
@@ -168,7 +170,7 @@ def conditional_intervals(df: DataFrame, fitted: DataFrame, residual: str, by: S
     """Forecasts with bounds from the residuals' quantiles of their group."""
     tail = (1 - coverage) / 2
     law = empirical_distribution(fitted, residual, by, (tail, 1 - tail), least).select(*by, "quantiles", "sd")
-    out = df.join(law, list(by), "left")
+    out = match(df, law, by, "left")
     return out.withColumn("forecast_lower", F.col(forecast) + F.get("quantiles", F.lit(0))).withColumn("forecast_upper", F.col(forecast) + F.get("quantiles", F.lit(1))).withColumn("std", F.col("sd")).drop("quantiles", "sd")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.inference import Arm, Effect, two_sample
 from ..specs import NOT_TRIGGERED, ComparisonPair, Experiment, Launch, Metric, UnitMetric
+from .relational import match
 
 SEP = "|"
 
@@ -195,11 +196,11 @@ def jackknife(df: DataFrame, buckets: int, sums: dict[str, Column], estimate: Co
     cells = df.groupBy(*by, "jk_bucket").agg(*[c.alias(k) for k, c in sums.items()])
     totals = cells.groupBy(*by).agg(*[F.sum(k).alias(f"_{k}") for k in sums])
     every = totals.crossJoin(F.broadcast(spark.range(buckets).select(F.col("id").cast("int").alias("jk_bucket"))))
-    left = every.join(cells, [*by, "jk_bucket"], "left")
+    left = match(every, cells, [*by, "jk_bucket"], "left")
     out = left.select(*by, *[F.col(f"_{k}").alias(f"_{k}") for k in sums], *[(F.col(f"_{k}") - F.coalesce(F.col(k), F.lit(0))).alias(k) for k in sums]).withColumn("replicate", estimate)
     whole = totals.select(*by, *[F.col(f"_{k}").alias(k) for k in sums]).withColumn("estimate", estimate).select(*by, "estimate")
     spread = out.groupBy(*by).agg(F.avg("replicate").alias("m"), F.var_pop("replicate").alias("v"))
-    joined = whole.join(spread, list(by)) if by else whole.crossJoin(spread)
+    joined = match(whole, spread, by)
     b = float(buckets)
     return joined.select(*by, "estimate", (F.col("estimate") - (b - 1) * (F.col("m") - F.col("estimate"))).alias("jk_estimate"), ((b - 1) * F.col("v")).alias("jk_var"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.time import expected_rows, shift
+from .relational import match as joined
 from .series import STEP
 
 #: The canonical forecast row.
@@ -48,10 +49,10 @@ def seasonal_mean(df: DataFrame, time_col: str, value: str, period: int, k: int
     wanted = targets.select(*dims, time_col, "actual", "stage", "_i", F.explode(F.array(*[F.col("_i") - j * period for j in range(1, k + 1 + -(-horizon // period))])).alias("_p"))
     # the first k whole periods back that are in the history
     seen = rows.select(*dims, F.col("_i").alias("_p"), F.col("actual").alias("_v"))
-    found = wanted.join(seen, [*dims, "_p"], "inner").withColumn("_r", F.row_number().over(W.partitionBy(*dims, "_i", "stage").orderBy(F.desc("_p")))).where(F.col("_r") <= k)
+    found = joined(wanted, seen, [*dims, "_p"]).withColumn("_r", F.row_number().over(W.partitionBy(*dims, "_i", "stage").orderBy(F.desc("_p")))).where(F.col("_r") <= k)
     best = {"mean": F.avg("_v"), "median": F.median("_v")}[agg]
     past = found.groupBy(*dims, "_i").agg(best.alias("forecast"), F.stddev_pop("_v").alias("std"))
-    out = targets.join(past, [*dims, "_i"], "left")
+    out = joined(targets, past, [*dims, "_i"], "left")
     z = z_of(coverage)
     return out.select(*dims, time_col, "stage", "actual", "forecast", (F.col("forecast") - z * F.col("std")).alias("forecast_lower"), (F.col("forecast") + z * F.col("std")).alias("forecast_upper"), "std")
 
@@ -63,8 +64,8 @@ def similarity(train: DataFrame, future: DataFrame, value: str, match: Sequence[
     pick = F.max_by(x, F.col(recent_time)) if agg == "most_recent" else aggs[agg]
     like = train.groupBy(*dims, *match).agg(pick.alias("_like"))
     every = train.groupBy(*dims).agg(pick.alias("_all"))
-    out = future.join(like, [*dims, *match], "left")
-    out = out.join(every, list(dims), "left") if dims else out.crossJoin(F.broadcast(every))
+    out = joined(future, like, [*dims, *match], "left")
+    out = joined(out, every, dims, "left")
     return out.withColumn("forecast", F.coalesce("_like", "_all")).drop("_like", "_all")
 
 
@@ -101,7 +102,7 @@ def backfill(df: DataFrame, time_col: str, value: str, cut: Sequence[int], horiz
     steps = F.row_number().over(W.partitionBy(*dims, "cutoff").orderBy(time_col))
     actual = df.select(*dims, F.col(time_col).cast("timestamp").alias(time_col), F.col(value).cast("double").alias("actual"))
     out = made.withColumn("horizon_step", steps).where(F.col("horizon_step") <= horizon).withColumn(time_col, F.col(time_col).cast("timestamp"))
-    return out.join(actual, [*dims, time_col], "left")
+    return joined(out, actual, [*dims, time_col], "left")
 
 
 def stamp(df: DataFrame, **columns: object) -> DataFrame:

@@ -74,6 +74,15 @@ def join(
     return joined.select(*chosen(left, "l", left_columns, set()), *chosen(right, "r", right_columns, set(left.columns)))
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys of the same names in which null is a value like others; without keys, all rows with the one row of right."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    out = left.join(named, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys)), how)
+    return out.drop(*[f"_key_{k}" for k in keys])
+
+
 def semi(df: DataFrame, units: DataFrame, unit: str, key: str | None = None) -> DataFrame:
     """Rows of the given units."""
     return df.join(units.select(F.col(key or unit).alias(unit)), unit, "left_semi")

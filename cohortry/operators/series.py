@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.time import period_end, rows_per_period, shift
+from .relational import match
 
 AGGS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}
 STEP = {"s": "interval 1 second", "min": "interval 1 minute", "h": "interval 1 hour", "D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}
@@ -32,7 +33,7 @@ def regularize(df: DataFrame, time_col: str, values: Sequence[str], freq: str, d
     one = one.select(*dims, time_col, "_v.*")
     ends = one.groupBy(*dims).agg(F.min(time_col).alias("_a"), F.max(time_col).alias("_b"))
     grid = ends.select(*dims, F.explode(F.expr(f"sequence(_a, _b, {STEP[freq]})")).alias(time_col))
-    return grid.join(one, [*dims, time_col], "left")
+    return match(grid, one, [*dims, time_col], "left")
 
 
 def find_gaps(df: DataFrame, time_col: str, dims: Sequence[str] = ()) -> DataFrame:
@@ -41,7 +42,7 @@ def find_gaps(df: DataFrame, time_col: str, dims: Sequence[str] = ()) -> DataFra
     steps = df.select(*dims, time_col).distinct().withColumn("gap_start", before).where("gap_start is not null")
     steps = steps.withColumn("_s", F.col(time_col).cast("timestamp").cast("long") - F.col("gap_start").cast("timestamp").cast("long"))
     least = steps.groupBy(*dims).agg(F.min("_s").alias("_least"))
-    both = steps.join(least, list(dims)) if dims else steps.crossJoin(F.broadcast(least))
+    both = match(steps, least, dims)
     return both.where("_s > _least").select(*dims, "gap_start", F.col(time_col).alias("gap_end"), (F.col("_s") / F.col("_least") - 1).alias("gap_size"))
 
 
@@ -99,7 +100,7 @@ def date_lags(df: DataFrame, time_col: str, value: str, freq: str, orders: Seque
         if freq in ("M", "Q", "Y"):
             origin = df.select(*dims, shift(F.col(time_col), freq, k).cast(dict(df.dtypes)[time_col]).alias(time_col), F.col(time_col).alias("_o"), F.col(value).alias("_v"))
             past = origin.groupBy(*dims, time_col).agg(F.max_by("_v", "_o").alias(f"{value}_lag{k}"))
-        out = out.join(past, [*dims, time_col], "left")
+        out = match(out, past, [*dims, time_col], "left")
     return out
 
 
@@ -181,7 +182,7 @@ def normalize(df: DataFrame, values: Sequence[str], method: str = "zero_to_one",
         width = F.stddev_samp(x) if method == "statistical" else high - low
         aggs += [centre.alias(f"_c_{v}"), width.alias(f"_w_{v}")]
     stats = df.groupBy(*dims).agg(*aggs)
-    out = df.join(stats, list(dims)) if dims else df.crossJoin(F.broadcast(stats))
+    out = match(df, stats, dims)
     for v in values:
         out = out.withColumn(v, F.try_divide(F.col(v).cast("double") - F.col(f"_c_{v}"), F.col(f"_w_{v}")))
     return out.drop(*[f"_{k}_{v}" for v in values for k in "cw"])
@@ -202,7 +203,7 @@ def _trimmed(df: DataFrame, trim: float, dims: Sequence[str]) -> DataFrame:
     if not trim:
         return df.where("_d is not null")
     ends = df.groupBy(*dims).agg(F.percentile("_d", F.array(F.lit(trim / 2), F.lit(1 - trim / 2))).alias("_q"))
-    both = df.join(ends, list(dims)) if dims else df.crossJoin(F.broadcast(ends))
+    both = match(df, ends, dims)
     return both.where((F.col("_d") >= F.get("_q", F.lit(0))) & (F.col("_d") <= F.get("_q", F.lit(1))))
 
 
@@ -210,7 +211,7 @@ def zscore_outliers(df: DataFrame, value: str, cutoff: float = 5.0, trim: float
     """score and is_outlier by mean and population sd of the trimmed values."""
     base = _differenced(df, value, time_col, baseline, dims)
     stats = _trimmed(base, trim, dims).groupBy(*dims).agg(F.avg("_d").alias("_m"), F.stddev_pop("_d").alias("_s"))
-    out = base.join(stats, list(dims), "left") if dims else base.crossJoin(F.broadcast(stats))
+    out = match(base, stats, dims, "left")
     out = out.withColumn("score", F.try_divide(F.col("_d") - F.col("_m"), F.col("_s")))
     return out.withColumn("is_outlier", F.coalesce(F.abs("score") > cutoff, F.lit(False))).drop("_d", "_m", "_s")
 
@@ -219,7 +220,7 @@ def tukey_outliers(df: DataFrame, value: str, cutoff: float = 1.0, lower: float
     """score: the distance beyond the quantiles over their difference; 0 between them."""
     base = _differenced(df, value, time_col, baseline, dims)
     stats = _trimmed(base, trim, dims).groupBy(*dims).agg(F.percentile("_d", F.array(F.lit(lower), F.lit(upper))).alias("_t"))
-    out = base.join(stats, list(dims), "left") if dims else base.crossJoin(F.broadcast(stats))
+    out = match(base, stats, dims, "left")
     a, b = F.get("_t", F.lit(0)), F.get("_t", F.lit(1))
     beyond = F.when(F.col("_d") > b, F.col("_d") - b).when(F.col("_d") < a, F.col("_d") - a).otherwise(0.0)
     out = out.withColumn("score", F.try_divide(beyond, b - a))
@@ -297,9 +298,9 @@ def label_intervals(points: DataFrame, intervals: DataFrame, time_col: str, star
         rows = rows.withColumn("_day", F.to_date("_t"))
         keys = [*keys, "_day"]
     # of the intervals of a day the ones that matter are those that cover the time
-    hits = rows.select(*keys, "_t").distinct().alias("r").join(iv.alias("i"), [F.col(f"r.{k}") == F.col(f"i.{k}") for k in keys] + [F.col("_t") >= F.col("_a"), F.col("_t") <= F.col("_b")], "left_semi")
+    hits = rows.select(*keys, "_t").distinct().alias("r").join(iv.alias("i"), [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys] + [F.col("_t") >= F.col("_a"), F.col("_t") <= F.col("_b")], "left_semi")
     marks = hits.select(*keys, "_t").withColumn("is_anomaly", F.lit(True))
-    out = rows.join(marks, [*keys, "_t"], "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
+    out = match(rows, marks, [*keys, "_t"], "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
     return out.drop("_t", "_day")
 
 
@@ -332,7 +333,7 @@ def level_shifts(df: DataFrame, time_col: str, value: str, cutoff: float = 3.0,
     step = F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*dims).orderBy(time_col)))
     rows = df.withColumn("step", step)
     stats = rows.groupBy(*dims).agg(F.avg("step").alias("_m"), F.stddev_samp("step").alias("_s"))
-    out = rows.join(stats, list(dims)) if dims else rows.crossJoin(F.broadcast(stats))
+    out = match(rows, stats, dims)
     return out.withColumn("is_shift", F.coalesce((F.col("step") - F.col("_m")) / F.col("_s") > cutoff, F.lit(False))).drop("_m", "_s")
 
 
