@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +51,28 @@ def period_end(col: Column, freq: str) -> Column:
 
 def rows_per_period(source: str, target: str) -> int:
     """How many rows of one frequency make a whole period of another."""
-    table = {("D", "W"): 7, ("h", "D"): 24, ("h", "W"): 168, ("min", "h"): 60, ("min", "D"): 1440, ("s", "h"): 3600}
-    if (source, target.partition("-")[0]) not in table:
+    table = {("D", "W"): 7, ("h", "D"): 24, ("h", "W"): 168, ("min", "h"): 60, ("min", "D"): 1440, ("s", "min"): 60, ("s", "h"): 3600}
+    pair = source.partition("-")[0], target.partition("-")[0]
+    if pair[0] == pair[1]:
+        return 1
+    if pair not in table:
         raise ValueError(f"no fixed number of {source} rows in {target}")
-    return table[source, target.partition("-")[0]]
+    return table[pair]
+
+
+def lag_rows(orders: Sequence[int], source: str, period: str) -> list[int]:
+    """Orders in whole periods as numbers of rows of the source's frequency."""
+    return [k * rows_per_period(source, period) for k in orders]
+
+
+#: How many steps to forecast by default, for steps of up to so many seconds (fixed values).
+HORIZONS = ((60, 60), (3600, 24), (86400, 30), (604800, 12), (2678400, 12), (7948800, 12), (31622400, 2))
+
+
+def default_horizon(seconds: float, n: int | None = None) -> int:
+    """The steps to forecast for steps of a length (of the known length that is nearest), at most half of the n observations."""
+    near = min(HORIZONS, key=lambda h: abs(math.log(seconds / h[0])))[1]
+    return near if n is None else min(near, n // 2)
 
 
 def expected_rows(start: Column, freq: str, period: str) -> Column:
@@ -82,3 +103,50 @@ def is_dst(col: Column, zone: str) -> Column:
     start = F.date_trunc("year", col)
     winter = F.least(offset(start), offset(start + F.expr("interval 6 months")))
     return offset(col) > winter
+
+
+def window_end(start: str, days: int) -> str:
+    """The date so many days after a partition date, `-00` at the end kept."""
+    from datetime import date, timedelta
+
+    tail = "-00" if start.endswith("-00") and len(start) > 10 else ""
+    return f"{date.fromisoformat(start.removesuffix(tail) if tail else start) + timedelta(days=days)}{tail}"
+
+
+def recent(col: Column, days: int, as_of: str | None = None) -> Column:
+    """Whether a time is on or after the day so many days before a given day (today if none is given)."""
+    day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    return col.cast("date") >= F.date_sub(day, days)
+
+
+def _day_number(col: Column) -> Column:
+    """Days since 31 December of the year before year 1."""
+    return F.date_diff(col.cast("date"), F.lit("0001-01-01").cast("date")).cast("long") + 1
+
+
+#: The day numbers of the first days of the civil Islamic and the Persian calendar (fixed values).
+HIJRI_START, PERSIAN_START = 227015, 226896
+
+
+def hijri(col: Column) -> Column:
+    """year, month, day in the civil Islamic calendar: cycles of 30 years with 10,631 days, months of 30 and 29 days in turn."""
+    days = _day_number(col) - HIJRI_START
+    year = F.floor((30 * days + 10646) / 10631)
+    at = days - (354 * (year - 1) + F.floor((3 + 11 * year) / 30))
+    month = F.floor((11 * at + 330) / 325)
+    day = at - (29 * (month - 1) + F.floor((6 * month - 1) / 11)) + 1
+    return F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.cast("int").alias("day"))
+
+
+def persian(col: Column) -> Column:
+    """year, month, day in the arithmetic Persian calendar: cycles of 33 years with 8 leap days, six months of 31 days, then of 30."""
+    days = _day_number(col) - PERSIAN_START
+    starts = lambda year: 365 * (year - 1) + F.floor((8 * (year - 1) + 29) / 33)
+    near = F.floor((33 * days + 3) / 12053) + 1
+    near = F.when(starts(near + 1) <= days, near + 1).otherwise(near)
+    year = F.when(starts(near) > days, near - 1).otherwise(near)
+    at = days - starts(year)
+    long = at < 186
+    month = F.when(long, F.floor(at / 31) + 1).otherwise(F.floor((at - 186) / 30) + 7)
+    day = F.when(long, at % 31 + 1).otherwise((at - 186) % 30 + 1)
+    return F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.cast("int").alias("day"))

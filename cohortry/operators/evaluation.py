@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,27 @@ def evaluate_by_horizon(df: DataFrame, metric: str = "metric_id", horizon: str =
     return evaluate(df, [metric, horizon], **how).unionByName(evaluate(df, [metric], **how).withColumn(horizon, F.lit(None).cast("int")), allowMissingColumns=True)
 
 
+def elementwise(actual: Column, forecast: Column, lower: Column | None = None, upper: Column | None = None) -> dict[str, Column]:
+    """Errors of single rows by name; coverage if bounds are given. Percentage errors are shares here, null where the base is 0."""
+    e = actual - forecast
+    loss = lambda q: F.when(actual >= forecast, q * e).otherwise((q - 1) * e)
+    out = {
+        "residual": e, "absolute_error": F.abs(e), "squared_error": e * e, "absolute_percent_error": F.try_divide(F.abs(e), F.abs(actual)),
+        "symmetric_absolute_percent_error": F.try_divide(F.abs(e), F.abs(actual) + F.abs(forecast)),
+        **{f"quantile_loss_{int(100 * q)}": loss(q) for q in (0.80, 0.90, 0.95, 0.99)},
+        "outside_tolerance_5p": F.when(F.abs(e) > 0.05 * F.abs(actual), 1.0).otherwise(0.0),
+    }
+    if lower is not None and upper is not None:
+        out["coverage"] = F.when((actual > lower) & (actual < upper), 1.0).otherwise(0.0)
+    return out
+
+
+def evaluate_groups(df: DataFrame, by: Sequence[str], rows: dict[str, Column], aggs: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values of single rows (by name, such as those of `elementwise`) aggregated by group: aggs has, for a name, what is made of it."""
+    named = df.select(*by, *[c.alias(k) for k, c in rows.items()])
+    return named.groupBy(*by).agg(*[f(F.col(k)).alias(k) for k, f in aggs.items()])
+
+
 def quantile_loss(actual: Column, forecast: Column, q: float) -> Column:
     return F.avg(F.when(actual >= forecast, q * (actual - forecast)).otherwise((1 - q) * (forecast - actual)))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.inference import Arm, Effect, two_sample
-from ..specs import NOT_TRIGGERED, ComparisonPair, Experiment, Launch, Metric, UnitMetric
-from .relational import match
+from ..specs import NOT_TRIGGERED, ComparisonPair, Experiment, Launch, Metric, MetricSource, UnitMetric
+from .metrics import unit_metrics
+from .relational import match, union
 
 SEP = "|"
 
@@ -161,9 +163,75 @@ def run_mea(experiments: Sequence[Experiment], metrics: DataFrame, columns: Sequ
     return out
 
 
+def against_control(stats: DataFrame, control: Sequence[str], counts: DataFrame | None = None, coverage: float = 0.95) -> DataFrame:
+    """The effect of every variant with an arm of each experiment against one control variant, for each metric of `variant_stats`."""
+    control = tuple(control)
+    variants = sorted({tuple(r[0]) for r in stats.select("variant").distinct().collect()})
+    pairs = [ComparisonPair((v,), (control,), SEP.join(v)) for v in variants if v != control and NOT_TRIGGERED not in v]
+    spark = stats.sparkSession
+    relation = pair_relation(spark, pairs)
+    return effect_frame(spark, effects(arm_stats(stats, relation, counts), triggered_population(counts, relation) if counts is not None else None, coverage))
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """The statistics of variants, and the effects of launches, of all metrics of all families."""
+
+    variant_stats: DataFrame
+    effects: DataFrame
+
+    def significant(self, level: float = 0.10) -> DataFrame:
+        return self.effects.where(F.col("p_value") < level)
+
+    def combined(self, other: Analysis) -> Analysis:
+        return Analysis(self.variant_stats.unionByName(other.variant_stats), self.effects.unionByName(other.effects))
+
+
+def run_families(experiments: Sequence[Experiment], families: Sequence[tuple[DataFrame, MetricSource]], launches: Sequence[Launch], control: Launch | None = None, buckets: int = 30, weighted: bool = True, coverage: float = 0.95) -> Analysis:
+    """Launches' effects on the metrics of several families, each a relation with its unit metrics and metrics.
+
+    A plain metric is tested by its variants' means and variances, a ratio of two by the grouped jackknife over `buckets` slices of units.
+    Each family is summed up by unit and joined with the assignments once. The effects say which method they are by.
+    """
+    merged = merge_experiments(experiments)
+    spark = merged.sparkSession
+    pairs = [x.against(control) for x in launches]
+    relation, counts = pair_relation(spark, pairs), trigger_stats(variant_counts(merged)).persist()
+    population = triggered_population(counts, relation)
+    stats, found = [], []
+    for df, source in families:
+        joined = with_metrics(merged, unit_metrics(df, source, dims=()), source.unit_metrics, source.unit)
+        plain = [m for m in source.metrics if m.denominator is None]
+        if plain:
+            named = joined.select("unit", "variant", *[F.col(m.numerator).alias(m.alias) for m in plain])
+            own = variant_stats(named, [m.alias for m in plain]).withColumn("metric_family", F.lit(source.name)).persist()
+            stats.append(own)
+            one = effect_frame(spark, effects(arm_stats(own.drop("metric_family"), relation, counts if weighted else None), population, coverage))
+            found.append(one.select("pair", "metric", F.lit("simple").alias("method"), "delta", "percent", "ci_lower", "ci_upper", "p_value").withColumn("metric_family", F.lit(source.name)))
+        ratios = [m for m in source.metrics if m.denominator is not None]
+        sliced = bucketed(joined, ["unit"], buckets) if ratios else None
+        for m in ratios:
+            own = ratio_stats(sliced, m)
+            stats.append(own.withColumn("metric_family", F.lit(source.name)))
+            one = pair_effects(sliced, m, pairs, buckets, coverage, counts if weighted else None)
+            found.append(one.select("pair", F.lit(m.alias).alias("metric"), F.lit("jackknife").alias("method"), "delta", "percent", "ci_lower", "ci_upper", "p_value").withColumn("metric_family", F.lit(source.name)))
+    return Analysis(union(stats), union(found))
+
+
+def ratio_stats(df: DataFrame, metric: Metric) -> DataFrame:
+    """variant, metric, sample_count, sum (of the numerator), mean (the ratio) of each variant."""
+    sums, ratio = ratio_sums(metric)
+    out = df.groupBy("variant").agg(F.count("*").alias("sample_count"), *[c.alias(k) for k, c in sums.items()])
+    return out.select("variant", F.lit(metric.alias).alias("metric"), "sample_count", F.col("sx").alias("sum"), ratio.alias("mean"))
+
+
 # grouped jackknife
 
 
+#: Units that one task puts in order.
+RANGE_ROWS = 1_000_000
+
+
 def bucketed(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
     """df with jk_bucket: contiguous slices of ceil(n / buckets) rows in the given order.
 
@@ -172,7 +240,7 @@ def bucketed(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
     """
     n = df.count()
     size = max(1, -(-n // buckets))
-    parts = max(1, min(200, n // 100_000))
+    parts = max(1, n // RANGE_ROWS)
     if parts == 1:
         at = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1
         return df.withColumn("jk_bucket", F.floor(at / size).cast("int"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from ..functions.time import expected_rows, shift
 from .relational import match as joined
 from .series import STEP
+from .simulate import normal
 
 #: The canonical forecast row.
 FORECAST_SCHEMA = T.StructType(
@@ -110,6 +111,77 @@ def stamp(df: DataFrame, **columns: object) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in columns.items()})
 
 
+def grouping_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
+    """The columns that name a series of a forecast frame: all that are neither numbers nor of the pipeline's own."""
+    own = {"ts", "stage", "forecasted_date", "last_training_date", "is_anomaly", "is_anomaly_predicted", "anomaly_severity", "extras", "algo_name", "algo_version", "run_id", "run_date", *exclude}
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    return [c for c, kind in df.dtypes if c not in own and not kind.startswith(numbers)]
+
+
+def normal_quantiles(df: DataFrame, sd: str, mean: str | None = None, fixed_mean: float = 0.0, quantiles: Sequence[float] = (0.025, 0.975), name: str = "normal_quantiles") -> DataFrame:
+    """df with the quantiles of a normal law of each row's mean and sd."""
+    centre = F.lit(fixed_mean) if mean is None else F.col(mean)
+    return df.withColumn(name, F.array(*[centre + NormalDist().inv_cdf(q) * F.col(sd) for q in quantiles]))
+
+
+def with_forecasts(df: DataFrame, forecasts: Sequence[DataFrame], on: Sequence[str], columns: Sequence[str] = ("forecast", "forecast_lower", "forecast_upper")) -> DataFrame:
+    """Data met with several forecasts of it: each one's columns come as <name>_<i>, from 0; rows that a forecast lacks have nulls."""
+    for i, f in enumerate(forecasts):
+        df = joined(df, f.select(*on, *[F.col(c).alias(f"{c}_{i}") for c in columns]), on, "left")
+    return df
+
+
+def simulate_futures(df: DataFrame, n: int, seed: int = 0, dims: Sequence[str] = (), time_col: str = "ts") -> DataFrame:
+    """n futures of each forecast row: simulation (from 1) and value, the forecast and normal noise of its std, the same for a seed."""
+    future = df.where("stage = 'forecast'").withColumn("simulation", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    key = F.xxhash64(*dims, time_col, "simulation")
+    return future.withColumn("value", F.col("forecast") + F.coalesce("std", F.lit(0.0)) * normal(key, seed))
+
+
+def partition_future(future: DataFrame, train: DataFrame, time_col: str = "ts", dims: Sequence[str] = ()) -> DataFrame:
+    """future with where each row lies: before, within (a time of training), gap (missing in it) or after the training rows."""
+    ends = train.groupBy(*dims).agg(F.min(time_col).alias("_a"), F.max(time_col).alias("_b"))
+    seen = train.select(*dims, time_col).distinct().withColumn("_seen", F.lit(True))
+    out = joined(joined(future, ends, dims, "left"), seen, [*dims, time_col], "left")
+    where = F.when(F.col("_a").isNull() | (F.col(time_col) > F.col("_b")), "after").when(F.col(time_col) < F.col("_a"), "before").when(F.col("_seen"), "within").otherwise("gap")
+    return out.withColumn("part", where).drop("_a", "_b", "_seen")
+
+
+def recursive_lags(df: DataFrame, time_col: str, value: str, freq: str, orders: Sequence[int], horizon: int, agg: str = "mean", dims: Sequence[str] = ()) -> DataFrame:
+    """The mean (or other aggregate) of the values so many rows before, step by step: what is forecast is history to later steps.
+
+    Each series' last max(orders) values are one array, so a series of any length needs but those.
+    """
+    most = max(orders)
+    near = df.withColumn("_r", F.row_number().over(W.partitionBy(*dims).orderBy(F.desc(time_col)))).where(F.col("_r") <= most)
+    row = F.struct(F.col(time_col).alias("t"), F.col(value).cast("double").alias("v"))
+    last = near.groupBy(*dims).agg(F.sort_array(F.collect_list(row)).alias("_v"), F.max(time_col).alias("_last"))
+    past = F.transform("_v", lambda x: x["v"])
+    pick = {"mean": lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b) / F.size(xs), "min": F.array_min, "max": F.array_max}[agg]
+
+    def step(seen: Column, _: Column) -> Column:
+        got = F.array_compact(F.array(*[F.try_element_at(seen, F.lit(-k)) for k in orders]))
+        return F.concat(seen, F.array(F.when(F.size(got) > 0, pick(got))))
+
+    made = last.withColumn("_all", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), past, step))
+    out = made.select(*dims, "_last", F.posexplode(F.slice("_all", F.size("_all") - horizon + 1, horizon)).alias("_i", "forecast"))
+    return out.select(*dims, F.expr(f"_last + {STEP[freq]} * (_i + 1)").alias(time_col), (F.col("_i") + 1).alias("horizon_step"), "forecast")
+
+
+def multistage(df: DataFrame, time_col: str, value: str, period: str, coarse: Callable[[DataFrame, Sequence[str]], DataFrame], fine: Callable[[DataFrame, Sequence[str]], DataFrame], dims: Sequence[str] = ()) -> DataFrame:
+    """Two forecasts in turn: one of the series' means by period, then one of what that leaves, added up.
+
+    Both take (series with time_col and `value`, dims) and give time_col, stage, forecast; the first one's times are starts of periods.
+    """
+    start = F.date_trunc(period, F.col(time_col))
+    means = df.groupBy(*dims, start.alias(time_col)).agg(F.avg(value).alias(value))
+    level = coarse(means, dims).select(*dims, F.col(time_col).alias("_p"), F.col("forecast").alias("_level"))
+    rows = joined(df.withColumn("_p", start), level, [*dims, "_p"], "left")
+    rest = fine(rows.select(*dims, time_col, (F.col(value) - F.col("_level")).alias(value)), dims)
+    out = joined(rest.withColumn("_p", F.date_trunc(period, F.col(time_col))), level, [*dims, "_p"], "left")
+    return out.select(*dims, time_col, "stage", (F.col("_level") + F.col("forecast")).alias("forecast"))
+
+
 # algebra
 
 POINTS = ("forecast", "longterm_growth", "shortterm_growth", "daily_seasonality", "weekly_seasonality", "annual_seasonality", "holiday_impact")
@@ -191,3 +263,28 @@ def reconcile(df: DataFrame, nodes: Sequence[str], leaves: Sequence[str], tree:
     wide = df.groupBy(by).pivot("node", list(nodes)).agg(F.first(value))
     rows = [F.struct(F.lit(n).alias("node"), reduce(lambda a, b: a + b, (F.lit(float(p[i, j])) * F.col(m) for j, m in enumerate(nodes))).alias(value)) for i, n in enumerate(nodes)]
     return wide.select(by, F.explode(F.array(*rows)).alias("x")).select(by, "x.*")
+
+
+def error_covariance(df: DataFrame, nodes: Sequence[str], by: str, actual: str = "actual", forecast: str = "forecast") -> list[list[float]]:
+    """The sample covariance of the nodes' errors, from one aggregation of one row for each `by`; nodes are few."""
+    wide = df.withColumn("_e", F.col(actual) - F.col(forecast)).groupBy(by).pivot("node", list(nodes)).agg(F.first("_e"))
+    cells = [F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")) for a in nodes for b in nodes]
+    got = list(wide.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).first())
+    k = len(nodes)
+    return [[float(x or 0.0) for x in got[i * k : (i + 1) * k]] for i in range(k)]
+
+
+def reconcile_mint(df: DataFrame, errors: DataFrame, nodes: Sequence[str], leaves: Sequence[str], tree: dict[str, Sequence[str]], by: str, value: str = "forecast", shrink: float = 0.0) -> DataFrame:
+    """Forecasts of all nodes projected onto those that add up so that the errors' total variance is least, by the sample covariance of
+    errors (node, actual, forecast, by); shrink moves it towards its diagonal, which helps where errors are few."""
+    import numpy as np
+
+    cov = np.array(error_covariance(errors, nodes, by))
+    cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov))
+    cov += 1e-9 * max(np.trace(cov) / len(nodes), 1e-12) * np.eye(len(nodes))
+    s = np.array([[1.0 if leaf in tree.get(n, (n,)) else 0.0 for leaf in leaves] for n in nodes])
+    w = np.linalg.inv(cov)
+    p = s @ np.linalg.solve(s.T @ w @ s, s.T @ w)
+    wide = df.groupBy(by).pivot("node", list(nodes)).agg(F.first(value))
+    rows = [F.struct(F.lit(n).alias("node"), reduce(lambda a, b: a + b, (F.lit(float(p[i, j])) * F.col(f"`{m}`") for j, m in enumerate(nodes))).alias(value)) for i, n in enumerate(nodes)]
+    return wide.select(by, F.explode(F.array(*rows)).alias("x")).select(by, "x.*")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.time import bucket
 from ..specs import Metric, MetricSource, UnitMetric, unique_unit_metrics
-from .relational import in_dates
+from .relational import in_dates, union
 
 
 def unit_metrics(df: DataFrame, source: MetricSource, start: str | None = None, end: str | None = None, dims: Sequence[str] | None = None, condition: str | None = None) -> DataFrame:
@@ -115,6 +115,17 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
+def inspect(frames: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """describe of several relations in one frame, with the relation's name; all columns where none are named."""
+    out = [describe(df, (columns or {}).get(name) or df.columns).withColumn("relation", F.lit(name)) for name, df in frames.items()]
+    return union(out)
+
+
+def json_of(counts: Column) -> Column:
+    """A map as JSON text with its keys in order, so that equal maps have equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(counts))))
+
+
 def matching(names: Sequence[str], include: str | None = None, exclude: str | None = None) -> list[str]:
     """Names that match the pattern to include, or else don't match the one to exclude."""
     import re

@@ -131,3 +131,19 @@ def drop_constant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df without those columns that hold one value or none."""
     counts = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
     return df.drop(*[c for c in columns if counts[c] <= 1])
+
+
+def side_by_side(frames: Sequence[DataFrame], on: Sequence[str], differing: Sequence[str], common: Sequence[str] = ()) -> DataFrame:
+    """Frames joined on shared keys: columns that differ come as <name>0, <name>1, ..., common ones from the first frame."""
+    parts = [f.select(*on, *(common if i == 0 else ()), *[F.col(c).alias(f"{c}{i}") for c in differing]) for i, f in enumerate(frames)]
+    return reduce(lambda a, b: match(a, b, on), parts)
+
+
+def chained(df: DataFrame, joins: Sequence[dict]) -> DataFrame:
+    """df joined with one relation after the other; each of joins has the arguments of `join` but the left side."""
+    return reduce(lambda a, j: join(a, **j), joins, df)
+
+
+def sample(df: DataFrame, n: int = 10) -> DataFrame:
+    """Some n rows, for a look at them; 0 for the schema alone."""
+    return df.limit(n)

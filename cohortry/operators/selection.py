@@ -39,6 +39,18 @@ def score(run: Callable[[Candidate], DataFrame], candidates: Sequence[Candidate]
     return F.broadcast(params).join(out, "candidate_id", "left").orderBy(F.col("score").asc_nulls_last(), "seq").drop("seq")
 
 
+def record(found: DataFrame, path: str, run_id: str) -> None:
+    """Appends candidates' predictions or scores to a log under path, with the run that made them."""
+    found.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+
+
+def rescore(stored: DataFrame, by: Sequence[str], metric: str = "mae", reduction: str = "mean", tie: Sequence[str] = ()) -> DataFrame:
+    """candidate_id, score: stored predictions (candidate_id, actual, forecast, by) ranked anew by other criteria."""
+    how = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}[reduction]
+    scored = evaluate(stored, ["candidate_id", *by], tie=tie)
+    return scored.groupBy("candidate_id").agg(how(metric).alias("score")).orderBy(F.col("score").asc_nulls_last(), "candidate_id")
+
+
 def stepwise(run: Callable[[Candidate], DataFrame], groups: Sequence[dict[str, Sequence]], start: Candidate, by: Sequence[str], **how) -> tuple[Candidate, list[DataFrame]]:
     """Searches one group of parameters after the other, each from the best so far; (winner, the scores of each stage)."""
     best, stages = dict(start), []

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.time import period_end, rows_per_period, shift
-from .relational import match
+from ..functions.time import HORIZONS, period_end, rows_per_period, shift
+from .relational import match, union
 
 AGGS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}
 STEP = {"s": "interval 1 second", "min": "interval 1 minute", "h": "interval 1 hour", "D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}
@@ -275,6 +275,71 @@ def event_windows(events: DataFrame, date_col: str, label: str, before: int, aft
     return out.select(F.date_add(F.col(date_col).cast("date"), F.col("shift")).alias(date_col), tag.alias(label))
 
 
+def event_windows_multi(events: dict[str, DataFrame], date_col: str, label: str, before: int = 1, after: int = 1, spans: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """event_windows of several calendars in one frame, with the calendar's name; spans: days before and after of some calendars."""
+    out = [event_windows(df, date_col, label, *(spans or {}).get(name, (before, after))).withColumn("calendar", F.lit(name)) for name, df in events.items()]
+    return union(out)
+
+
+def holiday_features(df: DataFrame, date_col: str, holidays: DataFrame, names: Sequence[str] | None = None, before: int = 0, after: int = 0, holiday_date: str = "date", holiday: str = "holiday") -> DataFrame:
+    """df with a column for each holiday that says whether a row's day is one (1 or 0), or so many days from one."""
+    around = event_windows(holidays, holiday_date, holiday, before, after)
+    names = list(names) if names is not None else sorted(r[0] for r in around.select(holiday).distinct().collect())
+    marks = around.groupBy(F.col(holiday_date).alias("_day")).agg(*[F.max(F.when(F.col(holiday) == n, 1).otherwise(0)).alias(n) for n in names])
+    return df.join(marks, F.col(date_col).cast("date") == F.col("_day"), "left").drop("_day").fillna(0, names)
+
+
+def canonical(df: DataFrame, time_col: str, value: str, freq: str, dims: Sequence[str] = (), regressors: Sequence[str] = (), train_end: str | None = None, anomalies: DataFrame | None = None, delta: str | None = None) -> DataFrame:
+    """A series ready to forecast: dims, ts, y, regressors, stage, on a regular grid.
+
+    Values in anomalies (start_ts, end_ts and dims) are nulled, or moved by the column delta. Training ends at train_end or at the
+    last value; later rows are `future` and keep their regressors only.
+    """
+    rows = df.select(*dims, F.col(time_col).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("y"), *regressors, *([delta] if delta else []))
+    if anomalies is not None:
+        rows = adjust(label_intervals(rows, anomalies, "ts", on=dims), "y", delta).withColumn("y", F.col("adjusted_y"))
+    full = regularize(rows, "ts", ["y", *regressors], freq, dims)
+    last = F.max(F.when(F.col("y").isNotNull(), F.col("ts"))).over(W.partitionBy(*dims))
+    end = last if train_end is None else F.least(last, F.lit(train_end).cast("timestamp"))
+    full = full.withColumn("stage", F.when(F.col("ts") <= end, "train").otherwise("future"))
+    return full.withColumn("y", F.when(F.col("stage") == "train", F.col("y"))).select(*dims, "ts", "y", *regressors, "stage")
+
+
+def time_properties(df: DataFrame, time_col: str = "ts", dims: Sequence[str] = ()) -> DataFrame:
+    """Of each canonical series: the ends of training and of all rows, their numbers, the step in seconds and rows to forecast."""
+    train = F.col("stage") == "train"
+    step = F.col(time_col).cast("long") - F.lag(time_col).over(W.partitionBy(*dims).orderBy(time_col)).cast("long")
+    out = df.withColumn("_s", step).groupBy(*dims).agg(
+        F.min(time_col).alias("start"), F.max(F.when(train, F.col(time_col))).alias("train_end"), F.max(time_col).alias("end"),
+        F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_future"), F.min("_s").alias("step"),
+    )
+    horizon = reduce(lambda c, h: c.when(F.col("step") <= h[0] * 1.5, h[1]), HORIZONS, F.when(F.col("step").isNull(), None)).otherwise(HORIZONS[-1][1])
+    return out.withColumn("horizon", F.least(horizon, F.floor(F.col("n_train") / 2).cast("int")))
+
+
+def with_group(df: DataFrame, time_col: str, feature: str | None = None, rows: int | None = None, column: Column | None = None, name: str = "group", dims: Sequence[str] = ()) -> DataFrame:
+    """df with a column to group by: a calendar feature, the first time of each run of so many rows (the last run whole), or any column."""
+    if sum(x is not None for x in (feature, rows, column)) != 1:
+        raise ValueError("name a feature, a number of rows or a column")
+    if feature is not None:
+        made = time_features(df, time_col)
+        return made.select(*df.columns, F.col(feature).alias(name))
+    if column is not None:
+        return df.withColumn(name, column)
+    back = F.row_number().over(W.partitionBy(*dims).orderBy(F.desc(time_col))) - 1
+    out = df.withColumn("_run", F.floor(back / rows))
+    return out.withColumn(name, F.min(time_col).over(W.partitionBy(*dims, "_run"))).drop("_run")
+
+
+def exponential_baseline(df: DataFrame, time_col: str, value: str, alpha: float = 0.5, depth: int = 30, dims: Sequence[str] = ()) -> DataFrame:
+    """<value>_smooth: the mean of a row and those before it, each weighing 1 - alpha times the next; the first `depth` of them."""
+    w = W.partitionBy(*dims).orderBy(time_col)
+    parts = [(F.lag(F.col(value).cast("double"), k).over(w), (1 - alpha) ** k) for k in range(depth)]
+    total = reduce(lambda a, b: a + b, [F.coalesce(x * q, F.lit(0.0)) for x, q in parts])
+    weight = reduce(lambda a, b: a + b, [F.when(x.isNotNull(), q).otherwise(0.0) for x, q in parts])
+    return df.withColumn(f"{value}_smooth", F.try_divide(total, weight))
+
+
 def add_events(df: DataFrame, events: DataFrame, date_col: str, event_date: str, label: str, regular: str = "") -> DataFrame:
     """df with the event of its day, or the regular label. Events are days of a calendar; the first by name where several meet."""
     one = events.groupBy(F.col(event_date).cast("date").alias("_d")).agg(F.min(label).alias(label))

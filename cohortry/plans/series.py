@@ -13,7 +13,7 @@ from .registry import load, query
 
 EVENTS = MetricSource("events", "user_id", (UnitMetric("value", "SUM", "value"), UnitMetric("event_id", "COUNT", "n")), (Metric("value", name="value"), Metric("value", "SUM", "n", "SUM", name="value_per_event")))
 DAILY = "daily AS (SELECT date_trunc('day', ts) AS ts, event_type, sum(value) AS v, count(*) AS n FROM events GROUP BY 1, 2)"
-TOTAL = "total AS (SELECT date_trunc('day', ts) AS ts, sum(value) AS v FROM events WHERE event_type = 'purchase' OR user_id % 2 = 0 GROUP BY 1)"
+TOTAL = "total AS (SELECT date_trunc('day', ts) AS ts, sum(value) AS v FROM events WHERE event_type <> 'error' GROUP BY 1)"
 #: Days 5, 6, 13, 20 and 21 of the month are taken out, to have gaps.
 HOLED = "holed AS (SELECT * FROM daily WHERE day(ts) NOT IN (5, 6, 13, 20, 21))"
 
@@ -23,7 +23,7 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def total(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").where("event_type = 'purchase' or user_id % 2 = 0").groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.sum("value").alias("v"))
+    return load(spark, sf, "events").where("event_type <> 'error'").groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.sum("value").alias("v"))
 
 
 def holed(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,11 +219,11 @@ def event_window(spark: SparkSession, sf: str) -> DataFrame:
     return S.add_events(load(spark, sf, "events").select("event_id", "ts"), S.event_windows(hol, "d", "label", 1, 2), "ts", "d", "label").drop("ts")
 
 
-_IV = "iv AS (SELECT ts AS start_ts, ts + INTERVAL 90 MINUTE AS end_ts FROM events WHERE event_type = 'error' AND user_id % 3 = 0)"
+_IV = "iv AS (SELECT ts AS start_ts, ts + INTERVAL 90 MINUTE AS end_ts FROM events WHERE event_type = 'error')"
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").where("event_type = 'error' and user_id % 3 = 0").select(F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 90 minutes")).alias("end_ts"))
+    return load(spark, sf, "events").where("event_type = 'error'").select(F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 90 minutes")).alias("end_ts"))
 
 
 @query(f"WITH {_IV} SELECT event_id, EXISTS (SELECT 1 FROM iv WHERE ts BETWEEN start_ts AND end_ts) AS is_anomaly FROM events")
