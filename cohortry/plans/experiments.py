@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,10 +146,32 @@ def mea_effect_delta(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pair", "metric", F.round("delta", 3).alias("delta"), "percent", "dof", "control_count", "treatment_count")
 
 
-@query()
+#: Numerical integration of the t density, for p-values in SQL: Simpson's rule with 4000 steps on [0, |t|].
+P_VALUE = """1 - 2 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(abs(t) * i / 4000.0, 2) / dof, -(dof + 1) / 2))) * abs(t) / 12000.0
+    * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi())"""
+#: The 97.5 % quantile of the t law: its expansion in 1 / dof about the normal one.
+_Z = NormalDist().inv_cdf(0.975)
+_TERMS = (_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160)
+T_QUANTILE = "(" + " + ".join(f"{x!r} / dof ** {i}" for i, x in enumerate(_TERMS)) + ")"
+
+LAUNCHES = [Launch(("v1", "enabled", "w1")), Launch(("v2", "enabled", "w1"))]
+_ROWS = ", ".join(f"('{p.name}', '{side}', '{'|'.join(v)}')" for p in (x.against() for x in LAUNCHES) for side in ("treatment", "control") for v in getattr(p, side))
+
+
+@query(f"""WITH {STATS}, mm AS (SELECT variant, 'revenue' AS metric, n, s1, s2 FROM s UNION ALL SELECT variant, 'n_orders', count(*), coalesce(sum(n_orders), 0), coalesce(sum(n_orders * n_orders), 0) FROM merged LEFT JOIN rev USING (unit) GROUP BY 1),
+    l(pair, side, variant) AS (VALUES {_ROWS}), w AS (SELECT pair, side, metric, mm.n, s1 / n AS mean, greatest(s2 / n - (s1 / n) * (s1 / n), 0) AS var, trigger_state_count / sum(trigger_state_count) OVER (PARTITION BY pair, side, metric) AS wt
+        FROM mm JOIN l USING (variant) JOIN (SELECT variant, trigger_state_count FROM ts) q USING (variant)),
+    arms AS (SELECT pair, side, metric, CAST(sum(n) AS BIGINT) AS n, sum(wt * mean) AS mean, sum(wt * wt * var / n) AS var FROM w GROUP BY ALL),
+    pop AS (SELECT pair, side, sum(trigger_state_count) AS k FROM (SELECT DISTINCT pair, side, trigger_state, trigger_state_count FROM l JOIN ts USING (variant)) GROUP BY ALL),
+    e AS (SELECT t.pair, t.metric, t.mean - c.mean AS delta, sqrt(t.var + c.var) AS se, c.mean AS base, floor((t.var + c.var) ** 2 / (t.var ** 2 / (t.n - 1) + c.var ** 2 / (c.n - 1))) AS dof, (tp.k + cp.k) / 2.0 AS k, c.n AS cn, t.n AS tn
+        FROM arms t JOIN arms c ON c.pair = t.pair AND c.metric = t.metric AND t.side = 'treatment' AND c.side = 'control' JOIN pop tp ON tp.pair = t.pair AND tp.side = 'treatment' JOIN pop cp ON cp.pair = t.pair AND cp.side = 'control'),
+    f AS (SELECT *, delta / se AS t FROM e)
+    SELECT pair, metric, round(delta, 3) AS delta, round(delta - {T_QUANTILE} * se, 3) AS ci_lower, round(delta + {T_QUANTILE} * se, 3) AS ci_upper, round({P_VALUE}, 6) AS p_value, round(100 * delta / base, 3) AS percent, dof,
+        round(k * delta, 1) AS delta_sum, cn AS control_count, tn AS treatment_count FROM f""")
 def mea_run(spark: SparkSession, sf: str) -> DataFrame:
-    launches = [Launch(("v1", "enabled", "w1")), Launch(("v2", "enabled", "w1"))]
-    return R.rounded(E.run_mea(experiments(spark, sf, 3), revenue(spark, sf), ["revenue", "n_orders"], launches))
+    out = E.run_mea(experiments(spark, sf, 3), revenue(spark, sf), ["revenue", "n_orders"], LAUNCHES)
+    digits = {"delta": 3, "ci_lower": 3, "ci_upper": 3, "p_value": 6, "delta_sum": 1}
+    return out.withColumns({c: F.round(c, k) for c, k in digits.items()})
 
 
 B = 20
@@ -235,12 +259,17 @@ def trigger_invariance_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return R.rounded(spark.createDataFrame(rows, "source int, target int, statistic double, dof long, cramers_v double"))
 
 
-@query()
+@query(f"""WITH {merged_sql(2)}, {REVENUE}, c AS (SELECT variant_1, variant_2, count(*) AS n, avg(coalesce(revenue, 0)) AS m, var_pop(coalesce(revenue, 0)) * count(*) AS ss FROM merged LEFT JOIN rev USING (unit) WHERE variant_1 <> 'nan' AND variant_2 <> 'nan' GROUP BY 1, 2),
+    d AS (SELECT a.m - b.m AS d, a.n * b.n / (a.n + b.n) AS w FROM c a JOIN c b ON a.variant_1 = b.variant_1 AND a.variant_2 = 'control' AND b.variant_2 = 'enabled'),
+    i AS (SELECT sum(w * d * d) - sum(w * d) ** 2 / sum(w) AS between_ss, count(*) - 1 AS d1 FROM d), r AS (SELECT sum(ss) AS within_ss, sum(n) - count(*) AS d2 FROM c)
+    SELECT 'true|true' AS trigger_state, round(between_ss / d1 / (within_ss / d2), 6) AS f, round(pow(1 + d1 * (between_ss / d1 / (within_ss / d2)) / d2, -d2 / 2.0), 6) AS p_value, CAST(d1 AS BIGINT) AS dof_1, CAST(d2 AS BIGINT) AS dof_2, pow(1 + d1 * (between_ss / d1 / (within_ss / d2)) / d2, -d2 / 2.0) >= 0.001 AS passed FROM i, r""")
 def metric_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    """With two arms in one experiment and three in the other the F-test's p-value has a closed form."""
     from ..operators.assumptions import metric_interaction as test
 
     found = test(E.variant_stats(joined(spark, sf, 2), ["revenue"]))
-    return spark.createDataFrame([(list(t.trigger_state), t.f, t.p_value, t.dof[0], t.dof[1], t.passed) for t in found], "trigger_state array<boolean>, f double, p_value double, dof_1 long, dof_2 long, passed boolean")
+    rows = [("|".join(str(x).lower() for x in t.trigger_state), round(t.f, 6), round(t.p_value, 6), t.dof[0], t.dof[1], t.passed) for t in found]
+    return spark.createDataFrame(rows, "trigger_state string, f double, p_value double, dof_1 long, dof_2 long, passed boolean")
 
 
 @query(f"""WITH {merged_sql(2)}, {REVENUE}, j AS (SELECT unit, variant, coalesce(revenue, 0) AS x, coalesce(n_orders, 0) AS y FROM merged LEFT JOIN rev USING (unit)), {BUCKETS},

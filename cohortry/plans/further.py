@@ -16,7 +16,7 @@ from ..operators import rewards as W
 from ..operators import selection as L
 from ..operators import series as S
 from ..specs import Launch, Metric, MetricSource, UnitMetric
-from .experiments import END, REVENUE, START, STATS, _in, experiments, joined, merged_sql, revenue
+from .experiments import END, P_VALUE, REVENUE, START, STATS, _in, experiments, joined, merged_sql, revenue
 from .forecasts import _AD, BACK, KEPT, LINES, _backfilled, _flags, _I, _lines
 from .registry import load, query
 from .series import _NULLED, DAILY, HOLED, MONTHLY, daily, holed, nulled
@@ -65,32 +65,15 @@ def mea_families_variant_stats(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(X.shown(F.col("variant")).alias("variant"), "metric_family", "metric", "sample_count", F.round("mean", 3).alias("mean"))
 
 
-#: Numerical integration of the t density, for p-values in SQL: Simpson's rule with 4000 steps on [0, |t|].
-_P = """1 - 2 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(abs(t) * i / 4000.0, 2) / dof, -(dof + 1) / 2))) * abs(t) / 12000.0
-    * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi())"""
-
-
 @query(f"""WITH {STATS}, ctl AS (SELECT s1 / n AS m, greatest(s2 / n - (s1 / n) * (s1 / n), 0) / n AS v, n FROM s WHERE variant = 'control|control|control'),
     e AS (SELECT variant, s1 / s.n - ctl.m AS delta, greatest(s2 / s.n - (s1 / s.n) * (s1 / s.n), 0) / s.n AS tv, ctl.v AS cv, s.n AS tn, ctl.n AS cn FROM s, ctl WHERE variant NOT LIKE '%nan%' AND variant <> 'control|control|control' AND s.n > 5 AND ctl.n > 5),
     f AS (SELECT variant, delta / sqrt(tv + cv) AS t, floor((tv + cv) ** 2 / (tv ** 2 / (tn - 1) + cv ** 2 / (cn - 1))) AS dof FROM e)
-    SELECT variant AS pair, dof, round({_P}, 6) AS p_value FROM f""")
+    SELECT variant AS pair, dof, round({P_VALUE}, 6) AS p_value FROM f""")
 def mea_p_values(spark: SparkSession, sf: str) -> DataFrame:
     out = X.against_control(X.variant_stats(joined(spark, sf, 3), ["revenue"]), ("control",) * 3)
     return out.where("p_value is not null").select("pair", "dof", F.round("p_value", 6).alias("p_value"))
 
 
-@query(f"""WITH {merged_sql(2)}, {REVENUE}, c AS (SELECT variant_1, variant_2, count(*) AS n, avg(coalesce(revenue, 0)) AS m, var_pop(coalesce(revenue, 0)) * count(*) AS ss FROM merged LEFT JOIN rev USING (unit) WHERE variant_1 <> 'nan' AND variant_2 <> 'nan' GROUP BY 1, 2),
-    d AS (SELECT a.m - b.m AS d, a.n * b.n / (a.n + b.n) AS w FROM c a JOIN c b ON a.variant_1 = b.variant_1 AND a.variant_2 = 'control' AND b.variant_2 = 'enabled'),
-    i AS (SELECT sum(w * d * d) - sum(w * d) ** 2 / sum(w) AS between_ss, count(*) - 1 AS d1 FROM d), r AS (SELECT sum(ss) AS within_ss, sum(n) - count(*) AS d2 FROM c)
-    SELECT round(between_ss / d1 / (within_ss / d2), 6) AS f, round(pow(1 + d1 * (between_ss / d1 / (within_ss / d2)) / d2, -d2 / 2.0), 6) AS p_value, CAST(d1 AS BIGINT) AS dof_1, CAST(d2 AS BIGINT) AS dof_2 FROM i, r""")
-def interaction_test(spark: SparkSession, sf: str) -> DataFrame:
-    """The F-test of two experiments' interaction; with two arms in one of them and three in the other its p-value has a closed form."""
-    from ..operators.assumptions import metric_interaction
-
-    found = metric_interaction(X.variant_stats(joined(spark, sf, 2), ["revenue"]))
-    return spark.createDataFrame([(round(t.f, 6), round(t.p_value, 6), t.dof[0], t.dof[1]) for t in found], "f double, p_value double, dof_1 long, dof_2 long")
-
-
 @query(f"""WITH {REVENUE}, a AS (SELECT c_mktsegment AS s, avg(revenue) AS m FROM rev JOIN customer ON unit = c_custkey GROUP BY 1), w AS (SELECT c_mktsegment AS s, count(*) AS w FROM customer GROUP BY 1)
     SELECT round(sum(m * w) / sum(w), 4) AS weighted_mean FROM a JOIN w USING (s)""")
 def strata_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
