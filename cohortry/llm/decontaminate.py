@@ -89,7 +89,7 @@ def _scan(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             ids, texts, out = batch.column("doc_id"), batch.column("text"), []
             for i, _, data, offsets in slices(texts):
                 last: tuple = (None, set())
-                for row, item, _ in items.search(*shingle_sets(data, offsets)):
+                for row, item, _ in items.search(*shinglesets_sql(data, offsets)):
                     if last[0] != row:
                         last = row, shingles_of(texts[i + row].as_py())
                     own = shingles_of(items.texts[item])
@@ -137,3 +137,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     for found in _runs(items, **how):
         docs = docs.mapInArrow(_clean(found), docs.schema)
     return docs
+
+
+def sets_sql(name: str, table: str, key: str) -> str:
+    """SQL of the distinct shingles of each row of a table, as the rows (rid, key, g)."""
+    fold = f"translate(text, '{UPPER}', '{LOWER}')"
+    return rf"""{name}w AS (SELECT row_number() OVER () AS rid, {key}, regexp_extract_all({fold}, '[^\x20\x09-\x0D]+') AS w FROM {table} WHERE text IS NOT NULL),
+{name} AS (SELECT DISTINCT rid, {key}, g FROM (SELECT rid, {key}, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, chr(10))] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(10))) END) AS g FROM {name}w WHERE len(w) > 0))"""
+
+
+SQL = f"""
+WITH {sets_sql("d", "documents", "doc_id")}, {sets_sql("i", "benchmark", "item_id")},
+n AS (SELECT rid, count(*) AS n FROM i GROUP BY 1),
+c AS (SELECT d.rid AS dr, i.rid AS ir, doc_id, item_id, count(*) AS s FROM d JOIN i USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, s AS n_shared, n AS n_item FROM c JOIN n ON n.rid = c.ir WHERE 100 * s >= {THRESHOLD} * n
+"""

@@ -8,7 +8,8 @@ languages; expectation-maximisation finds the proportions. Starting from all lan
 until one is left; of these nested sets the one with the highest log-likelihood less `PENALTY` * (languages - 1) * log(words)
 is the document's. The language predicted is that of the largest proportion, the score its proportion in the set.
 
-Documents are read twice, without a shuffle of text; the model is (languages x BINS) numbers, whatever the corpus. All labels are
+A text with more words than are held at once (some 8 million for four languages) goes through the rounds in runs of words, so its
+likelihoods under all languages are never held together. Documents are read twice, without a shuffle of text; the model is (languages x BINS) numbers, whatever the corpus. All labels are
 learnt. Beyond `AT_ONCE` of them, training sends the sums of each run of words, and prediction takes fewer words at a time, so
 that memory besides the model doesn't follow the number of labels. Null or letterless texts are `und` with
 score 0, as is every text if no row can be learnt from. Ties go to the first language by name. Null ids are rows like others
@@ -243,7 +244,7 @@ def _predict(languages: list[str], table: np.ndarray, held: int = HELD):
                         blocks = partial(likelihoods, data, start[first:last], end[first:last])
                         if first == last:
                             continue
-                        if k > AT_ONCE and (last - first) * k > held * AT_ONCE:
+                        if (last - first) * k > held * AT_ONCE:
                             share = mixture_of_long(blocks, k)
                         else:
                             share = mixture(np.concatenate(list(blocks())), row[first:last] - a, b - a)

@@ -29,6 +29,7 @@ from pyspark.sql.window import Window as W
 
 from .base import cut, discard, saved
 from .components import connected_components
+from .decontaminate import sets_sql
 from .shingles import U, mix, set_of, shingle_sets, slices
 
 THRESHOLD = 75
@@ -120,7 +121,7 @@ def prints(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in slices(batch.column("text")):
-            h, n = shingle_sets(data, offsets)
+            h, n = shinglesets_sql(data, offsets)
             regs = registers(h, n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i), batch.column("tag").slice(i, j - i), pa.array(n, pa.int64()), pa.array(prints(h, n)),
@@ -133,7 +134,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text with the name of its set."""
     for batch in batches:
         for i, j, data, offsets in slices(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(prints(*shingle_sets(data, offsets))), batch.column(0).slice(i, j - i)], ["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints(*shinglesets_sql(data, offsets))), batch.column(0).slice(i, j - i)], ["node", "text"])
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,3 +275,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     full = docs.select(F.struct("*").alias("doc"), row_name().alias("tag")).join(winners, "tag", "left_semi")
     full = full.withColumn("nth", F.row_number().over(W.partitionBy("tag").orderBy("tag"))).where("nth = 1")
     return full.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+#: Links are found by joining all sets' shingles; each row's id is carried along them to those that it reaches.
+SQL = f"""
+WITH RECURSIVE {sets_sql("d", "documents", "doc_id")},
+n AS (SELECT rid, count(*) AS n FROM d GROUP BY 1),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS s FROM d a JOIN d b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * s >= {THRESHOLD} * (x.n + y.n - s)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT rid, rid FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT r.a AS rid, min(doc_id) AS component_id FROM r JOIN dw ON dw.rid = r.b GROUP BY 1),
+o AS (SELECT doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE component_id END AS component_id FROM dw LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+      UNION ALL SELECT doc_id, 0, doc_id FROM documents WHERE text IS NULL)
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o
+"""

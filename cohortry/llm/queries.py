@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, quality, warc
+from . import chat, decontaminate, line_dedup, near_dedup, quality, warc
 from .base import table
 from .decontaminate import contaminated
 from .html_text import main_text
@@ -79,4 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_frequency_quality,
     )
 }
-SQL: dict[str, str] = {"op7_distinct_site_lines": line_dedup.SQL, "op10_line_frequency_quality": quality.SQL}
+SQL: dict[str, str] = {
+    "op2_warc_transactions": warc.SQL,
+    "op3_hyperminhash_near_dedup": near_dedup.SQL,
+    "op6_minhash_containment_decontamination": decontaminate.SQL,
+    "op7_distinct_site_lines": line_dedup.SQL,
+    "op10_line_frequency_quality": quality.SQL,
+}

@@ -248,3 +248,14 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, **how) -> DataFrame:
     whole = assemble(read_warc(spark, path)).where("response is not null")
     page = lambda field: F.nullif(F.col("metadata.fields")[field], F.lit("")).cast("long")
     return whole.select(page("page-id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), page("refers-to-page-id").alias("refers_to"))
+
+
+SQL = """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, coalesce(html, '') AS h FROM pages),
+g AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS best FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST, rid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+d AS (SELECT *, sha1(h) AS hex FROM g),
+b AS (SELECT *, array_to_string(list_transform(range(40), lambda j: to_base(CAST(('0x' || substr(hex, j + 1, 1)) AS INTEGER), 2, 4)), '') AS bits FROM d)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) * (16 >> CAST(j AS INTEGER))))::BIGINT, 1)), '') AS payload_digest,
+    CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN best END AS refers_to FROM b
+"""

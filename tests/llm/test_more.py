@@ -157,6 +157,48 @@ def test_mixture_recovers_proportions_and_sets():
     assert np.allclose(share[0], [1, 0, 0]) and share[1, 2] == 0 and abs(share[1, 0] - 0.7) < 0.05 and (share[2] > 0.15).all()
 
 
+def plain_mixture(like, penalty=language.PENALTY, rounds=language.ROUNDS):
+    """Expectation-maximisation over one text's words for each of the nested sets; like: (words, languages) of log-likelihoods."""
+    n, k = like.shape
+    p = np.exp(like - like.max(1, keepdims=True))
+
+    def fit(allowed, rounds):
+        share = allowed / allowed.sum()
+        for _ in range(rounds):
+            part = p * share
+            share = (part / part.sum(1, keepdims=True)).mean(0)
+        return share, np.log((p * share).sum(1)).sum()
+
+    allowed = np.ones(k)
+    share, value = fit(allowed, rounds)
+    best, score = share, value - penalty * (k - 1) * np.log(max(n, 2))
+    for size in range(k - 1, 0, -1):
+        allowed[np.argsort(np.where(allowed > 0, share, 2), kind="stable")[0]] = 0
+        share, value = fit(allowed, rounds if size > 1 else 0)
+        if value - penalty * (size - 1) * np.log(max(n, 2)) >= score:
+            best, score = share, value - penalty * (size - 1) * np.log(max(n, 2))
+    return best
+
+
+def test_language_against_plain_em(spark, sf_dir):
+    """Every whole text of the table: the model's own likelihoods through a plain EM give the same language and share."""
+    docs = table(spark, sf_dir, "documents")
+    languages, table_ = language.train(docs.where(~language.held_out()))
+    out = {r.doc_id: r for r in language.predict(docs, languages, table_).collect()}
+    near = []
+    for r in docs.collect():
+        text = (r.text or "").lower()
+        words = [w for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode())]
+        if not words or not re.search(r"[^\W\d_]", text):
+            assert out[r.doc_id].lang_pred == "und" and out[r.doc_id].score == 0
+            continue
+        bins = [[((a << 16 | b << 8 | c) * 0x9E3779B1 >> 13) % language.BINS for a, b, c in zip(b" " + w, w, w[1:] + b" ", strict=False)] for w in words]
+        share = plain_mixture(np.array([table_[:, x].sum(1) for x in bins], np.float64))
+        assert out[r.doc_id].lang_pred == languages[share.argmax()], r.doc_id
+        near.append(abs(out[r.doc_id].score - share.max()))
+    assert np.mean(np.array(near) < 0.02) > 0.98 and max(near) < 0.2, sorted(near)[-20:]
+
+
 # line dedup
 
 
