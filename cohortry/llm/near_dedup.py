@@ -88,8 +88,14 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Which pairs go to verification. Small sets fill few registers, so their pairs go without an estimate."""
-    return (np.maximum(na, nb) <= PREFIX) | (estimate(a, b, na, nb) >= PRUNE)
+    """Which pairs go to verification.
+
+    Where two registers differ, an element is in one of the sets alone; sets at the threshold have at most (na + nb) * (100 - t) / (100 + t)
+    such elements, so pairs with more registers that differ are below it for certain. Small sets fill few registers, so their other
+    pairs go without an estimate.
+    """
+    alone = (a != b).sum(-1)
+    return (alone * (100 + THRESHOLD) <= (na + nb) * (100 - THRESHOLD)) & ((np.maximum(na, nb) <= PREFIX) | (estimate(a, b, na, nb) >= PRUNE))
 
 
 def keys(hashes: np.ndarray, n: np.ndarray, regs: np.ndarray) -> list[np.ndarray]:

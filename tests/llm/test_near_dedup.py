@@ -120,3 +120,22 @@ def test_small_sets_are_linked_whatever_their_estimate(spark):
     rows = list(enumerate(texts))
     out = got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert out == sorted(brute(rows), key=str) and all(c == i // 2 * 2 for i, _, c in out)
+
+
+def test_pairs_at_the_threshold_pass():
+    """Registers never rule out a pair of small sets that links, whatever their hashes."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 4, 7, 8, 20, 60, 128):
+        for _ in range(300):
+            both = int(rng.integers(-(-75 * n // 100), n + 1))
+            one = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            other = np.concatenate([one[:both], rng.integers(0, 1 << 63, max(0, min(128 - both, 4 * both // 3 - n))).astype(np.uint64)])
+            a, b = np.unique(one), np.unique(other)
+            same = len(np.intersect1d(a, b))
+            if 100 * same < 75 * (len(a) + len(b) - same):
+                continue
+            ra, rb = (near_dedup.registers(x, np.array([len(x)])) for x in (a, b))
+            assert near_dedup.passes(ra, rb, np.array([len(a)]), np.array([len(b)]))[0]
+    far = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(2)]
+    ra, rb = (near_dedup.registers(x, np.array([len(x)])) for x in far)
+    assert not near_dedup.passes(ra, rb, np.array([60]), np.array([60]))[0]
