@@ -16,6 +16,13 @@ from pyspark.sql import DataFrame
 from .forecast import z_of
 
 
+#: The time of so many steps of each frequency.
+STEPS = {
+    "s": lambda k: pd.Timedelta(seconds=k), "min": lambda k: pd.Timedelta(minutes=k), "h": lambda k: pd.Timedelta(hours=k), "D": lambda k: pd.Timedelta(days=k), "W": lambda k: pd.Timedelta(weeks=k),
+    "M": lambda k: pd.DateOffset(months=k), "Q": lambda k: pd.DateOffset(months=3 * k), "Y": lambda k: pd.DateOffset(years=k),
+}
+
+
 @dataclass(frozen=True)
 class Model:
     """What a regression forecast is made of. Seasons are (name, period in days, order); alpha None is cross-validated ridge."""
@@ -127,8 +134,7 @@ def fit_predict(pdf: pd.DataFrame, time_col: str, value: str, horizon: int, freq
     """Fitted and forecast rows of one series, with bounds and the parts of the forecast."""
     pdf = pdf.sort_values(time_col).drop_duplicates(time_col)
     ts = pd.to_datetime(pdf[time_col])
-    step = {"D": pd.Timedelta(days=1), "h": pd.Timedelta(hours=1), "W": pd.Timedelta(days=7), "min": pd.Timedelta(minutes=1)}[freq]
-    future = pd.Series([ts.iloc[-1] + step * (i + 1) for i in range(horizon)])
+    future = pd.Series([ts.iloc[-1] + STEPS[freq](i + 1) for i in range(horizon)])
     times = pd.concat([ts, future], ignore_index=True)
     days = (times - pd.Timestamp("2000-01-01")).dt.total_seconds().to_numpy() / 86400
     n, y = len(pdf), pdf[value].to_numpy(float)
@@ -179,4 +185,6 @@ def regression_forecast(df: DataFrame, time_col: str, value: str, horizon: int,
             out.insert(0, d, pdf[d].iloc[0])
         return out
 
+    if freq not in STEPS:
+        raise ValueError(f"unknown frequency {freq}; known: {', '.join(STEPS)}")
     return df.select(*dims, time_col, value).groupBy(*dims).applyInPandas(one, schema)

@@ -58,13 +58,34 @@ def overwrite_partition(df: DataFrame, name: str, column: str, value: object, fo
         spark.conf.set(key, before)
 
 
-def upsert_table(new: DataFrame, name: str, keys: Sequence[str]) -> None:
-    """Rows of new in place of the table's rows with their keys; the table is replaced by a checked copy."""
+def upsert_table(new: DataFrame, name: str, keys: Sequence[str], partition: str | None = None) -> None:
+    """Rows of new in place of the table's rows with their keys.
+
+    With a partition column (one of the keys) only the partitions that new touches are written. Else the table is made anew beside the
+    old one and takes its name; a crash leaves one of both complete, the old one as <name>_before at worst.
+    """
     spark = new.sparkSession
-    merged = upsert(spark.table(name), new, keys)
-    merged.write.mode("overwrite").saveAsTable(f"{name}_next")
-    spark.table(f"{name}_next").write.mode("overwrite").saveAsTable(name)
-    spark.sql(f"DROP TABLE {name}_next")
+    old = spark.table(name)
+    if partition is not None:
+        if partition not in keys:
+            raise ValueError(f"{partition} has to be one of the keys")
+        touched = [r[0] for r in new.select(partition).distinct().collect()]
+        merged = upsert(old.where(F.col(partition).isin(touched)), new, keys).select(*old.columns)
+        merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
+        merged.count()
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "dynamic")
+        try:
+            merged.write.mode("overwrite").insertInto(name)
+        finally:
+            spark.conf.set(key, before)
+        return
+    upsert(old, new, keys).select(*old.columns).write.mode("overwrite").saveAsTable(f"{name}_next")
+    spark.sql(f"DROP TABLE IF EXISTS {name}_before")
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_before")
+    spark.sql(f"ALTER TABLE {name}_next RENAME TO {name}")
+    spark.sql(f"DROP TABLE {name}_before")
 
 
 @dataclass(frozen=True)

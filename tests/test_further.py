@@ -122,6 +122,38 @@ def test_rewards(spark):
         rewards.reward_of()
 
 
+def test_regression_of_all_frequencies(spark):
+    from cohortry.operators.regression import Model, regression_forecast
+
+    steps = {"s": "interval 1 second", "min": "interval 1 minute", "h": "interval 1 hour", "D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}
+    for freq, step in steps.items():
+        df = spark.range(24).select(F.expr(f"timestamp'2000-01-01' + {step} * id").alias("ts"), (2.0 * F.col("id") + 1).alias("v"))
+        out = regression_forecast(df, "ts", "v", 3, freq, Model(changepoints=0, seasons=(), alpha=1e-6)).where("stage = 'forecast'").orderBy("ts").collect()
+        want = [r.ts for r in spark.range(24, 27).select(F.expr(f"timestamp'2000-01-01' + {step} * id").alias("ts")).orderBy("ts").collect()]
+        assert [r.ts for r in out] == want, freq
+        assert all(abs(r.forecast - w) < 4 for r, w in zip(out, (49, 51, 53), strict=True)), freq
+    with pytest.raises(ValueError):
+        regression_forecast(df, "ts", "v", 3, "x")
+
+
+def test_upsert_of_tables(spark):
+    from cohortry.sources.tables import upsert_table, write_table
+
+    old = spark.createDataFrame([(1, "a", "p"), (2, "b", "p"), (3, "c", "q")], "k long, v string, d string")
+    new = spark.createDataFrame([(2, "z", "p"), (4, "y", "p")], "k long, v string, d string")
+    want = [(1, "a", "p"), (2, "z", "p"), (3, "c", "q"), (4, "y", "p")]
+    for name, partition in (("upsert_whole", None), ("upsert_parts", "d")):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if partition:
+            old.write.partitionBy(partition).saveAsTable(name)
+        else:
+            write_table(old, name)
+        upsert_table(new, name, ["k", "d"], partition)
+        assert sorted(map(tuple, spark.table(name).select("k", "v", "d").collect())) == want
+        assert not spark.catalog.tableExists(f"{name}_before") and not spark.catalog.tableExists(f"{name}_next")
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_records_are_scored_again(spark, tmp_path):
     rows = spark.createDataFrame([("a", "g", 1.0, 1.0), ("a", "h", 1.0, 3.0), ("b", "g", 1.0, 2.0), ("b", "h", 1.0, 2.0)], "candidate_id string, g string, actual double, forecast double")
     full = rows.withColumn("forecast_lower", F.lit(None).cast("double")).withColumn("forecast_upper", F.lit(None).cast("double"))
