@@ -1,8 +1,9 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
 Weights. A source with n tokens of all N has the share n / N; at exponent x its weight is share**x, normalised. x = 1 leaves the
-shares, x = 0 makes sources equal. The exponent is bisected over distributed sums on the table of sources (one row each), until
-the weights' entropy reaches a target, or until no source is repeated more than a limit; only sums reach the driver.
+shares, x = 0 makes sources equal. The exponent is bisected over distributed sums on the table of sources (one row each), `POINTS`
+exponents a round in one aggregation, until the weights' entropy reaches a target, or until no source is repeated more than a limit;
+only sums reach the driver.
 
 Budget. None: the fewest tokens with which every document is used once at least (so nothing is lost, and smaller sources
 repeat). Otherwise a number of tokens.
@@ -13,7 +14,8 @@ prefix sums over blocks, then within a block, so no task sees more than one bloc
 
 Null sources are a source. Null or word-less texts have no tokens: they come once in each epoch that reaches their place; a
 source without tokens comes once. Repeated rows are rows of their own and ties are broken by text and id. An empty table gives
-an empty result. Other columns are passed through inside a struct and may have any name.
+an empty result. Other columns are passed through inside a struct and may have any name. A very long text is one row, whose tokens
+may pass a source's quota by themselves; a quota's end lies within its last row.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .base import cut, n_words, saved
+from .base import cut, meet, n_words, saved
 
-ROUNDS = 48
+#: Exponents looked at in a round, and how near to the right one is near enough.
+POINTS, NEAR = 100, 1e-6
 BLOCK_DOCS = 20_000
-#: Plans of up to so many sources are broadcast.
-BROADCAST_SOURCES = 1000
+#: The plan of sources may be broadcast up to this size; beyond, rows meet it in so many parts for each source.
+BROADCAST_BYTES, SOURCE_PARTS = 16 << 20, 32
 MAX_REPEATS = 2.0
 SEED = 17
 
@@ -45,12 +48,16 @@ def source_totals(slim: DataFrame) -> DataFrame:
     return slim.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("docs"))
 
 
-def _sums(totals: DataFrame, x: float) -> tuple[float, float, float]:
-    """Entropy of the weights at exponent x, their normaliser, and the largest weight over share."""
+def _sums(totals: DataFrame, xs: list[float]) -> list[tuple[float, float, float, float]]:
+    """For each exponent the entropy of its weights, their normaliser, the largest weight over share over the least, and the least."""
     p = F.col("share")
-    row = totals.agg(F.sum(F.pow(p, F.lit(x))), F.sum(F.pow(p, F.lit(x)) * F.log(p)), F.max(F.pow(p, F.lit(x - 1))), F.min(F.pow(p, F.lit(x - 1)))).first()
-    z, zl, most, least = row
-    return math.log(z) - x * zl / z, z, most / least, least
+    each = [(F.sum(F.pow(p, F.lit(x))), F.sum(F.pow(p, F.lit(x)) * F.log(p)), F.max(F.pow(p, F.lit(x - 1))), F.min(F.pow(p, F.lit(x - 1)))) for x in xs]
+    row = totals.agg(*[c.alias(f"c{i}_{k}") for i, cs in enumerate(each) for k, c in enumerate(cs)]).first()
+    out = []
+    for i, x in enumerate(xs):
+        z, zl, most, least = row[4 * i : 4 * i + 4]
+        out.append((math.log(z) - x * zl / z, z, most / least, least))
+    return out
 
 
 def solve(totals: DataFrame, target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: int | None = None) -> tuple[float, DataFrame, float]:
@@ -65,21 +72,20 @@ def solve(totals: DataFrame, target_entropy: float | None = None, max_repeats: f
     if not total:
         return 1.0, totals.withColumn("weight", F.lit(0.0)), 0.0
 
-    def fits(x: float) -> bool:
-        entropy, z, spread, least = _sums(full, x)
+    def fits(entropy: float, z: float, spread: float, least: float) -> bool:
         repeats = spread if budget is None else budget / total * spread * least / z
         return (max_repeats is None or repeats <= max_repeats) and (target_entropy is None or entropy <= target_entropy)
 
     low, high = 0.0, 1.0
-    if fits(low):
+    if fits(*_sums(full, [low])[0]):
         high = low
-    else:
-        for _ in range(ROUNDS):
-            middle = (low + high) / 2
-            low, high = (low, middle) if fits(middle) else (middle, high)
-            if high - low < 1e-6:
-                break
-    _, z, _, least = _sums(full, high)
+    while high - low > NEAR:
+        # the first point that fits is the new high, the one before it the new low
+        points = [low + (high - low) * (i + 1) / (POINTS + 1) for i in range(POINTS)]
+        first = next((i for i, s in enumerate(_sums(full, points)) if fits(*s)), POINTS)
+        points = [low, *points, high]
+        low, high = points[first], points[first + 1]
+    _, z, _, least = _sums(full, [high])[0]
     weighted = totals.withColumn("weight", F.when(F.col("tokens") > 0, F.pow("share", F.lit(high)) / z).otherwise(0.0))
     return high, weighted, float(budget) if budget is not None else total * z / least
 
@@ -88,7 +94,7 @@ def _rank(*parts: Column | int | str) -> Column:
     return F.xxhash64(*[F.lit(x) if isinstance(x, (int, str)) else x for x in parts])
 
 
-def mix(docs: DataFrame, source: str = "source", target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS, broadcast_bytes: int | None = None) -> DataFrame:
     """doc (all columns of docs as a struct), n_tokens, epoch, block, position (tokens before it in its source's epoch)."""
     slim = saved(slim_rows(docs, source), "slim")
     totals = cut(source_totals(slim))
@@ -99,9 +105,7 @@ def mix(docs: DataFrame, source: str = "source", target_entropy: float | None =
         F.greatest(F.when(F.col("tokens") > 0, F.round(F.col("weight") * tokens)).otherwise(1.0).cast("long"), F.col("tokens") if budget is None else F.lit(0)).alias("quota"),
     )
     plan = cut(plan.withColumn("epochs", F.greatest(F.ceil(F.col("quota") / F.greatest("pass", F.lit(1))), F.lit(1)).cast("int")).where("quota > 0"))
-    if len(plan.take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    slim = slim.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    slim = meet(slim, plan.withColumnRenamed("of", "source"), "source", F.col("name"), BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes, SOURCE_PARTS).where("quota > 0")
     slim = slim.withColumn("block", F.pmod(_rank(seed, "block", F.col("name")), F.col("blocks")).cast("long"))
     slim = slim.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     # where each block of each epoch starts, from the sums of the blocks

@@ -183,6 +183,8 @@ def test_solver(spark):
     assert mixing.solve(totals, target_entropy=0.0, max_repeats=None)[0] == 1
     x, w, _ = mixing.solve(totals, max_repeats=2.0, budget=1000)
     assert all(1000 * r.weight <= 2.01 * r.tokens for r in w.collect() if r.tokens)
+    for limit in (1.5, 7.0, 40.0):
+        assert abs(mixing.solve(totals, max_repeats=limit)[0] - (1 - math.log(limit, 100))) < 2 * mixing.NEAR
 
 
 def test_mix_whole_table(spark, sf_dir):
@@ -220,3 +222,47 @@ def test_mix_edges(spark):
     small = mixing.mix(df, budget=10, max_repeats=None).select("doc.*", "n_tokens").collect()
     assert all(r.doc_id in (None, 1, 2, 3, 4, 5) for r in small)
     assert mixing.mix(df.where("doc_id = 9")).count() == 0
+
+
+def plain_mix(rows, hashes, quota, whole, blocks):
+    """(doc_id, text, epoch, position) of each use, from a source's rows in the order of the hashes, one after the other."""
+    out = []
+    for s in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == s]
+        total = sum(r[3] for r in own)
+        epochs = max(1, math.ceil(quota[s] / max(total, 1)))
+        for e in range(epochs):
+            block = lambda r: hashes[r[:2], "block"] % blocks[s]  # noqa: B023, E731
+            rank = lambda r: (hashes[e, block(r)], block(r), hashes[r[:2], e], hashes[r[:2]])  # noqa: B023, E731
+            at = 0
+            for r in sorted(own, key=rank):
+                if total == 0 or e * total + at < quota[s] and (r[3] or e * total + at + 0 < quota[s] or whole):
+                    out.append((r[0], r[1], e, at))
+                at += r[3]
+    return Counter(out)
+
+
+def test_mix_row_by_row(spark):
+    words = lambda n, k: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(i, words(5 + i * 7 % 23, i), "big") for i in range(300)] + [(1000 + i, words(3 + i % 5, i), "small") for i in range(20)] + [(2000 + i, words(40, i), None) for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget, how in ((None, {}), (3000, {"max_repeats": None, "target_entropy": 0.7})):
+        for most in (None, 0):
+            out = mixing.mix(df, block_docs=40, budget=budget, broadcast_bytes=most, **how)
+            got = Counter((r.doc_id, r.text, r.epoch, r.position) for r in out.select("doc.doc_id", "doc.text", "epoch", "position").collect())
+            totals = mixing.source_totals(mixing.slim_rows(df))
+            _, weighted, tokens = mixing.solve(totals, max_repeats=how.get("max_repeats", mixing.MAX_REPEATS), target_entropy=how.get("target_entropy"), budget=budget)
+            plan = {r.source: r for r in weighted.collect()}
+            quota = {s: max(round(r.weight * tokens), r.tokens if budget is None else 0) for s, r in plan.items()}
+            blocks = {s: max(1, math.ceil(r.docs / 40)) for s, r in plan.items()}
+            name = F.xxhash64("doc_id", "text")
+            hashes = {}
+            each = [F.xxhash64(F.lit(mixing.SEED), F.lit(e), name).alias(f"e{e}") for e in range(12)]
+            for r in df.select("doc_id", "text", name.alias("n"), F.xxhash64(F.lit(mixing.SEED), F.lit("block"), name).alias("b"), *each).collect():
+                hashes[r.doc_id, r.text] = r.n
+                hashes[(r.doc_id, r.text), "block"] = r.b
+                hashes |= {((r.doc_id, r.text), e): r[f"e{e}"] for e in range(12)}
+            for r in spark.range(10).crossJoin(spark.range(12).toDF("e")).select("id", "e", F.xxhash64(F.lit(mixing.SEED), F.col("e").cast("int"), "id").alias("h")).collect():
+                hashes[r.e, r.id] = r.h
+            n = [(d, t, s, len(t.split())) for d, t, s in rows]
+            assert got == plain_mix(n, hashes, quota, budget is None, blocks)
