@@ -109,20 +109,25 @@ def pair_relation(spark, pairs: Sequence[ComparisonPair]) -> DataFrame:
     return spark.createDataFrame(rows, "pair string, side string, variant array<string>")
 
 
+def with_state_counts(stats: DataFrame) -> DataFrame:
+    """stats (of `variant_stats`) with trigger_state_count, the units of each variant's trigger state; no second pass over units."""
+    return stats.withColumn("trigger_state_count", F.sum("sample_count").over(W.partitionBy("metric", trigger_state(F.col("variant")))))
+
+
 def arm_stats(stats: DataFrame, pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """pair, side, metric: units, mean, variance of the mean.
 
-    Pooled over the side's variants; or, given trigger-state counts, the mean weighted by each variant's state among those that
-    exist, with variance sum of w^2 sd^2 / n.
+    Pooled over the side's variants; or, given trigger-state counts (as a frame, or in stats by `with_state_counts`), the mean weighted
+    by each variant's state among those that exist, with variance sum of w^2 sd^2 / n.
     """
     both = stats.join(F.broadcast(pairs), "variant")
     keys = ("pair", "side", "metric")
-    if counts is None:
+    if counts is None and "trigger_state_count" not in stats.columns:
         pooled = both.groupBy(*keys).agg(F.sum("sample_count").alias("n"), F.sum("sum").alias("sum"), F.sum("sum_sq").alias("sum_sq"))
         mean = F.col("sum") / F.col("n")
         var = F.greatest(F.col("sum_sq") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n")
         return pooled.select(*keys, "n", mean.alias("mean"), var.alias("var"))
-    weighted = both.join(counts.select("variant", "trigger_state_count"), "variant")
+    weighted = both if counts is None else both.join(counts.select("variant", "trigger_state_count"), "variant")
     w = F.col("trigger_state_count") / F.sum("trigger_state_count").over(W.partitionBy(*keys))
     weighted = weighted.withColumn("w", w)
     return weighted.groupBy(*keys).agg(F.sum("sample_count").alias("n"), F.sum(F.col("w") * F.col("mean")).alias("mean"), F.sum(F.col("w") * F.col("w") * F.col("sd") * F.col("sd") / F.col("sample_count")).alias("var"))

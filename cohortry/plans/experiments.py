@@ -134,7 +134,8 @@ def _arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 @query(f"WITH {STATS}, {SIDES} SELECT 'launch' AS pair, side, 'revenue' AS metric, n, round(mean, 3) AS mean, round(var, 1) AS var FROM arms")
 def mea_arm_weighted_means(spark: SparkSession, sf: str) -> DataFrame:
-    out, _, _ = _arms(spark, sf)
+    stats = E.with_state_counts(E.variant_stats(joined(spark, sf, 3), ["revenue"]))
+    out = E.arm_stats(stats, E.pair_relation(spark, [_launch(3)]))
     return out.select("pair", "side", "metric", "n", F.round("mean", 3).alias("mean"), F.round("var", 1).alias("var"))
 
 
