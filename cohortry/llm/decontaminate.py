@@ -12,7 +12,8 @@ that size and documents are read once for each run, so memory stays bounded howe
 
 Shingles are five words (`base.WORD`, A-Z lower-cased); items and documents of fewer words are one shingle, so such an item is
 found only as the whole of a document. Items or documents without words, and null texts, match nothing. Repeated rows and null ids
-are rows like others; empty tables give an empty result; other columns play no part.
+are rows like others; empty tables give an empty result; other columns play no part. A document that holds exactly the threshold is
+found. A very long text is searched whole, in memory in proportion to its words.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ components that pass the estimate are verified in place, and only links that joi
 component already, or estimated far below the threshold, or verified.
 
 Null or word-less texts link with nothing. Repeated rows, equal ids and null ids are kept as rows; a null id never names a
-component that has another id. An empty table gives an empty result. Extra columns play no part.
+component that has another id. An empty table gives an empty result. Extra columns play no part. A very long text is sketched
+and verified whole, in memory in proportion to its words; pairs at exactly the threshold are links.
 """
 
 from __future__ import annotations
