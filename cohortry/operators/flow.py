@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..specs import MetricSource
-from .evaluation import evaluate_by_horizon
+from .evaluation import detect, evaluate_by_horizon
 from .forecast import backfill, cutoffs, seasonal_mean, stamp
 from .metrics import time_metrics
 from .regression import Model, regression_forecast
@@ -60,3 +60,8 @@ class Flow:
         cut = cutoffs(n, self.initial, self.horizon, self.step)
         made = backfill(self.series(df), "ts", "value", cut, self.horizon, self._made(), dims=self.source.dims)
         return evaluate_by_horizon(stamp(made, metric_id=self.metric), tie=("cutoff", "ts"))
+
+    def detect(self, df: DataFrame, ape: float | None = None) -> DataFrame:
+        """The series with its fitted forecast and whether each value is outside the bounds (and, if given, over so many percent off)."""
+        made = self._made()(self.series(df), self.source.dims).where("stage = 'fitted'")
+        return stamp(detect(made, ape=ape), metric_id=self.metric, algo_name=self.algorithm)

@@ -168,6 +168,13 @@ def recursive_lags(df: DataFrame, time_col: str, value: str, freq: str, orders:
     return out.select(*dims, F.expr(f"_last + {STEP[freq]} * (_i + 1)").alias(time_col), (F.col("_i") + 1).alias("horizon_step"), "forecast")
 
 
+def one_by_one(df: DataFrame, models: Sequence[Callable[[DataFrame, Sequence[str]], DataFrame]], time_col: str = "ts", dims: Sequence[str] = ()) -> DataFrame:
+    """Each step ahead from a model of its own: of the i-th model's forecast rows the i-th stays, with horizon_step."""
+    step = F.row_number().over(W.partitionBy(*dims).orderBy(time_col))
+    parts = [m(df, dims).where("stage = 'forecast'").withColumn("horizon_step", step).where(F.col("horizon_step") == i) for i, m in enumerate(models, 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def multistage(df: DataFrame, time_col: str, value: str, period: str, coarse: Callable[[DataFrame, Sequence[str]], DataFrame], fine: Callable[[DataFrame, Sequence[str]], DataFrame], dims: Sequence[str] = ()) -> DataFrame:
     """Two forecasts in turn: one of the series' means by period, then one of what that leaves, added up.
 

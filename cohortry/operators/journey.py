@@ -82,6 +82,14 @@ def heads(seq: DataFrame, n: int) -> DataFrame:
     return seq.select("*", *[F.get("event_seq", F.lit(i)).alias(f"s{i + 1}") for i in range(n)])
 
 
+def first_steps(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """keys, s1, ..., sn: the first n events of each journey. Ranks are cut off before anything travels, so a journey of any length
+    (a bot's) sends n rows from each task and is never one array."""
+    order = W.partitionBy(*keys).orderBy("time", "tie", "event")
+    some = df.where("event is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    return some.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == i + 1, F.col("event"))).alias(f"s{i + 1}") for i in range(n)])
+
+
 def count_sequences(seq: DataFrame, n: int, distinct: str | None = None, end: str | None = None, by: Sequence[str] = (), conditions: Sequence[str] = ()) -> DataFrame:
     """How many journeys (or distinct values) begin with each s1..sn, and what percent of the total that is.
 

@@ -7,13 +7,16 @@ number of series is what is spread over the cluster.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import dist
 from .forecast import z_of
+from .relational import match
 
 
 #: The time of so many steps of each frequency.
@@ -55,14 +58,38 @@ def _design(days: np.ndarray, model: Model, span: tuple[float, float]) -> tuple[
     return np.stack(columns, 1), names
 
 
-def ridge(x: np.ndarray, y: np.ndarray, alpha: float, weights: np.ndarray | None = None) -> np.ndarray:
-    """Least squares with a penalty on all columns but the first."""
+def ridge(x: np.ndarray, y: np.ndarray, alpha: float, weights: np.ndarray | None = None, free: Sequence[int] = (0,)) -> np.ndarray:
+    """Least squares with a penalty on all columns but the free ones (the first)."""
     penalty = np.full(x.shape[1], alpha)
-    penalty[0] = 0
+    penalty[list(free)] = 0
     xw = x if weights is None else x * weights[:, None]
     return np.linalg.lstsq(xw.T @ x + np.diag(penalty), xw.T @ y, rcond=None)[0]
 
 
+def summary(x: np.ndarray, y: np.ndarray, names: Sequence[str], alpha: float = 0.0) -> list[dict[str, float | str]]:
+    """Of each column of a design: coefficient, standard error, t and p, with the degrees of freedom that the penalty leaves."""
+    penalty = np.diag([0.0, *[alpha] * (x.shape[1] - 1)])
+    inverse = np.linalg.pinv(x.T @ x + penalty)
+    beta, hat = inverse @ x.T @ y, x @ inverse @ x.T
+    dof = max(1.0, len(y) - float(np.trace(hat)))
+    noise = float(((y - x @ beta) ** 2).sum()) / dof
+    se = np.sqrt(np.diag(inverse @ x.T @ x @ inverse) * noise)
+    out = []
+    for n, b, e in zip(names, beta, se, strict=True):
+        t = float(b / e) if e > 0 else float("nan")
+        out.append({"name": n, "coefficient": float(b), "se": float(e), "t": t, "p": dist.t_two_sided(t, dof) if e > 0 else float("nan"), "dof": dof})
+    return out
+
+
+def spaced(points: Sequence[float], strength: Sequence[float], least: float) -> list[float]:
+    """Changepoints no nearer than `least` to each other: of near ones the strongest stays (ties: the first)."""
+    kept: list[float] = []
+    for p, _ in sorted(zip(points, strength, strict=True), key=lambda x: (-abs(x[1]), x[0])):
+        if all(abs(p - k) >= least for k in kept):
+            kept.append(p)
+    return sorted(kept)
+
+
 def choose_alpha(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], folds: int = 5) -> float:
     """The penalty of least error over contiguous folds."""
     parts = np.array_split(np.arange(len(y)), min(folds, max(2, len(y) // 10)))
@@ -188,3 +215,14 @@ def regression_forecast(df: DataFrame, time_col: str, value: str, horizon: int,
     if freq not in STEPS:
         raise ValueError(f"unknown frequency {freq}; known: {', '.join(STEPS)}")
     return df.select(*dims, time_col, value).groupBy(*dims).applyInPandas(one, schema)
+
+
+def quantile_forecast(df: DataFrame, time_col: str, value: str, horizon: int, freq: str = "D", model: Model | None = None, dims: Sequence[str] = ()) -> DataFrame:
+    """The regression forecast with bounds from regressions of the quantiles that the model's coverage leaves out on each side."""
+    model = model or Model()
+    tail = (1 - model.coverage) / 2
+    of = lambda q: regression_forecast(df, time_col, value, horizon, freq, replace(model, quantile=q), dims)
+    out = regression_forecast(df, time_col, value, horizon, freq, model, dims).drop("forecast_lower", "forecast_upper")
+    for name, q in (("forecast_lower", tail), ("forecast_upper", 1 - tail)):
+        out = match(out, of(q).select(*dims, time_col, F.col("forecast").alias(name)), [*dims, time_col], "left")
+    return out

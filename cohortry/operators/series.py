@@ -289,6 +289,24 @@ def holiday_features(df: DataFrame, date_col: str, holidays: DataFrame, names: S
     return df.join(marks, F.col(date_col).cast("date") == F.col("_day"), "left").drop("_day").fillna(0, names)
 
 
+def holiday_effects(df: DataFrame, time_col: str, value: str, holidays: DataFrame, offsets: Sequence[int] = (-7, 7), before: int = 0, after: int = 0, holiday_date: str = "date", holiday: str = "holiday", dims: Sequence[str] = ()) -> DataFrame:
+    """For each holiday (and the days around it): on how many days, and by how much on average, the value differs from the mean of the
+    days so many days from it. Days whose offset days are all missing don't count."""
+    near = reduce(lambda d, k: date_lags(d, time_col, value, "D", [k], dims), [-k for k in offsets], df.select(*dims, time_col, value))
+    past = [F.col(f"{value}_lag{-k}").cast("double") for k in offsets]
+    n = reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in past])
+    base = F.try_divide(reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in past]), n)
+    scored = near.select(*dims, F.col(time_col).cast("date").alias("_day"), (F.col(value) - base).alias("score"))
+    around = event_windows(holidays, holiday_date, holiday, before, after).select(F.col(holiday_date).alias("_day"), holiday)
+    return scored.where("score is not null").join(around, "_day").groupBy(*dims, holiday).agg(F.count("*").alias("days"), F.avg("score").alias("effect"))
+
+
+def holiday_groups(effects: DataFrame, groups: int, dims: Sequence[str] = ()) -> DataFrame:
+    """effects with group: from 1, equally many holidays in each by rising effect (ties by name)."""
+    name = next(c for c in effects.columns if c not in (*dims, "days", "effect"))
+    return effects.withColumn("group", F.ntile(groups).over(W.partitionBy(*dims).orderBy("effect", name)))
+
+
 def canonical(df: DataFrame, time_col: str, value: str, freq: str, dims: Sequence[str] = (), regressors: Sequence[str] = (), train_end: str | None = None, anomalies: DataFrame | None = None, delta: str | None = None) -> DataFrame:
     """A series ready to forecast: dims, ts, y, regressors, stage, on a regular grid.
 

@@ -156,6 +156,23 @@ def json_of_counts(spark: SparkSession, sf: str) -> DataFrame:
     return J.count_map(e, ["user_id"]).select("user_id", M.json_of(F.col("event_count_map")).alias("counts"))
 
 
+@query("""WITH r AS (SELECT user_id, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+    SELECT user_id, max(CASE WHEN k = 1 THEN e END) AS s1, max(CASE WHEN k = 2 THEN e END) AS s2, max(CASE WHEN k = 3 THEN e END) AS s3 FROM r GROUP BY 1""")
+def seq_first_steps(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events").select("user_id", F.col("ts").alias("time"), F.col("event_type").alias("event"), F.col("event_id").alias("tie"))
+    return J.first_steps(e, ["user_id"], 3)
+
+
+@query(f"""WITH {DAILY}, h(d, name) AS (VALUES (DATE '2024-01-10', 'feast'), (DATE '2024-01-11', 'rest'), (DATE '2024-01-24', 'feast')),
+    e AS (SELECT a.event_type, h.name, a.v - (coalesce(p.v, 0) + coalesce(q.v, 0)) / nullif((p.v IS NOT NULL)::INT + (q.v IS NOT NULL)::INT, 0) AS s FROM daily a JOIN h ON CAST(a.ts AS DATE) = h.d
+        LEFT JOIN daily p ON p.event_type = a.event_type AND p.ts = a.ts - INTERVAL 7 DAY LEFT JOIN daily q ON q.event_type = a.event_type AND q.ts = a.ts + INTERVAL 7 DAY),
+    g AS (SELECT event_type, name AS holiday, count(*) AS days, avg(s) AS effect FROM e WHERE s IS NOT NULL GROUP BY 1, 2)
+    SELECT event_type, holiday, days, round(effect, 4) AS effect, CAST(ntile(2) OVER (PARTITION BY event_type ORDER BY effect, holiday) AS INTEGER) AS "group" FROM g""")
+def holiday_effects(spark: SparkSession, sf: str) -> DataFrame:
+    out = S.holiday_effects(daily(spark, sf), "ts", "v", _holidays(spark), dims=["event_type"])
+    return R.rounded(S.holiday_groups(out, 2, ["event_type"]), 4)
+
+
 # series
 
 

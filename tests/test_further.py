@@ -80,6 +80,44 @@ def test_futures(spark):
     assert forecast.grouping_columns(frame.withColumn("country", F.lit("x"))) == ["country"]
 
 
+def test_steps_of_their_own_models(spark):
+    df = daily(spark, [i % 7 for i in range(28)])
+    level = lambda x: lambda d, dims: forecast.seasonal_mean(d, "ts", "v", 7, 1, 3, dims=dims).withColumn("forecast", F.col("forecast") + x)
+    out = forecast.one_by_one(df, [level(0), level(10), level(20)]).orderBy("ts").collect()
+    assert [(r.horizon_step, r.forecast) for r in out] == [(1, 0.0), (2, 11.0), (3, 22.0)]
+
+
+def test_detection_flow(spark):
+    from cohortry.operators.flow import Flow
+
+    ev = spark.createDataFrame([(0, DAY + timedelta(days=d), float(d % 7 + 1 + (50 if d == 30 else 0))) for d in range(35)], "u long, t timestamp, v double")
+    found = Flow(MetricSource("s", "u", (UnitMetric("v", "SUM", "v"),), (Metric("v"),)), "v", "t", params={"k": 2}).detect(ev)
+    assert [r.ts.day for r in found.where("is_anomaly_predicted").collect()] == [31]
+
+
+def test_regression_helpers():
+    from cohortry.operators.regression import spaced, summary
+
+    rng = np.random.default_rng(0)
+    x = np.stack([np.ones(200), rng.normal(size=200), rng.normal(size=200)], 1)
+    got = summary(x, x @ [1.0, 2.0, 0.0] + 0.1 * rng.normal(size=200), ["one", "two", "none"])
+    assert abs(got[1]["coefficient"] - 2) < 0.05 and got[1]["p"] < 1e-6 and got[2]["p"] > 0.001 and abs(got[0]["dof"] - 197) < 1e-6
+    assert spaced([1, 2, 10, 11], [0.5, 0.9, -2, 1], 3) == [2, 10] and spaced([], [], 1) == []
+
+
+def test_quantile_bounds_and_free_columns(spark):
+    from cohortry.operators.regression import Model, quantile_forecast, ridge
+
+    rng = np.random.default_rng(1)
+    df = daily(spark, 5 + rng.exponential(1, 300))
+    out = quantile_forecast(df, "ts", "v", 2, model=Model(changepoints=0, seasons=(), alpha=1e-6, coverage=0.8))
+    r = out.where("stage = 'fitted'").agg(F.avg((F.col("actual") < F.col("forecast_lower")).cast("int")), F.avg((F.col("actual") > F.col("forecast_upper")).cast("int"))).first()
+    assert abs(r[0] - 0.1) < 0.03 and abs(r[1] - 0.1) < 0.03 and out.where("stage = 'forecast'").count() == 2
+    x = np.stack([np.ones(50), np.arange(50.0), np.arange(50.0) ** 2], 1)
+    held = ridge(x, 3 * x[:, 1], 1e12, free=(0, 1))
+    assert abs(held[1] - 3) < 1e-3 and abs(held[2]) < 1e-3
+
+
 def test_mint_adds_up_and_weighs_errors(spark):
     rng = np.random.default_rng(0)
     days = [(DAY + timedelta(days=i)).isoformat() for i in range(200)]
