@@ -233,30 +233,29 @@ def ratio_stats(df: DataFrame, metric: Metric) -> DataFrame:
 # grouped jackknife
 
 
-#: Units that one task puts in order.
-RANGE_ROWS = 1_000_000
+def settled(df: DataFrame) -> DataFrame:
+    """df made once, so that every use sees the same rows in the same places: a checkpoint where the cluster names a folder for them."""
+    sc = df.sparkSession.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named and not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
 
 
 def bucketed(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
-    """df with jk_bucket: contiguous slices of ceil(n / buckets) rows in the given order.
+    """df with jk_bucket: contiguous slices of ceil(n / buckets) rows in the given order, which has to be total.
 
-    Positions come from counts of ranges of the first order column and a rank inside each range, so no task orders the whole
-    table; the order has to be total.
+    Rows are dealt by ranges of the order and sorted in each; a row's position is its range's start, from the ranges' counts, and its
+    place there. So no task orders more than its range, whatever the number of rows, and nothing is counted on the driver.
     """
-    n = df.count()
-    size = max(1, -(-n // buckets))
-    parts = max(1, n // RANGE_ROWS)
-    if parts == 1:
-        at = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1
-        return df.withColumn("jk_bucket", F.floor(at / size).cast("int"))
-    first = order[0]
-    bounds = df.approxQuantile(first, [i / parts for i in range(1, parts)], 0.001)
-    cell = reduce(lambda a, b: a + F.when(F.col(first) > b, 1).otherwise(0), bounds, F.lit(0))
-    ranged = df.withColumn("_range", cell)
-    counts = ranged.groupBy("_range").count()
-    offset = counts.select("_range", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    at = F.col("_offset") + F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(offset), "_range").withColumn("jk_bucket", F.floor(at / size).cast("int")).drop("_range", "_offset")
+    at = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    size = F.ceil(F.sum("_n").over(W.partitionBy()) / buckets)
+    starts = counts.select("_part", before.alias("_start"), size.alias("_size"))
+    out = at.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn("jk_bucket", F.floor((F.col("_start") + place) / F.col("_size")).cast("int")).drop("_at", "_part", "_start", "_size")
 
 
 def jackknife(df: DataFrame, buckets: int, sums: dict[str, Column], estimate: Column, by: Sequence[str] = ()) -> DataFrame:
