@@ -82,6 +82,33 @@ def strata_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
     return R.rounded(M.weighted_mean(df, "revenue", "c_mktsegment", c.groupBy("c_mktsegment").agg(F.count("*").alias("w")), "w"), 4)
 
 
+@query("""WITH o AS (SELECT o_orderpriority AS r, o_orderstatus AS c, count(*) AS n FROM orders GROUP BY 1, 2), e AS (SELECT *, sum(n) OVER (PARTITION BY r) * sum(n) OVER (PARTITION BY c) / sum(n) OVER () AS x FROM o)
+    SELECT round(2 * sum(n * ln(n / x)), 6) AS g, round(sum((n - x) ** 2 / x), 6) AS pearson, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS BIGINT) AS dof FROM e""")
+def distribution_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether orders of all priorities have the same distribution of status; the table's cells are few."""
+    import numpy as np
+
+    from ..functions.inference import compare_distributions
+
+    cells = load(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").count().collect()
+    rows, columns = sorted({r[0] for r in cells}), sorted({r[1] for r in cells})
+    table = np.zeros((len(rows), len(columns)))
+    for r in cells:
+        table[rows.index(r[0]), columns.index(r[1])] = r[2]
+    g, x = compare_distributions(table), compare_distributions(table, method="pearson")
+    return spark.createDataFrame([(round(g["statistic"], 6), round(x["statistic"], 6), g["dof"])], "g double, pearson double, dof long")
+
+
+@query(f"""WITH {STATS}, a AS (SELECT CASE WHEN variant = 'control|control|control' THEN 'c' ELSE 't' END AS side, sum(n) AS n, sum(s1) / sum(n) AS m, greatest(sum(s2) / sum(n) - (sum(s1) / sum(n)) ** 2, 0) / sum(n) AS v FROM s WHERE variant IN ('control|control|control', 'v1|enabled|w1') GROUP BY 1)
+    SELECT 'pair' AS pair, 'revenue' AS metric, round(t.m - c.m, 3) AS delta, round(t.m - c.m - 1.959963984540054 * sqrt(t.v + c.v), 3) AS ci_lower, round(t.m - c.m + 1.959963984540054 * sqrt(t.v + c.v), 3) AS ci_upper FROM a t, a c WHERE t.side = 't' AND c.side = 'c'""")
+def mea_normal_interval(spark: SparkSession, sf: str) -> DataFrame:
+    from ..specs import ComparisonPair
+
+    pair = ComparisonPair((("v1", "enabled", "w1"),), (("control",) * 3,), "pair")
+    found = X.effects(X.arm_stats(X.variant_stats(joined(spark, sf, 3), ["revenue"]), X.pair_relation(spark, [pair])), law="z")
+    return R.rounded(X.effect_frame(spark, found).select("pair", "metric", "delta", "ci_lower", "ci_upper"), 3)
+
+
 # tables, times, calendars
 
 
@@ -228,6 +255,20 @@ def logistic_curve(spark: SparkSession, sf: str) -> DataFrame:
     return R.rounded(daily(spark, sf).select("event_type", "ts", S.logistic(F.dayofmonth("ts"), 0.5, 5.0, 10.0, 15.0).alias("curve")))
 
 
+@query(f"""WITH {DAILY}, x AS (SELECT event_type, ts, CASE WHEN day(ts) % 5 <> 0 THEN v END AS v, CASE WHEN day(ts) % 4 <> 0 THEN n * 1.0 END AS n FROM daily), l AS (SELECT *, lag(v, 1) OVER w AS va, lag(v, 7) OVER w AS vb, lag(n, 1) OVER w AS na, lag(n, 7) OVER w AS nb FROM x WINDOW w AS (PARTITION BY event_type ORDER BY ts))
+    SELECT event_type, ts, round(coalesce(v, (coalesce(va, 0) + coalesce(vb, 0)) / nullif((va IS NOT NULL)::INT + (vb IS NOT NULL)::INT, 0)), 4) AS v, round(coalesce(n, (coalesce(na, 0) + coalesce(nb, 0)) / nullif((na IS NOT NULL)::INT + (nb IS NOT NULL)::INT, 0)), 4) AS n FROM l""")
+def impute_two_columns(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily(spark, sf)
+    holes = d.withColumn("v", F.when(F.dayofmonth("ts") % 5 != 0, F.col("v"))).withColumn("n", F.when(F.dayofmonth("ts") % 4 != 0, F.col("n").cast("double")))
+    return R.rounded(S.impute_columns(holes, "ts", ["v", "n"], [1, 7], dims=["event_type"]), 4)
+
+
+@query(f"""WITH {DAILY}, z AS (SELECT event_type, ts, coalesce(abs((v - avg(v) OVER p) / nullif(stddev_pop(v) OVER p, 0)) > 1.2, false) AS f FROM daily WINDOW p AS (PARTITION BY event_type)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - row_number() OVER (PARTITION BY event_type, f ORDER BY ts) AS k FROM z) SELECT event_type, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM r WHERE f GROUP BY event_type, k""")
+def outlier_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return S.outlier_intervals(daily(spark, sf), "ts", "v", 1.2, 0.0, ["event_type"])
+
+
 # forecasts
 
 
