@@ -61,6 +61,8 @@ FIRST_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer comment comments commentlist disqus"
     " cookie cookies consent gdpr popup modal newsletter share sharing pagination pager masthead topbar toolbar".split()
 )
+#: Of those, the words that inside of an article may start names of its own parts.
+OUTER_WORDS = frozenset("menu sidebar widget footer toolbar topbar masthead popup modal".split())
 FIRM_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promos promotion comment comments commentlist disqus respond replies reply"
     " cookie cookies consent gdpr newsletter related recommended recommendations trending popular".split()
@@ -96,7 +98,7 @@ def _named(name: str, in_content: bool) -> int:
     while len(words) > 1 and (words[-1] in PIECES or words[-1].isdigit()):
         words.pop()
     hits = [w for w in (words[-1], words[0]) if w in DROP_WORDS]
-    if hits and (words[-1] in DROP_WORDS or (words[0] in FIRST_WORDS and not in_content)):
+    if hits and (words[-1] in DROP_WORDS or (words[0] in FIRST_WORDS and not (in_content and words[0] in OUTER_WORDS))):
         return FIRM if any(w in FIRM_WORDS for w in hits) else HINT
     if "header" in name.lower() and not in_content and not set(words) & KEEP_WORDS and (words[-1] == "header" or whole > len(words)):
         return HINT
