@@ -5,7 +5,8 @@ and a bonus for elements that say they hold the content. From the best container
 the body, in which what was added has more text than links; the page votes for the generalised path (tags and classes, digits as #)
 of that. Votes are counted per host and path by an aggregation, and each host's path with the most votes wins.
 Second pass: each page's text is taken from all containers with a score on the host's winning path, in page order, or from those on
-the page's own path where the winning one is missing or holds under a third of the own best container's score.
+the page's own path where the winning one is missing or holds under a third of the own best container's score. Text without any
+heading (h1 to h3) gets the page's h1 as its headline, if there is just one and it isn't in what is dropped.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count nor come out; a `header`
 inside an article is part of it. Tags, roles and hidden elements tell them for certain. Classes and ids only hint: a name counts by its
@@ -205,6 +206,7 @@ class Page:
         # page itself, html or body, what its name hints, and whether it says it holds main text
         self.paths, self.parents, self.bonus, self.own = [b""], [-1], [0.6], [0.0]
         self.outer, self.hints, self.article = [True], [0], [False]
+        self.heads: list[tuple[int, str]] = []  # (container, tag) of headings
         self.parts: list[tuple[int, str]] = []  # (container, text or a block's end)
         self._read(html)
         self.off = self._off()
@@ -273,6 +275,8 @@ class Page:
             self.article.append(_holds_article(tag, attributes))
             self.bonus.append(_bonus(tag, attributes))
             self.own.append(0.0)
+            if tag in ("h1", "h2", "h3"):
+                self.heads.append((node, tag))
         stack.push(tag, node, dropped)
         return None
 
@@ -359,6 +363,12 @@ class Page:
             inside[node] = True
         for i in range(nodes[0] + 1, len(self.paths)):
             inside[i] = inside[i] or inside[self.parents[i]]
+        heads = [(i, tag) for i, tag in self.heads if not self.off[i]]
+        if not any(inside[i] for i, _ in heads):
+            # a text without headings has the page's only h1 as its headline
+            first = [i for i, tag in heads if tag == "h1"]
+            if len(first) == 1:
+                inside[first[0]] = True
         return " ".join("".join(t for i, t in self.parts if inside[i] and not self.off[i]).split())
 
 

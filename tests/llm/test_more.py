@@ -326,7 +326,9 @@ def test_html_names_are_hints(spark):
         6: (f"<body class='menu-open sidebar-collapsed'><div class=post><p>{long}</p></div>{comments}<div id=left-sidebar><p>{long}</p></div></body>", long),
         7: (f"<body><div class=entry><p>{long}</p><p class=newsletter-signup>No</p><span class='ad-300'>No</span><div class=block-social-links>No</div><div class=widget_recent_entries>No</div></div></body>", long),
         9: (f"<body><article><p>{long}</p><div class=sidebar-note>Yes.</div><div id=disqus_thread>No</div><div class=share-this-post>No</div><p class=ad-slot-3>No</p></article></body>", long + "Yes."),
-        8: (f"<body><div class=siteHeader>No</div><div class='article-header'><h1>Head</h1></div><div class=text><p>{long}</p></div></body>", long),
+        10: (f"<body><h1>The headline</h1><div class=content><p>{long}</p></div><div class=box><a href=/x>Link</a></div></body>", "The headline " + long),
+        11: (f"<body><h1>Site</h1><div class=content><h2>The headline</h2><p>{long}</p></div></body>", "The headline " + long),
+        8: (f"<body><div class=siteHeader>No</div><div class='article-header'><h1>Head</h1></div><div class=text><p>{long}</p></div></body>", "Head " + long),
     }
     rows = [(k, f"http://n{k}.example/", h) for k, (h, _) in cases.items()]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
