@@ -130,7 +130,7 @@ def plan(rows: DataFrame, old: Column | None = None, n_old: int | None = None, w
     # groups that outgrow a shard are at most as many as the shards
     outgrown = [r.text_hash for r in by_text.where((F.col("bytes") > shard_bytes) & (F.col("n") > 1)).select("text_hash").collect()]
     unit = F.when(F.col("text_hash").isin(outgrown), F.col("row_hash")).otherwise(F.col("text_hash")) if outgrown else F.col("text_hash")
-    blocks = max(1, -(-count // (n_old * block_rows)))
+    blocks = max(1, -(-count // block_rows))  # as many in each old shard as if it held all rows
     new = max(n_old, len(weights))  # stands for the old shard of rows without one
     own = F.pmod(unit, F.lit(n_old)) if old is None else F.coalesce(old, F.lit(new))
     rows = rows.withColumn("unit", unit).withColumn("old", own.cast("int"))
