@@ -112,8 +112,8 @@ def mea_normal_interval(spark: SparkSession, sf: str) -> DataFrame:
 # tables, times, calendars
 
 
-@query("""SELECT 'nation' AS relation, 'n_name' AS "column", count(*) AS rows, count(DISTINCT n_name) AS n_distinct, count_if(n_name IS NULL) AS n_null, min(n_name) AS least, max(n_name) AS greatest FROM nation
-    UNION ALL SELECT 'region', 'r_name', count(*), count(DISTINCT r_name), count_if(r_name IS NULL), min(r_name), max(r_name) FROM region""")
+@query("""SELECT 'nation' AS relation, 'n_name' AS "column", count(*) AS rows, count(DISTINCT n_name) AS n_distinct, CAST(count_if(n_name IS NULL) AS BIGINT) AS n_null, min(n_name) AS least, max(n_name) AS greatest FROM nation
+    UNION ALL SELECT 'region', 'r_name', count(*), count(DISTINCT r_name), CAST(count_if(r_name IS NULL) AS BIGINT), min(r_name), max(r_name) FROM region""")
 def inspect_two_tables(spark: SparkSession, sf: str) -> DataFrame:
     return M.inspect({"nation": load(spark, sf, "nation"), "region": load(spark, sf, "region")}, {"nation": ["n_name"], "region": ["r_name"]})
 
@@ -211,14 +211,14 @@ def fill_forward_back(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {DAILY}, {HOLED}, e AS (SELECT event_type, min(ts) AS a, max(ts) AS b FROM holed GROUP BY 1), g AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ts FROM e),
     f AS (SELECT g.event_type, g.ts, CASE WHEN day(g.ts) BETWEEN 10 AND 11 THEN NULL ELSE v END AS y, n FROM g LEFT JOIN holed USING (event_type, ts))
-    SELECT event_type, ts, round(CASE WHEN ts <= TIMESTAMP '2024-01-25' THEN y END, 4) AS y, n, CASE WHEN ts <= least(TIMESTAMP '2024-01-25', max(CASE WHEN y IS NOT NULL THEN ts END) OVER (PARTITION BY event_type)) THEN 'train' ELSE 'future' END AS stage FROM f""")
+    SELECT event_type, ts, round(CASE WHEN ts <= TIMESTAMP '2024-01-25' THEN y END, 4) AS y, CAST(n AS DOUBLE) AS n, CASE WHEN ts <= least(TIMESTAMP '2024-01-25', max(CASE WHEN y IS NOT NULL THEN ts END) OVER (PARTITION BY event_type)) THEN 'train' ELSE 'future' END AS stage FROM f""")
 def canonical_series(spark: SparkSession, sf: str) -> DataFrame:
     df = holed(spark, sf)
     bad = df.select("event_type").distinct().select("event_type", F.expr("timestamp'2024-01-10'").alias("start_ts"), F.expr("timestamp'2024-01-11'").alias("end_ts"))
     return R.rounded(S.canonical(df, "ts", "v", "D", ["event_type"], ["n"], "2024-01-25", bad), 4)
 
 
-@query(f"""WITH {DAILY}, s AS (SELECT *, ts <= TIMESTAMP '2024-01-20' AS t FROM daily) SELECT event_type, min(ts) AS start, max(CASE WHEN t THEN ts END) AS train_end, max(ts) AS "end", count_if(t) AS n_train, count_if(NOT t) AS n_future, CAST(86400 AS BIGINT) AS step,
+@query(f"""WITH {DAILY}, s AS (SELECT *, ts <= TIMESTAMP '2024-01-20' AS t FROM daily) SELECT event_type, min(ts) AS start, max(CASE WHEN t THEN ts END) AS train_end, max(ts) AS "end", CAST(count_if(t) AS BIGINT) AS n_train, CAST(count_if(NOT t) AS BIGINT) AS n_future, CAST(86400 AS BIGINT) AS step,
     CAST(least(30, count_if(t) // 2) AS INTEGER) AS horizon FROM s GROUP BY 1""")
 def series_properties(spark: SparkSession, sf: str) -> DataFrame:
     return S.time_properties(S.canonical(daily(spark, sf), "ts", "v", "D", ["event_type"], train_end="2024-01-20"), dims=["event_type"])
@@ -331,7 +331,7 @@ def r2_null_model(spark: SparkSession, sf: str) -> DataFrame:
     return R.rounded(E.r2_null_model(_lines(spark, sf).withColumn("null_forecast", F.lit(25.0)), "actual", "forecast", "null_forecast", ["g"]))
 
 
-@query(f"WITH {_AD}, c AS (SELECT event_type, count_if(t AND p) AS tp, count_if(NOT t AND p) AS fp, count_if(t AND NOT p) AS fn, count_if(NOT t AND NOT p) AS tn FROM a GROUP BY 1) SELECT *, round(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0) - 1, 6) AS informedness FROM c")
+@query(f"WITH {_AD}, c AS (SELECT event_type, CAST(count_if(t AND p) AS BIGINT) AS tp, CAST(count_if(NOT t AND p) AS BIGINT) AS fp, CAST(count_if(t AND NOT p) AS BIGINT) AS fn, CAST(count_if(NOT t AND NOT p) AS BIGINT) AS tn FROM a GROUP BY 1) SELECT *, round(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0) - 1, 6) AS informedness FROM c")
 def confusion_informedness(spark: SparkSession, sf: str) -> DataFrame:
     return R.rounded(E.confusion(_flags(spark, sf), by=["event_type"]))
 
