@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, line_dedup, near_dedup, quality, warc
+from . import alignment, chat, decontaminate, line_dedup, near_dedup, quality, vector_codes, warc
 from .base import table
 from .decontaminate import contaminated
 from .html_text import main_text
@@ -68,6 +68,10 @@ def op12_perfect_hash_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_adaptive_bound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_consensus_html_text,
         op10_line_frequency_quality,
         op12_perfect_hash_alignment,
+        op13_adaptive_bound_codes,
     )
 }
 SQL: dict[str, str] = {
@@ -90,4 +95,5 @@ SQL: dict[str, str] = {
     "op6_minhash_containment_decontamination": decontaminate.SQL,
     "op7_distinct_site_lines": line_dedup.SQL,
     "op10_line_frequency_quality": quality.SQL,
+    "op13_adaptive_bound_codes": vector_codes.SQL,
 }
