@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, line_dedup, near_dedup, quality, vector_codes, warc
+from . import alignment, chat, decontaminate, line_dedup, near_dedup, personal, quality, vector_codes, warc
 from .base import table
 from .decontaminate import contaminated
 from .html_text import main_text
@@ -64,6 +64,10 @@ def op10_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_char_tagger_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.detect(table(spark, sf_dir, "documents"))
+
+
 def op12_perfect_hash_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_temperature_mixing,
         op9_consensus_html_text,
         op10_line_frequency_quality,
+        op11_char_tagger_personal_data,
         op12_perfect_hash_alignment,
         op13_adaptive_bound_codes,
     )
