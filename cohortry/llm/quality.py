@@ -6,13 +6,15 @@ hash, text hash) rows are, summed up before they travel.
 Repeated windows. Each window of three words has a 64-bit hash. Where all hashes of a text differ, so do its windows; in the other
 texts windows are sorted by hash and words and neighbours compared word by word, so the number is exact for texts of any length.
 
-A line is normalised (lower case, digits as 0, white space as one space) and hashed. It is common if more than
-`max(least, share * distinct texts of the host)` distinct texts of the host hold it: copies of one text count once, so a group
-of copies doesn't make its own lines common. Common lines go; a document is depleted if over `depleted` of its characters in
-lines go. Both limits are parameters.
+A line is normalised (lower case, digits as 0, white space as one space) and hashed. Copies of a text, near ones too, are one document
+to the count: documents of a host count once for each longest line (as it stands; of equally long ones the greatest), so a group of
+copies doesn't make its own lines common, while boilerplate is seldom the longest line. A line is common if at least `least` documents of the
+host hold it and more than `share` of its documents: the first number rules on hosts of up to `least / share` documents, the second
+on larger ones. Common lines go. A document is depleted if over `depleted` of its characters in lines go, or if lines go and it
+is left with fewer words than the base rule asks for. All limits are parameters.
 
 Null texts count as empty (and fail the base rules), null hosts are a host, rows with one id are judged each by itself, a line on
-exactly as many texts as the limit stays, an empty table gives an empty result, other columns are left alone and may have any name.
+exactly the share of documents stays, an empty table gives an empty result, other columns are left alone and may have any name.
 A very long text takes memory in proportion to its words, in its own row's task.
 """
 
@@ -29,7 +31,7 @@ GAPS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 BREAKS = r" ?\n[ \n]*"
 BLANK = r"\n[\x20\x09\x0B-\x0D]++(?=\n|\z)"
 MIN_WORDS, MAX_REPEATED = 50, 50
-LEAST_DOCS, SHARE_OF_HOST, DEPLETED = 20, 0.10, 0.70
+LEAST_DOCS, SHARE_OF_HOST, DEPLETED = 5, 0.02, 0.70
 #: Common lines of all hosts may be broadcast up to this size; beyond, documents meet them in so many parts for each host.
 BROADCAST_BYTES, HOST_PARTS = 16 << 20, 32
 
@@ -52,10 +54,9 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(_level(line)))
 
 
-def line_hashes(text: Column) -> Column:
-    """The distinct hashes (as `line_hash`) of a text's lines, normalised all at once."""
-    each = F.array_remove(F.split(F.trim(F.regexp_replace(F.concat(F.lit("\n"), _level(text)), BREAKS, "\n")), "\n"), "")
-    return F.array_distinct(F.transform(each, lambda x: F.xxhash64(x)))
+def level_lines(text: Column) -> Column:
+    """A text's lines with a word, normalised all at once."""
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.concat(F.lit("\n"), _level(text)), BREAKS, "\n")), "\n"), "")
 
 
 def _after(array: Column, k: int) -> Column:
@@ -100,12 +101,14 @@ def measures(docs: DataFrame) -> DataFrame:
 def common_lines(docs: DataFrame, host: str, least: int = LEAST_DOCS, share: float = SHARE_OF_HOST) -> DataFrame:
     """host, lines: the hashes of each host's common lines; hosts without any are absent.
 
-    A host has fewer than (its mean of lines a text) / share of them, however many texts it holds.
+    A host has fewer than (its mean of lines a document) / share of them, however many documents it holds.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("doc"), text.alias("text"))
+    longest = F.array_max(F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
+    held = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64(longest["line"]).alias("doc"), level_lines(text).alias("lines")).where(F.size("lines") > 0)
+    held = held.select("host", "doc", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("lines"))
     total = held.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
-    counted = held.select("host", "doc", F.explode(line_hashes(F.col("text"))).alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > least)
+    counted = held.select("host", "doc", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= least)
     both = counted.alias("c").join(total.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
     return both.where(F.col("n") > share * F.col("docs")).groupBy(F.col("c.host").alias("host")).agg(F.collect_set("line").alias("lines"))
 
@@ -122,7 +125,8 @@ def quality(docs: DataFrame, host: str = "source", least: int = LEAST_DOCS, shar
     chars = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("go"), x)), "\n")
     some = F.size("go") > 0
-    spent = F.when(some, chars(F.col("go")) > depleted * chars(full)).otherwise(False)
+    gone = F.aggregate("go", F.lit(0).cast("long"), lambda s, x: s + F.size(F.array_remove(F.split(x, GAP), "")))
+    spent = F.when(some, (chars(F.col("go")) > depleted * chars(full)) | (F.col("n_words") - gone < MIN_WORDS)).otherwise(False)
     found = F.struct(F.size("go").cast("long").alias("n_common_lines"), F.when(some, left).otherwise(F.col("doc.text")).alias("clean"), (~F.col("base_failed") & ~spent).alias("kept"))
     # a generated row: filters on the verdict stay above it, so no step below is computed twice
     return out.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.inline(F.array(found)))
@@ -138,16 +142,18 @@ l AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
 ln AS (SELECT rid, source, t, line, trim(regexp_replace(translate(lower(line), '0123456789', '0000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
        FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-common AS (SELECT c.source, c.norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM ln GROUP BY source, norm) c
-           JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n > 20 AND c.n > 0.1 * h.docs),
-gone AS (SELECT ln.rid, sum(length(line)) AS total, sum(CASE WHEN common.norm IS NULL THEN 0 ELSE length(line) END) AS lost
+k AS (SELECT rid, source, max({'n': length(line), 'l': line}) AS key FROM l GROUP BY rid, source HAVING count_if(regexp_matches(line, '[^\x20\x09-\x0D]')) > 0),
+hosts AS (SELECT source, count(DISTINCT key) AS docs FROM k GROUP BY source),
+common AS (SELECT c.source, c.norm FROM (SELECT ln.source, norm, count(DISTINCT key) AS n FROM ln JOIN k USING (rid) GROUP BY ln.source, norm) c
+           JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n >= 5 AND c.n > 0.02 * h.docs),
+gone AS (SELECT ln.rid, sum(length(line)) AS total, sum(CASE WHEN common.norm IS NULL THEN 0 ELSE length(line) END) AS lost,
+                sum(CASE WHEN common.norm IS NULL THEN 0 ELSE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) END) AS words
          FROM ln LEFT JOIN common ON common.source IS NOT DISTINCT FROM ln.source AND common.norm = ln.norm GROUP BY ln.rid),
 m AS (SELECT d.rid, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
       FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(lost > 0.7 * total, false) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(words > 0 AND (lost > 0.7 * total OR n_words - words < 50), false) AS kept
 FROM m LEFT JOIN gone USING (rid)
 """

@@ -100,14 +100,16 @@ def test_chat_windows(spark):
 # quality
 
 
-def brute_quality(rows, least=20, share=0.1, depleted=0.7):
+def brute_quality(rows, least=5, share=0.02, depleted=0.7):
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", x.lower())).strip(" ")
     lines = lambda t: [x for x in (t or "").split("\n") if WORDS.search(x)]
     held, hosts = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
-        hosts[s].add(t)
+        key = max((len(x), x) for x in (t or "").split("\n"))
+        if lines(t):
+            hosts[s].add(key)
         for x in lines(t):
-            held[s, norm(x)].add(t)
+            held[s, norm(x)].add(key)
     out = []
     for d, t, s in rows:
         t = t or ""
@@ -115,9 +117,10 @@ def brute_quality(rows, least=20, share=0.1, depleted=0.7):
         n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         rep = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
         ls = lines(t)
-        lost = sum(len(x) for x in ls if len(held[s, norm(x)]) > least and len(held[s, norm(x)]) > share * len(hosts[s]))
+        go = [x for x in ls if len(held[s, norm(x)]) >= least and len(held[s, norm(x)]) > share * len(hosts[s])]
+        spent = go and (sum(map(len, go)) > depleted * sum(map(len, ls)) or len(w) - sum(len(WORDS.findall(x)) for x in go) < 50)
         failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
-        out.append((d, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(ls) - len(set(ls)), len(rep), failed, not failed and not lost > depleted * sum(map(len, ls))))
+        out.append((d, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(ls) - len(set(ls)), len(rep), failed, not failed and not spent))
     return sorted(out, key=str)
 
 
@@ -137,7 +140,8 @@ def test_quality_whole_table(spark, sf_dir):
 
 def test_quality_edges(spark):
     long = " ".join(f"w{i % 700}" for i in range(40_000))
-    own = lambda k: "\n".join(" ".join(f"{k}_{i}_{j}" for j in range(12)) for i in range(6))
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    own = lambda k: "\n".join(" ".join(f"{k if isinstance(k, str) else name(k)}_{name(i)}_{name(j)}" for j in range(12)) for i in range(6))
     common = "Cookies  are\tused HERE 7 times"
     rows = [(1, None, "a"), (2, "", None), (3, " \n\t\n", "a"), (4, long, "a"), (5, "a b a b a b " * 20, "b"), (6, "same\nsame\n\nsame", "b"), (None, own("x"), "b"), (7, own("y"), "a"), (7, own("y"), "a")]
     rows += [(100 + k, f"{common.replace('7', str(k % 10))}\n" * (200 if k % 5 == 0 else 1) + own(k), "c") for k in range(40)]
@@ -151,6 +155,34 @@ def test_quality_edges(spark):
     assert quality_got(quality.quality(df, broadcast_bytes=0)) == brute_quality(rows)
 
 
+def test_quality_of_planted_boilerplate(spark):
+    """The line goes on a small, a usual and a large host, and with it documents of little else; clean ones and copies stay."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    say = lambda k, n: " ".join(f"{k}x{i}".translate(letters) for i in range(n))
+    notice = "we use cookies on this site to serve you better, by going on you agree to that"
+    rows, want = [], {}
+    for host, docs, with_it in (("small", 20, 6), ("usual", 300, 12), ("large", 2000, 80)):
+        for i in range(docs):
+            d = len(rows)
+            short = i % 2 == 0  # 40 words besides the notice's 16 pass the base rule only with it
+            own = say(f"{host}{i}", 40 if i < with_it and short else 60)
+            rows.append((d, (notice + "\n" if i < with_it else "") + own, host))
+            want[d] = (i < with_it, not (i < with_it and short))
+    # a group of near copies shares all its lines but one, which isn't the longest; a passage that four documents share stays
+    shared = [say(f"near{k}", 20 + k) for k in range(5)]
+    for i in range(60):
+        rows.append((len(rows), "\n".join([*shared, f"copy {'abcdefghij'[i % 10]}{'klmnop'[i // 10]}"]), "usual"))
+        want[len(rows) - 1] = (False, True)
+    for i in range(4):
+        rows.append((len(rows), say("passage", 60) + "\n" + say(f"around{i}", 70), "usual"))
+        want[len(rows) - 1] = (False, True)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.quality(df)
+    assert {r.doc_id: (r.gone, r.kept) for r in out.select("doc.doc_id", (F.col("n_common_lines") > 0).alias("gone"), "kept").collect()} == want
+    assert quality_got(out) == brute_quality(rows)
+    assert any(not r[-1] and not r[-2] for r in quality_got(out))
+
+
 def test_quality_of_very_long_texts(spark):
     words = lambda n, every: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), (i % every).cast("string"))), " ")
     df = spark.range(1).select(F.lit(1).alias("doc_id"), words(6_000_000, 10**9).alias("text"), F.lit("a").alias("source"))
@@ -164,7 +196,7 @@ def test_quality_normalises_texts_as_lines(spark):
     texts = ["\n a\t b \n\n \x0b\nA B\n", "  x1\r\n\r\ny  2\x0c", "", " \n ", "É\u00a0ö\n  é\u00a0Ö 77\n", "no break"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     each = F.array_distinct(F.transform(quality.lines_of(F.col("text")), quality.line_hash))
-    rows = df.select(F.sort_array(each).alias("a"), F.sort_array(quality.line_hashes(F.col("text"))).alias("b"), quality.lines_of(F.col("text")).alias("c")).collect()
+    rows = df.select(F.sort_array(each).alias("a"), F.sort_array(F.array_distinct(F.transform(quality.level_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("b"), quality.lines_of(F.col("text")).alias("c")).collect()
     assert all(r.a == r.b for r in rows)
     assert [r.c for r in rows] == [[x for x in t.split("\n") if WORDS.search(x)] for t in texts]
 
