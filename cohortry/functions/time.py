@@ -65,14 +65,23 @@ def lag_rows(orders: Sequence[int], source: str, period: str) -> list[int]:
     return [k * rows_per_period(source, period) for k in orders]
 
 
-#: How many steps to forecast by default, for steps of up to so many seconds (fixed values).
-HORIZONS = ((60, 60), (3600, 24), (86400, 30), (604800, 12), (2678400, 12), (7948800, 12), (31622400, 2))
+#: How many steps to forecast by default, for steps of up to so many seconds: 10.05 minutes, 6.05 hours, 2.05 days, weeks and
+#: months of 30 days, 1.01 years of 365 days, and longer ones (fixed values).
+HORIZONS = ((10.05 * 60, 60), (6.05 * 3600, 24), (2.05 * 86400, 30), (2.05 * 604800, 12), (2.05 * 2592000, 12), (1.01 * 31536000, 2), (math.inf, 2))
 
 
 def default_horizon(seconds: float, n: int | None = None) -> int:
-    """The steps to forecast for steps of a length (of the known length that is nearest), at most half of the n observations."""
-    near = min(HORIZONS, key=lambda h: abs(math.log(seconds / h[0])))[1]
-    return near if n is None else min(near, n // 2)
+    """The steps to forecast for steps of a length, at most half of the n observations."""
+    steps = next(h for most, h in HORIZONS if seconds <= most)
+    return steps if n is None else min(steps, n // 2)
+
+
+def horizon_of(seconds: Column) -> Column:
+    """`default_horizon` as a column; null for null."""
+    out = F.when(seconds.isNull(), None)
+    for most, steps in HORIZONS[:-1]:
+        out = out.when(seconds <= most, steps)
+    return out.otherwise(HORIZONS[-1][1])
 
 
 def expected_rows(start: Column, freq: str, period: str) -> Column:
@@ -125,7 +134,7 @@ def _day_number(col: Column) -> Column:
 
 
 #: The day numbers of the first days of the civil Islamic and the Persian calendar (fixed values).
-HIJRI_START, PERSIAN_START = 227015, 226896
+HIJRI_START, PERSIAN_START = 227015, 226895
 
 
 def hijri(col: Column) -> Column:
@@ -139,7 +148,7 @@ def hijri(col: Column) -> Column:
 
 
 def persian(col: Column) -> Column:
-    """year, month, day in the arithmetic Persian calendar: cycles of 33 years with 8 leap days, six months of 31 days, then of 30."""
+    """year, month, day in the arithmetic Persian calendar (Dershowitz and Reingold, Calendrical Calculations): cycles of 33 years with 8 leap days, six months of 31 days, then of 30."""
     days = _day_number(col) - PERSIAN_START
     starts = lambda year: 365 * (year - 1) + F.floor((8 * (year - 1) + 29) / 33)
     near = F.floor((33 * days + 3) / 12053) + 1

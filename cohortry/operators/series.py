@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.time import HORIZONS, period_end, rows_per_period, shift
+from ..functions.time import horizon_of, period_end, rows_per_period, shift
 from .relational import match, union
 
 AGGS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}
@@ -331,8 +331,7 @@ def time_properties(df: DataFrame, time_col: str = "ts", dims: Sequence[str] = (
         F.min(time_col).alias("start"), F.max(F.when(train, F.col(time_col))).alias("train_end"), F.max(time_col).alias("end"),
         F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_future"), F.min("_s").alias("step"),
     )
-    horizon = reduce(lambda c, h: c.when(F.col("step") <= h[0] * 1.5, h[1]), HORIZONS, F.when(F.col("step").isNull(), None)).otherwise(HORIZONS[-1][1])
-    return out.withColumn("horizon", F.least(horizon, F.floor(F.col("n_train") / 2).cast("int")))
+    return out.withColumn("horizon", F.least(horizon_of(F.col("step")), F.floor(F.col("n_train") / 2).cast("int")))
 
 
 def with_group(df: DataFrame, time_col: str, feature: str | None = None, rows: int | None = None, column: Column | None = None, name: str = "group", dims: Sequence[str] = ()) -> DataFrame:

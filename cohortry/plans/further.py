@@ -118,7 +118,7 @@ def inspect_two_tables(spark: SparkSession, sf: str) -> DataFrame:
     return M.inspect({"nation": load(spark, sf, "nation"), "region": load(spark, sf, "region")}, {"nation": ["n_name"], "region": ["r_name"]})
 
 
-@query("SELECT event_id, date_trunc('millisecond', ts) AS ts, CAST(epoch_ms(ts) AS BIGINT) AS ms FROM events")
+@query("SELECT event_id, date_trunc('millisecond', ts) AS ts, epoch_us(ts) // 1000 AS ms FROM events")
 def time_from_unix(spark: SparkSession, sf: str) -> DataFrame:
     ms = load(spark, sf, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return ms.select("event_id", T.normalise_time(F.col("ms"), "unix_ms").alias("ts"), "ms")
@@ -144,7 +144,7 @@ def calendar_hijri(spark: SparkSession, sf: str) -> DataFrame:
     return days.select("day", T.hijri(F.col("day")).alias("h")).select("day", "h.year", "h.month", F.col("h.day").alias("day_of_month"))
 
 
-@query(f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, {_N} AS n FROM orders), s AS (SELECT y, 226896 + 365 * (y - 1) + (8 * (y - 1) + 29) // 33 AS start FROM range(1360, 1390) r(y)),
+@query(f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, {_N} AS n FROM orders), s AS (SELECT y, 226895 + 365 * (y - 1) + (8 * (y - 1) + 29) // 33 AS start FROM range(1360, 1390) r(y)),
     j AS (SELECT day, n, max(y) AS y, max(start) AS start FROM d JOIN s ON start <= n GROUP BY 1, 2), k AS (SELECT *, n - start AS p FROM j)
     SELECT day, CAST(y AS INTEGER) AS year, CAST(CASE WHEN p < 186 THEN p // 31 + 1 ELSE (p - 186) // 30 + 7 END AS INTEGER) AS month, CAST(CASE WHEN p < 186 THEN p % 31 + 1 ELSE (p - 186) % 30 + 1 END AS INTEGER) AS day_of_month FROM k""")
 def calendar_persian(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ def daily(spark, values, **dims):
 
 def test_times(spark):
     assert T.lag_rows([1, 2, 3], "D", "W-SAT") == [7, 14, 21] and T.rows_per_period("D", "D") == 1 and T.rows_per_period("s", "min") == 60
-    assert [T.default_horizon(s) for s in (60, 3600, 86400, 604800, 2.6e6, 7.9e6, 3.2e7)] == [60, 24, 30, 12, 12, 12, 2] and T.default_horizon(86400, 20) == 10
+    assert [T.default_horizon(s) for s in (60, 600, 604, 3600, 21600, 21781, 86400, 172800, 177121, 604800, 2.6e6, 5.3e6, 7.9e6, 3.18e7, 3.2e7)] == [60, 60, 24, 24, 24, 30, 30, 30, 12, 12, 12, 12, 2, 2, 2] and T.default_horizon(86400, 20) == 10
     assert T.window_end("2024-06-01-00", 7) == "2024-06-08-00" and T.window_end("2024-02-28", 2) == "2024-03-01"
     # whole years of both calendars have months of the right lengths, one after the other, and start where they should
     days = spark.range(20_000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
@@ -28,8 +28,11 @@ def test_times(spark):
         got = days.select("d", made(F.col("d")).alias("c")).groupBy("c.year", "c.month").agg(F.count("*").alias("n"), F.min("c.day").alias("a"), F.max("c.day").alias("b")).orderBy("year", "month").collect()[1:-1]
         assert all(r.a == 1 and r.n == r.b and r.n - lengths[r.month - 1] in ((0, 1) if r.month == 12 else (0,)) for r in got)
         assert all(y.month == x.month % 12 + 1 and y.year == x.year + (x.month == 12) for x, y in zip(got, got[1:], strict=False))
-    r = spark.range(1).select(T.hijri(F.lit("2024-07-08")).alias("h"), T.persian(F.lit("2000-03-21")).alias("p")).first()
-    assert tuple(r.h) == (1446, 1, 1) and tuple(r.p) == (1379, 1, 1)
+    # known days of both calendars
+    known = [("2024-03-19", (1402, 12, 29)), ("2024-03-20", (1403, 1, 1)), ("2024-06-21", (1403, 4, 1)), ("2024-06-23", (1403, 4, 3)), ("2000-03-20", (1379, 1, 1)), ("1996-03-20", (1375, 1, 1)), ("1979-03-21", (1358, 1, 1))]
+    for day, want in known:
+        assert tuple(spark.range(1).select(T.persian(F.lit(day)).alias("p")).first().p) == want, day
+    assert tuple(spark.range(1).select(T.hijri(F.lit("2024-07-08")).alias("h")).first().h) == (1446, 1, 1)
 
 
 def test_families(spark):
