@@ -1,7 +1,7 @@
 """Regression forecasts of each series: trend, changepoints, Fourier seasons, events and lags by ridge; changepoint and season inference.
 
-A series' model is a small matrix problem, so each is solved in numpy by one task (`applyInPandas` on the series' key); the
-number of series is what is spread over the cluster.
+Forecasts are columns and their models come from distributed sums of products (see `gram`). Only models with lags or of quantiles
+are solved from a series' rows, one series a task.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from .forecast import z_of
+from . import gram
+from .forecast import future_rows, z_of
 from .relational import match
 
 
@@ -200,8 +201,60 @@ def fit_predict(pdf: pd.DataFrame, time_col: str, value: str, horizon: int, freq
     )
 
 
-def regression_forecast(df: DataFrame, time_col: str, value: str, horizon: int, freq: str = "D", model: Model | None = None, dims: Sequence[str] = ()) -> DataFrame:
+EPOCH = 946_684_800  # 2000-01-01, from which days count
+
+
+def design_of(time_col: str, model: Model, a: Column, b: Column) -> dict[str, Column]:
+    """The columns of a model's design; a and b are the ends of the series' training in days. Seasons longer than it are zeros."""
+    days = (F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6 - EPOCH) / 86400
+    t = (days - a) / F.greatest(b - a, F.lit(1e-9))
+    out = {"intercept": F.lit(1.0), "trend": t}
+    for i in range(1, model.changepoints + 1):
+        out[f"trend_cp{i}"] = F.greatest(F.lit(0.0), t - i / (model.changepoints + 1))
+    for name, period, order in model.seasons:
+        for k in range(1, order + 1):
+            for f, n in ((F.sin, "sin"), (F.cos, "cos")):
+                out[f"{name}_{n}{k}"] = F.when(b - a >= period, f(2 * np.pi * k * days / period)).otherwise(0.0)
+    return out | {c: F.col(c) for c in (*model.events, *model.extra)}
+
+
+def regression_forecast(df: DataFrame, time_col: str, value: str, horizon: int, freq: str = "D", model: Model | None = None, dims: Sequence[str] = (), future: DataFrame | None = None) -> DataFrame:
+    """Fitted and forecast rows of each series' ridge, with bounds and the parts of the forecast.
+
+    A series' model comes from its sums of products, so no series is gathered, however long. Models with lags (whose forecasts feed on
+    each other) or of quantiles are solved in a task for each series. Times of a series aren't repeated; future gives
+    the forecast rows' times and the model's events and extra columns, else the `horizon` steps after each series' last time are forecast.
+    """
     model = model or Model()
+    if freq not in STEPS:
+        raise ValueError(f"unknown frequency {freq}; known: {', '.join(STEPS)}")
+    if model.lags or model.quantile is not None:
+        return _gathered_forecast(df, time_col, value, horizon, freq, model, dims)
+    more = [*model.events, *model.extra]
+    rows = df.select(*dims, F.col(time_col).cast("timestamp").alias(time_col), F.col(value).cast("double").alias("actual"), *more)
+    day = (F.unix_micros(time_col) / 1e6 - EPOCH) / 86400
+    spans = rows.groupBy(*dims).agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
+    full = match(rows, spans, list(dims))
+    design = design_of(time_col, model, F.col("_a"), F.col("_b"))
+    fold = F.least(F.lit(4), F.floor(5 * (day - F.col("_a")) / F.greatest(F.col("_b") - F.col("_a"), F.lit(1e-9))))
+    models = gram.ridge_models(full, design, F.col("actual"), dims, model.alpha, model.alphas, fold)
+    if future is None:
+        if more:
+            raise ValueError("a model with events or extra columns needs their future")
+        future = future_rows(rows, time_col, freq, horizon, dims).drop("horizon_step")
+    ahead = future.select(*dims, F.col(time_col).cast("timestamp").alias(time_col), F.lit(None).cast("double").alias("actual"), *more)
+    every = rows.withColumn("stage", F.lit("fitted")).unionByName(ahead.withColumn("stage", F.lit("forecast")))
+    known = match(spans, models.select(*dims, F.col("coefficients").alias("_w"), F.col("sd").alias("std")), list(dims), "left")
+    out = match(every, known, list(dims))
+    part = lambda *keys: gram.product(design, F.col("_w"), lambda n: n.split("_")[0] in keys)
+    made, z = gram.product(design, F.col("_w")), z_of(model.coverage)
+    return out.select(
+        *dims, time_col, "stage", "actual", made.alias("forecast"), (made - z * F.col("std")).alias("forecast_lower"), (made + z * F.col("std")).alias("forecast_upper"), "std",
+        part("intercept", "trend").alias("longterm_growth"), part("weekly").alias("weekly_seasonality"), part("yearly").alias("annual_seasonality"),
+    )
+
+
+def _gathered_forecast(df: DataFrame, time_col: str, value: str, horizon: int, freq: str, model: Model, dims: Sequence[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"{d} {kinds[d]}" for d in dims], f"{time_col} timestamp, stage string, actual double, forecast double, forecast_lower double, forecast_upper double, std double, longterm_growth double, weekly_seasonality double, annual_seasonality double"])
     names = list(dims)
@@ -212,8 +265,6 @@ def regression_forecast(df: DataFrame, time_col: str, value: str, horizon: int,
             out.insert(0, d, pdf[d].iloc[0])
         return out
 
-    if freq not in STEPS:
-        raise ValueError(f"unknown frequency {freq}; known: {', '.join(STEPS)}")
     return df.select(*dims, time_col, value).groupBy(*dims).applyInPandas(one, schema)
 
 
@@ -221,7 +272,7 @@ def quantile_forecast(df: DataFrame, time_col: str, value: str, horizon: int, fr
     """The regression forecast with bounds from regressions of the quantiles that the model's coverage leaves out on each side."""
     model = model or Model()
     tail = (1 - model.coverage) / 2
-    of = lambda q: regression_forecast(df, time_col, value, horizon, freq, replace(model, quantile=q), dims)
+    of = lambda q: _gathered_forecast(df, time_col, value, horizon, freq, replace(model, quantile=q), dims)
     out = regression_forecast(df, time_col, value, horizon, freq, model, dims).drop("forecast_lower", "forecast_upper")
     for name, q in (("forecast_lower", tail), ("forecast_upper", 1 - tail)):
         out = match(out, of(q).select(*dims, time_col, F.col("forecast").alias(name)), [*dims, time_col], "left")

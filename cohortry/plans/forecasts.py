@@ -10,6 +10,7 @@ from ..operators import forecast as FC
 from ..operators import regression as G
 from ..operators import relational as R
 from ..streaming import windows as SW
+from .linear import solved
 from .registry import load, query
 from .series import DAILY, daily
 
@@ -227,9 +228,28 @@ def detect_interval_and_ape(spark: SparkSession, sf: str) -> DataFrame:
     return E.detect(_lines(spark, sf), ape=60.0).groupBy("g").agg(F.count_if("is_anomaly_predicted").alias("anomalies"))
 
 
-@query()
+WEEKLY = G.Model(changepoints=0, seasons=(("weekly", 7.0, 1),), alpha=0.1)
+
+
+@query(f"""WITH {DAILY}, w AS (SELECT *, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS DOUBLE) AS d FROM daily), e AS (SELECT event_type, min(d) AS a, max(d) AS b, max(ts) AS last FROM w GROUP BY 1),
+    r AS (SELECT event_type AS g, ts, 'fitted' AS stage, v AS y, d FROM w UNION ALL SELECT event_type, last + to_days(CAST(h AS INTEGER)), 'forecast', NULL, b + h FROM e, range(1, 8) t(h)),
+    x AS (SELECT r.*, 1.0 AS x0, (d - a) / (b - a) AS x1, sin(2 * pi() * d / 7) AS x2, cos(2 * pi() * d / 7) AS x3 FROM r JOIN e ON e.event_type = r.g), {solved("x WHERE y IS NOT NULL", 4, [0, 0.1, 0.1, 0.1])},
+    f AS (SELECT x.*, b0 + b1 * x1 AS growth, b2 * x2 + b3 * x3 AS season FROM x JOIN beta USING (g)), s AS (SELECT g, sqrt(avg((y - growth - season) ** 2)) AS sd FROM f GROUP BY 1)
+    SELECT g AS event_type, ts, stage, round(y, 4) AS actual, round(growth + season, 4) AS forecast, round(growth + season - {Z95} * sd, 4) AS forecast_lower, round(growth + season + {Z95} * sd, 4) AS forecast_upper, round(sd, 4) AS std,
+        round(growth, 4) AS longterm_growth, round(season, 4) AS weekly_seasonality, 0.0 AS annual_seasonality FROM f JOIN s USING (g)""")
 def forecast_regression(spark: SparkSession, sf: str) -> DataFrame:
-    return G.regression_forecast(daily(spark, sf), "ts", "v", 7, dims=["event_type"])
+    """Trend and a weekly wave by ridge, from sums of products."""
+    return R.rounded(G.regression_forecast(daily(spark, sf), "ts", "v", 7, model=WEEKLY, dims=["event_type"]), 4)
+
+
+@query(f"""WITH total AS (SELECT date_trunc('day', ts) AS ts, sum(value) AS v FROM events GROUP BY 1), w AS (SELECT *, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS DOUBLE) AS d FROM total), e AS (SELECT min(d) AS a, max(d) AS b FROM w),
+    x AS (SELECT 1 AS g, ts, v AS y, d, 1.0 AS x0, (d - a) / (b - a) AS x1, greatest(0, (d - a) / (b - a) - 1 / 3.0) AS x2, greatest(0, (d - a) / (b - a) - 2 / 3.0) AS x3 FROM w, e), {solved("x", 4, [0, 2.0, 2.0, 2.0])}
+    SELECT ts, round(y, 3) AS actual, round(b0 + b1 * x1 + b2 * x2 + b3 * x3, 3) AS longterm_growth, round(b0 + b1 * x1 + b2 * x2 + b3 * x3, 3) AS forecast FROM x JOIN beta USING (g)""")
+def forecast_regression_one_series(spark: SparkSession, sf: str) -> DataFrame:
+    """One series over all rows: a trend that may bend twice."""
+    v = load(spark, sf, "events").groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.sum("value").alias("v"))
+    out = G.regression_forecast(v, "ts", "v", 1, model=G.Model(changepoints=2, seasons=(), alpha=2.0)).where("stage = 'fitted'")
+    return R.rounded(out.select("ts", "actual", "longterm_growth", "forecast"), 3)
 
 
 @query("""SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
