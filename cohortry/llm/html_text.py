@@ -1,6 +1,6 @@
 """Main text of web pages by consensus of a host's pages.
 
-First pass: each page's containers are scored by the text of the blocks in them, less that of links, with a decay on the way up
+First pass: each page is read, once, and what was read is kept; its containers are scored by the text of the blocks in them, less that of links, with a decay on the way up
 and a bonus for elements that say they hold the content. From the best container the page climbs to the widest one around it, below
 the body, in which what was added has more text than links; the page votes for the generalised path (tags and classes, digits as #)
 of that. Votes are counted per host and path by an aggregation, and each host's path with the most votes wins.
@@ -10,9 +10,11 @@ heading (h1 to h3) gets the page's h1 as its headline, if there is just one and
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count nor come out; a `header`
 inside an article is part of it. Tags, roles and hidden elements tell them for certain. Classes and ids only hint: a name counts by its
-last or first word, but for states (`no-sidebar`, `has-nav`, `menu-open`), and an element told by its name alone stays if it holds
-an article, main part or h1 with more text than all the page has outside of such elements (comments, adverts and lists of other
-articles don't). Character references are decoded, white space inside a block becomes
+last or first word, but for states (`no-sidebar`, `has-nav`, `menu-open`), and an element told by its name alone stays if it has more text than
+all the page has outside of such elements and holds an article, main part or h1, or if it has twenty times that text (comments,
+adverts and lists of other articles don't). So does a form, unless it holds a control for every hundred characters. A section of an article
+that only its id tells stays if it has a heading and more text than links. If nothing of a page stays, names tell nothing on it: a
+page that has any text outside of menus, scripts and the like never comes out empty. Character references are decoded, white space inside a block becomes
 one space, blocks are joined by one space; nothing else is changed, dropped or capped. Broken markup (unclosed, misnested, cut
 off) is read as far as it goes. A page is read in time and memory in proportion to its length, however deep or broken it is.
 
@@ -25,7 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import pickle
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, meet
+from .base import cut, meet, saved
 
 #: Hosts' paths may be broadcast up to this size; beyond, pages meet them in so many parts for each host.
 BROADCAST_BYTES, HOST_PARTS = 16 << 20, 32
+#: Pages that are handed on at once.
+PAGES_AT_ONCE = 256
 DECAY = 0.9
 SHARE_OF_OWN = 1 / 3
 
@@ -49,7 +55,11 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPE = frozenset("ul ol dl table div article section main body td th form nav aside".split())
 CLOSABLE = frozenset(("p", *(t for tags in CLOSED_BY.values() for t in tags)))
 
-DROP_TAGS = frozenset("head script style noscript template nav aside footer form button select option textarea iframe object embed svg canvas audio video map menu dialog input datalist title".split())
+DROP_TAGS = frozenset("head script style noscript template nav aside footer button select option textarea iframe object embed svg canvas audio video map menu dialog input datalist title".split())
+CONTROLS = frozenset("input select textarea button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters that a form has to have for each of its controls to be text; times the text outside that an element without article has to have.
+CHARS_A_CONTROL, TIMES_OUTSIDE = 100, 20
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar tablist form".split())
 #: Words of names of what is no main text: those that count alone or at a name's end, those that count at its start whatever follows,
 #: and those of elements that stay dropped whatever they hold.
@@ -110,6 +120,8 @@ def _drops(tag: str, attributes: dict[str, str], in_content: bool) -> int:
     """SURE, FIRM or HINT if an element is no main text, else 0."""
     if tag in DROP_TAGS or (tag == "header" and not in_content):
         return SURE
+    if tag == "form":
+        return max(HINT, _drops("div", attributes, in_content))
     if not attributes:
         return 0
     if attributes.get("role", "").lower() in DROP_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDDEN.search(attributes.get("style", "").lower()):
@@ -206,6 +218,8 @@ class Page:
         # page itself, html or body, what its name hints, and whether it says it holds main text
         self.paths, self.parents, self.bonus, self.own = [b""], [-1], [0.6], [0.0]
         self.outer, self.hints, self.article = [True], [0], [False]
+        # how many controls and headings are right in it, whether it is a form, and a section of an article that its id alone tells
+        self.controls, self.headed, self.form, self.section = [0], [0], [False], [False]
         self.heads: list[tuple[int, str]] = []  # (container, tag) of headings
         self.parts: list[tuple[int, str]] = []  # (container, text or a block's end)
         self._read(html)
@@ -214,6 +228,19 @@ class Page:
             if off:
                 self.own[i] = 0.0
 
+    KEPT = ("paths", "parents", "bonus", "own", "outer", "heads", "parts", "off")
+
+    def packed(self) -> bytes:
+        """What extraction needs of a page."""
+        return zlib.compress(pickle.dumps([getattr(self, k) for k in self.KEPT], 5), 1)
+
+    @classmethod
+    def unpacked(cls, made: bytes) -> Page:
+        page = cls.__new__(cls)
+        for k, v in zip(cls.KEPT, pickle.loads(zlib.decompress(made)), strict=True):
+            setattr(page, k, v)
+        return page
+
     def _read(self, html: str) -> None:
         stack, at = Stack(), 0
         marks = _marks(html)
@@ -253,6 +280,10 @@ class Page:
         if tag in CLOSED_BY:
             stack.close(CLOSED_BY[tag])
         self._break(tag, stack)
+        if tag in CONTROLS and not (tag == "input" and "hidden" in m[3].lower()):
+            self.controls[stack.top[0]] += 1
+        if tag in HEADINGS:
+            self.headed[stack.top[0]] += 1
         if tag in VOID:
             return None
         raw = m[3]
@@ -262,7 +293,8 @@ class Page:
             over = html.find(">", close.start()) if close else -1
             return over + 1 if over >= 0 else len(html)
         parent, dropped = stack.top
-        hint = _drops(tag, attributes, stack.open("article", "main"))
+        inside = stack.open("article", "main")
+        hint = _drops(tag, attributes, inside)
         dropped = dropped or hint == SURE
         node = parent
         if not dropped and (hint or (tag not in INLINE and tag not in ("p", "br") and not raw.endswith("/"))):
@@ -273,6 +305,10 @@ class Page:
             self.outer.append(tag in ("html", "body"))
             self.hints.append(hint)
             self.article.append(_holds_article(tag, attributes))
+            self.controls.append(0)
+            self.headed.append(int(tag in HEADINGS))
+            self.form.append(tag == "form")
+            self.section.append(tag == "section" and inside and hint == HINT and not any(_named(x, True) for x in attributes.get("class", "").split()))
             self.bonus.append(_bonus(tag, attributes))
             self.own.append(0.0)
             if tag in ("h1", "h2", "h3"):
@@ -308,13 +344,22 @@ class Page:
         outside = sum(x for x, t in zip(self.own, told, strict=True) if not t)
         inside = [0.0 if f else x for x, f in zip(self.own, firm, strict=True)]
         holds = [a and not f for a, f in zip(self.article, firm, strict=True)]
+        controls, headed = list(self.controls), list(self.headed)
         for i in range(n - 1, 0, -1):
-            inside[self.parents[i]] += inside[i]
-            holds[self.parents[i]] = holds[self.parents[i]] or holds[i]
+            up = self.parents[i]
+            inside[up] += inside[i]
+            holds[up] = holds[up] or holds[i]
+            controls[up] += controls[i]
+            headed[up] += headed[i]
         off = [False] * n
         for i in range(1, n):
-            stays = holds[i] and inside[i] > outside and not firm[i]
+            text = inside[i] > 0 and not firm[i] and not (self.form[i] and inside[i] < CHARS_A_CONTROL * controls[i])
+            stays = text and (inside[i] > outside and (holds[i] or inside[i] >= TIMES_OUTSIDE * outside) or self.section[i] and headed[i])
             off[i] = off[self.parents[i]] or (self.hints[i] > 0 and not stays)
+        if any(x > 0 for x in self.own) and not any(x > 0 and not o for x, o in zip(self.own, off, strict=True)):
+            for no in (firm, [False] * n):  # names tell nothing here: first but for the firm ones
+                if any(x > 0 and not f for x, f in zip(self.own, no, strict=True)):
+                    return no
         return off
 
     def scores(self) -> list[float]:
@@ -372,22 +417,27 @@ class Page:
         return " ".join("".join(t for i, t in self.parts if inside[i] and not self.off[i]).split())
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as read, with their votes; what is read is kept, so that each page is read once."""
     for batch in batches:
-        paths, scores = [], []
-        for x in batch.column("html"):
-            page = Page(x.as_py() or "")
-            i, score = page.best()
-            paths.append(page.paths[page.widest(i)] if score > 0 else None)
-            scores.append(round(score))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.binary()), pa.array(scores, pa.int64())], ["host", "path", "score"])
+        for at in range(0, len(batch), PAGES_AT_ONCE):
+            some = batch.slice(at, PAGES_AT_ONCE)
+            paths, scores, kept = [], [], []
+            for x in some.column("html"):
+                page = Page(x.as_py() or "")
+                i, score = page.best()
+                paths.append(page.paths[page.widest(i)] if score > 0 else None)
+                scores.append(round(score))
+                kept.append(page.packed())
+            made = [pa.array(paths, pa.binary()), pa.array(scores, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), some.column("host"), *made], ["page_id", "url", "host", "vote", "score", "page"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for x, path in zip(batch.column("html"), batch.column("path").to_pylist(), strict=True):
-            page = Page(x.as_py() or "")
+        for x, path in zip(batch.column("page"), batch.column("path").to_pylist(), strict=True):
+            page = Page.unpacked(x.as_py())
             texts.append(page.text(page.on(path)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -396,16 +446,22 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
+def read_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, vote (a path's digest, null without text), score, page (as read) of each page."""
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    return named.select("page_id", "url", "host", "html").mapInArrow(_read, "page_id long, url string, host string, vote binary, score long, page binary")
+
+
+def host_paths(read: DataFrame) -> DataFrame:
     """host, path (its digest): of each host the path with the most votes (then the most text, then the least)."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path binary, score long").where("path is not null")
+    votes = read.select("host", F.col("vote").alias("path"), "score").where("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("score"), "path")).alias("path"))
 
 
 def main_text(pages: DataFrame, most: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each page; most: bytes of hosts' paths to broadcast."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    paths = cut(host_paths(pages))
-    rows = meet(pages.withColumn("host", host_of(F.col("url"))), paths, "host", F.xxhash64("page_id", "url"), BROADCAST_BYTES if most is None else most, HOST_PARTS)
-    return rows.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    read = saved(read_pages(pages), "pages-read")
+    paths = cut(host_paths(read))
+    rows = meet(read.drop("vote", "score"), paths, "host", F.xxhash64("page_id", "url"), BROADCAST_BYTES if most is None else most, HOST_PARTS)
+    return rows.select("page_id", "url", "page", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -338,6 +338,36 @@ def test_html_names_are_hints(spark):
             assert out[k] == " ".join(want.split()), k
 
 
+def test_html_names_never_empty_a_page(spark):
+    """Forms around a page, wrappers named after what they hold beside the text, sections of an article with telling ids."""
+    say = lambda k: " ".join(f"{k} tells how the {w} came to the old town by the river." for w in "miller baker sailor weaver".split())
+    article = lambda k: f"<article><h1>Head {k}</h1><p>{say(k)}</p></article>"
+    body = lambda inner: f"<html><body><header>Site</header><nav><a href=/>Home</a></nav>{inner}<footer>Foot</footer></body></html>"
+    cases = {
+        "aspnet": lambda k: (body(f'<form id="aspnetForm"><input type="hidden" name="v"><input name="q"><button>Go</button>{article(k)}</form>'), f"Head {k} {say(k)}"),
+        "wrap": lambda k: (body(f'<div id="content-sidebar-wrap"><div id="content"><h2>Head {k}</h2><p>{say(k)}</p></div><aside>Side</aside></div>'), f"Head {k} {say(k)}"),
+        "section": lambda k: (body(f'<article><h1>Head {k}</h1><p>{say(k)}</p><section id="search"><h2>Search parties</h2><p>{say(k + "b")}</p></section><section id="social"><a href=/>Share</a></section></article>'), f"Head {k} {say(k)} Search parties {say(k + 'b')}"),
+        "alert": lambda k: (body(f'<div class="page-alert"><div><h2>Head {k}</h2><p>{say(k)}</p></div></div>'), f"Head {k} {say(k)}"),
+        "sponsored": lambda k: (body(f'<div class="sponsored"><p>{say(k)}</p></div>'), say(k)),
+        "login": lambda k: (body(f'<article><h1>Head {k}</h1><p>{say(k)}</p><form><label>Your name and mail</label><input><input><textarea></textarea><button>Send</button></form></article>'), f"Head {k} {say(k)}"),
+        "side": lambda k: (body(f'<div class="sidebar"><p>{say("x")} {say("y")}</p></div>{article(k)}'), f"Head {k} {say(k)}"),
+    }
+    rows, want = [], {}
+    for host, made in cases.items():
+        for k in range(4):
+            page, text = made(f"{host}{k}")
+            rows.append((len(rows), f"https://{host}.example.com/{k}", page))
+            want[len(rows) - 1] = text
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == want
+
+
+def test_html_pages_are_kept_whole():
+    page = html_text.Page("<body><div class=a><h1>T &amp; x</h1><p>one <b>two</b></p></div><nav>x</nav></body>")
+    again = html_text.Page.unpacked(page.packed())
+    assert again.text(again.on(None)) == page.text(page.on(None)) == "T & x one two"
+
+
 def test_html_reads_in_linear_time():
     import time
 
