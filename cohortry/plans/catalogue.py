@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import choosing, estimation, experiments, forecasts, further, journeys, relational, series  # noqa: F401  registers their queries
+from . import calendars, choosing, covered, estimation, experiments, forecasts, further, journeys, relational, series  # noqa: F401  registers their queries
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "mea_variant_stats_3way"

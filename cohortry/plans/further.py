@@ -164,11 +164,13 @@ def holiday_features(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("v", "n")
 
 
-@query("""WITH h(d, name, k) AS (VALUES (DATE '2024-01-10', 'feast', 1), (DATE '2024-01-11', 'rest', 1), (DATE '2024-01-24', 'feast', 1)), c(calendar, a, b) AS (VALUES ('x', 1, 1), ('y', 0, 2))
-    SELECT calendar, h.d + CAST(r.k AS INTEGER) AS date, CASE WHEN r.k < 0 THEN name || '_minus_' || -r.k WHEN r.k > 0 THEN name || '_plus_' || r.k ELSE name END AS holiday FROM h, c, range(-2, 3) r(k) WHERE r.k BETWEEN -a AND b""")
+@query(f"""WITH {DAILY}, h AS (SELECT DISTINCT CAST(ts AS DATE) AS d, event_type AS name FROM daily WHERE n > 55 AND event_type IN ('view', 'error')), c(calendar, name, a, b) AS (VALUES ('x', 'view', 1, 1), ('y', 'error', 0, 2))
+    SELECT calendar, h.d + CAST(r.k AS INTEGER) AS date, CASE WHEN r.k < 0 THEN h.name || '_minus_' || -r.k WHEN r.k > 0 THEN h.name || '_plus_' || r.k ELSE h.name END AS holiday FROM h JOIN c USING (name), range(-2, 3) r(k) WHERE r.k BETWEEN -a AND b""")
 def event_window_multi(spark: SparkSession, sf: str) -> DataFrame:
-    h = _holidays(spark)
-    return S.event_windows_multi({"x": h, "y": h}, "date", "holiday", 1, 1, {"y": (0, 2)})
+    """Busy days of two kinds of events as calendars, with the days around them."""
+    busy = daily(spark, sf).where("n > 55")
+    of = lambda kind: busy.where(F.col("event_type") == kind).select(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("holiday"))
+    return S.event_windows_multi({"x": of("view"), "y": of("error")}, "date", "holiday", 1, 1, {"y": (0, 2)})
 
 
 @query("""SELECT n_nationkey, r_name, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
