@@ -170,12 +170,14 @@ def run_mea(experiments: Sequence[Experiment], metrics: DataFrame, columns: Sequ
 
 def against_control(stats: DataFrame, control: Sequence[str], counts: DataFrame | None = None, coverage: float = 0.95) -> DataFrame:
     """The effect of every variant with an arm of each experiment against one control variant, for each metric of `variant_stats`."""
-    control = tuple(control)
+    control, stats = tuple(control), stats.persist()  # a few rows, read twice
     variants = sorted({tuple(r[0]) for r in stats.select("variant").distinct().collect()})
     pairs = [ComparisonPair((v,), (control,), SEP.join(v)) for v in variants if v != control and NOT_TRIGGERED not in v]
     spark = stats.sparkSession
     relation = pair_relation(spark, pairs)
-    return effect_frame(spark, effects(arm_stats(stats, relation, counts), triggered_population(counts, relation) if counts is not None else None, coverage))
+    out = effect_frame(spark, effects(arm_stats(stats, relation, counts), triggered_population(counts, relation) if counts is not None else None, coverage))
+    stats.unpersist()
+    return out
 
 
 @dataclass(frozen=True)
@@ -198,7 +200,7 @@ def run_families(experiments: Sequence[Experiment], families: Sequence[tuple[Dat
     A plain metric is tested by its variants' means and variances, a ratio of two by the grouped jackknife over `buckets` slices of units.
     Each family is summed up by unit and joined with the assignments once. The effects say which method they are by.
     """
-    merged = merge_experiments(experiments)
+    merged = settled(merge_experiments(experiments))  # joined once, whatever the number of families
     spark = merged.sparkSession
     pairs = [x.against(control) for x in launches]
     relation, counts = pair_relation(spark, pairs), trigger_stats(variant_counts(merged)).persist()
@@ -220,6 +222,7 @@ def run_families(experiments: Sequence[Experiment], families: Sequence[tuple[Dat
             stats.append(own.withColumn("metric_family", F.lit(source.name)))
             one = pair_effects(sliced, m, pairs, buckets, coverage, counts if weighted else None)
             found.append(one.select("pair", F.lit(m.alias).alias("metric"), F.lit("jackknife").alias("method"), "delta", "percent", "ci_lower", "ci_upper", "p_value").withColumn("metric_family", F.lit(source.name)))
+    counts.unpersist()  # the statistics that are returned stay kept until their caller lets go of them
     return Analysis(union(stats), union(found))
 
 

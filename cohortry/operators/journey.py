@@ -82,11 +82,20 @@ def heads(seq: DataFrame, n: int) -> DataFrame:
     return seq.select("*", *[F.get("event_seq", F.lit(i)).alias(f"s{i + 1}") for i in range(n)])
 
 
-def first_steps(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """keys, s1, ..., sn: the first n events of each journey. Ranks are cut off before anything travels, so a journey of any length
-    (a bot's) sends n rows from each task and is never one array."""
+def first_steps(df: DataFrame, keys: Sequence[str], n: int, method: str = "undeduped") -> DataFrame:
+    """keys, s1, ..., sn: the first n events of each journey, by method undeduped, consecutive or full. Ranks are cut off before anything
+    is gathered, so a journey of any length (a bot's) is n rows and never one array; journeys without events have no row."""
     order = W.partitionBy(*keys).orderBy("time", "tie", "event")
-    some = df.where("event is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    if method == "consecutive":
+        before = F.lag("event").over(order)
+        rows = df.withColumn("_before", before).where(F.col("event").isNotNull() & (F.col("_before").isNull() | (F.col("event") != F.col("_before"))))
+    elif method == "full":
+        rows = df.where("event is not null").groupBy(*keys, "event").agg(F.min(F.struct("time", "tie")).alias("f")).select(*keys, "event", "f.time", "f.tie")
+    elif method == "undeduped":
+        rows = df.where("event is not null")
+    else:
+        raise ValueError(f"no first steps by method {method}")
+    some = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
     return some.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == i + 1, F.col("event"))).alias(f"s{i + 1}") for i in range(n)])
 
 

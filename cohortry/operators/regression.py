@@ -269,11 +269,18 @@ def _gathered_forecast(df: DataFrame, time_col: str, value: str, horizon: int, f
 
 
 def quantile_forecast(df: DataFrame, time_col: str, value: str, horizon: int, freq: str = "D", model: Model | None = None, dims: Sequence[str] = ()) -> DataFrame:
-    """The regression forecast with bounds from regressions of the quantiles that the model's coverage leaves out on each side."""
+    """The regression forecast with bounds from regressions of the quantiles that the model's coverage leaves out on each side; all three
+    of a series in one task."""
     model = model or Model()
     tail = (1 - model.coverage) / 2
-    of = lambda q: _gathered_forecast(df, time_col, value, horizon, freq, replace(model, quantile=q), dims)
-    out = regression_forecast(df, time_col, value, horizon, freq, model, dims).drop("forecast_lower", "forecast_upper")
-    for name, q in (("forecast_lower", tail), ("forecast_upper", 1 - tail)):
-        out = match(out, of(q).select(*dims, time_col, F.col("forecast").alias(name)), [*dims, time_col], "left")
-    return out
+    names, kinds = list(dims), dict(df.dtypes)
+    schema = ", ".join([*[f"{d} {kinds[d]}" for d in dims], f"{time_col} timestamp, stage string, actual double, forecast double, std double, longterm_growth double, weekly_seasonality double, annual_seasonality double, forecast_lower double, forecast_upper double"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = [fit_predict(pdf, time_col, value, horizon, freq, m) for m in (model, replace(model, quantile=tail), replace(model, quantile=1 - tail))]
+        out = made[0].drop(columns=["forecast_lower", "forecast_upper"]).assign(forecast_lower=made[1]["forecast"], forecast_upper=made[2]["forecast"])
+        for d in reversed(names):
+            out.insert(0, d, pdf[d].iloc[0])
+        return out
+
+    return df.select(*dims, time_col, value).groupBy(*dims).applyInPandas(one, schema)

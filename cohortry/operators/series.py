@@ -92,16 +92,15 @@ def freq_unit(freq: str) -> str:
 
 
 def date_lags(df: DataFrame, time_col: str, value: str, freq: str, orders: Sequence[int], dims: Sequence[str] = ()) -> DataFrame:
-    """df with <value>_lag<k>: the value exactly k periods before, null if that time isn't there. Equi-joins, no windows."""
-    out = df
-    for k in orders:
-        past = df.select(*dims, shift(F.col(time_col), freq, k).cast(dict(df.dtypes)[time_col]).alias(time_col), F.col(value).alias(f"{value}_lag{k}"))
-        # the ends of months can meet when they move: the last of them counts
-        if freq in ("M", "Q", "Y"):
-            origin = df.select(*dims, shift(F.col(time_col), freq, k).cast(dict(df.dtypes)[time_col]).alias(time_col), F.col(time_col).alias("_o"), F.col(value).alias("_v"))
-            past = origin.groupBy(*dims, time_col).agg(F.max_by("_v", "_o").alias(f"{value}_lag{k}"))
-        out = match(out, past, [*dims, time_col], "left")
-    return out
+    """df with <value>_lag<k>: the value exactly k periods before, null if that time isn't there. One equi-join, no windows."""
+    kind = dict(df.dtypes)[time_col]
+    moved = reduce(lambda c, k: c.when(F.col("_k") == k, shift(F.col(time_col), freq, k).cast(kind)), orders[1:], F.when(F.col("_k") == orders[0], shift(F.col(time_col), freq, orders[0]).cast(kind)))
+    past = df.select(*dims, time_col, F.col(value).alias("_v"), F.explode(F.array(*[F.lit(k) for k in orders])).alias("_k"))
+    # all orders meet in one join; the ends of months can meet when they move: the last of them counts
+    past = past.select(*dims, moved.alias("_t"), F.col(time_col).alias("_o"), "_v", "_k").groupBy(*dims, F.col("_t").alias(time_col)).agg(
+        *[F.max_by(F.when(F.col("_k") == k, F.col("_v")), F.when(F.col("_k") == k, F.col("_o"))).alias(f"{value}_lag{k}") for k in orders]
+    )
+    return match(df, past, [*dims, time_col], "left")
 
 
 def date_diff(df: DataFrame, time_col: str, value: str, freq: str, orders: Sequence[int] = (1,), agg: str = "mean", relative: bool = False, dims: Sequence[str] = ()) -> DataFrame:
@@ -433,3 +432,26 @@ def impute_columns(df: DataFrame, time_col: str, values: Sequence[str], orders:
 def outlier_intervals(df: DataFrame, time_col: str, value: str, cutoff: float = 3.0, trim: float = 0.01, dims: Sequence[str] = ()) -> DataFrame:
     """Runs of z-score outliers as intervals."""
     return islands(zscore_outliers(df, value, cutoff, trim, dims=dims), time_col, "is_outlier", dims)
+
+
+def overlays(df: DataFrame, value: str, group: str, label: str, labels: Sequence[object], agg: str = "avg", quantiles: Sequence[float] = (), center: bool = False, dims: Sequence[str] = ()) -> DataFrame:
+    """A row for each group (a column, such as the day of the week) with the mean and quantiles (q25 for 0.25) of all values, and a column for each label
+    (a column, such as the year) with the aggregate of its values; null where a label has none.
+
+    With center, each label's column is moved so that its groups' mean is 0, and the mean and quantiles together so that the mean's is.
+    """
+    how = {"avg": F.avg, "median": F.median, "sum": F.sum, "max": F.max, "min": F.min}[agg]
+    x = F.col(value).cast("double")
+    named = {f"overlay_{v}": how(F.when(F.col(label) == F.lit(v), x)) for v in labels}
+    spread = {f"q{100 * q:g}": F.percentile(x, F.lit(float(q))) for q in quantiles}
+    out = df.groupBy(*dims, group).agg(F.avg(x).alias("mean"), *[c.alias(k) for k, c in (spread | named).items()])
+    if not center:
+        return out
+    whole = W.partitionBy(*dims)
+    middle = F.avg("mean").over(whole)
+    return out.select(*dims, group, *[(F.col(f"`{k}`") - middle).alias(k) for k in ("mean", *spread)], *[(F.col(k) - F.avg(k).over(whole)).alias(k) for k in named])
+
+
+def with_position(df: DataFrame, time_col: str, group: str, name: str = "position", dims: Sequence[str] = ()) -> DataFrame:
+    """df with each row's place, from 1, within its group by time; a label for overlays."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*dims, group).orderBy(time_col)))

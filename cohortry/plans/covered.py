@@ -12,6 +12,7 @@ from ..functions import time as T
 from ..operators import evaluation as E
 from ..operators import experiments as X
 from ..operators import forecast as FC
+from ..operators import reconcile as Q
 from ..operators import metrics as M
 from ..operators import regression as G
 from ..operators import relational as R
@@ -23,6 +24,7 @@ from ..sources import tables as K
 from ..specs import Metric, MetricSource, UnitMetric, consistent, unique_unit_metrics
 from .experiments import STATS, joined, merged_sql
 from .forecasts import Z95, _I, _seasonal
+from .linear import solved
 from .registry import load, query
 from .series import DAILY, daily
 
@@ -302,3 +304,48 @@ def outside_tolerance(spark: SparkSession, sf: str) -> DataFrame:
 def quantile_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts with bounds from regressions of quantiles (tests hold them against counting)."""
     return G.quantile_forecast(daily(spark, sf).select("event_type", "ts", "v"), "ts", "v", 5, model=G.Model(changepoints=1, seasons=(), alpha=0.1, coverage=0.8), dims=["event_type"])
+
+
+# reconciliation by quadratic programming, overlays
+
+_TREE = {"both": ["view", "click"]}
+_BOTH = f"""{DAILY}, d AS (SELECT ts, sum(CASE WHEN event_type = 'view' THEN v END) AS v, sum(CASE WHEN event_type = 'click' THEN v END) AS c FROM daily GROUP BY 1), e AS (SELECT ts, v, c, 1.2 * v AS fv, 0.9 * c AS fc, v + c + 10 * (day(ts) % 3) AS ft FROM d)"""
+
+
+def _both(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily(spark, sf).where("event_type in ('view', 'click')")
+    leaves = d.select("ts", F.col("event_type").alias("node"), F.col("v").alias("actual"), F.when(F.col("event_type") == "view", F.col("v") * 1.2).otherwise(F.col("v") * 0.9).alias("forecast"))
+    return leaves.unionByName(d.groupBy("ts").agg(F.sum("v").alias("actual")).select("ts", F.lit("both").alias("node"), "actual", (F.col("actual") + 10 * (F.dayofmonth("ts") % 3)).alias("forecast")))
+
+
+@query(f"""WITH {_BOTH}, x AS (SELECT 1 AS g, v AS y, fv AS x0, fc AS x1, ft AS x2 FROM e), {solved("x", 3, [0, 0, 0])}, x_c AS (SELECT 1 AS g, c AS y, fv AS x0, fc AS x1, ft AS x2 FROM e), {solved("x_c", 3, [0, 0, 0], "c_")},
+    r AS (SELECT ts, b.b0 * fv + b.b1 * fc + b.b2 * ft AS v, k.b0 * fv + k.b1 * fc + k.b2 * ft AS c FROM e, beta b, c_beta k)
+    SELECT ts, 'view' AS node, round(v, 2) AS forecast FROM r UNION ALL SELECT ts, 'click', round(c, 2) FROM r UNION ALL SELECT ts, 'both', round(v + c, 2) FROM r""")
+def reconcile_by_training_error(spark: SparkSession, sf: str) -> DataFrame:
+    """The transformation of least error on the history that adds up: each leaf's regression on all forecasts."""
+    out = Q.reconcile_convex(_both(spark, sf), ["both", "view", "click"], _TREE, "ts", Q.Penalties(unbiased=False))
+    return R.rounded(out, 2)
+
+
+@query(f"""WITH {_BOTH}, r AS (SELECT ts, fv + (ft - fv - fc) / 3 AS v, fc + (ft - fv - fc) / 3 AS c FROM e) SELECT ts, 'view' AS node, round(v, 3) AS forecast FROM r UNION ALL SELECT ts, 'click', round(c, 3) FROM r UNION ALL SELECT ts, 'both', round(v + c, 3) FROM r""")
+def reconcile_within_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Least variance with bounds that don't bind, by alternating directions: the plain projection."""
+    out = Q.reconcile_convex(_both(spark, sf), ["both", "view", "click"], _TREE, "ts", Q.Penalties(train=0.0, var=1.0, identity_covariance=True, lower=-5.0, upper=5.0))
+    return R.rounded(out, 3)
+
+
+@query(f"""WITH {DAILY}, x AS (SELECT event_type, CAST(isodow(ts) AS INTEGER) AS dow, CAST(day(ts) - 1 AS INTEGER) // 15 AS half, v FROM daily)
+    SELECT event_type, dow, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.25), 4) AS q25, round(avg(CASE WHEN half = 0 THEN v END), 4) AS overlay_0, round(avg(CASE WHEN half = 1 THEN v END), 4) AS overlay_1 FROM x GROUP BY 1, 2""")
+def weekday_overlays(spark: SparkSession, sf: str) -> DataFrame:
+    """Means and quartiles of weekdays, with one overlay for each half of the month."""
+    d = daily(spark, sf).withColumn("dow", (F.weekday("ts") + 1).cast("int")).withColumn("half", F.floor((F.dayofmonth("ts") - 1) / 15).cast("int"))
+    return R.rounded(S.overlays(d, "v", "dow", "half", [0, 1], quantiles=[0.25], dims=["event_type"]), 4)
+
+
+@query(f"""WITH {DAILY}, x AS (SELECT event_type, CAST(isodow(ts) AS INTEGER) AS dow, v, row_number() OVER (PARTITION BY event_type, isodow(ts) ORDER BY ts) AS k FROM daily),
+    o AS (SELECT event_type, dow, avg(v) AS mean, median(CASE WHEN k = 1 THEN v END) AS a, median(CASE WHEN k = 2 THEN v END) AS b FROM x GROUP BY 1, 2)
+    SELECT event_type, dow, round(mean - avg(mean) OVER w, 4) AS mean, round(a - avg(a) OVER w, 4) AS overlay_1, round(b - avg(b) OVER w, 4) AS overlay_2 FROM o WINDOW w AS (PARTITION BY event_type)""")
+def centred_overlays(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and the second time of each weekday, centred."""
+    d = S.with_position(daily(spark, sf).withColumn("dow", (F.weekday("ts") + 1).cast("int")), "ts", "dow", dims=["event_type"])
+    return R.rounded(S.overlays(d, "v", "dow", "position", [1, 2], "median", center=True, dims=["event_type"]), 4)

@@ -78,7 +78,7 @@ def seq_heads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FULL} SELECT l[1] AS s1, l[2] AS s2, l[3] AS s3, count(*) AS seq_count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM seq GROUP BY 1, 2, 3")
 def seq_counts_percent(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rounded(J.count_sequences(J.fully_deduped(base(spark, sf), KEYS), 3))
+    return R.rounded(J.count_sequences(J.first_steps(base(spark, sf), KEYS, 3, "full"), 3))
 
 
 DAY = "date_trunc('day', ts)"
@@ -87,14 +87,17 @@ DAYS = f"""d AS (SELECT user_id, {DAY} AS day, ts, event_type AS event, event_id
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    df = base(spark, sf).withColumn("day", F.date_trunc("day", "time"))
-    return J.consecutive(df, ["user_id", "day"])
+    return J.consecutive(_by_day(spark, sf), ["user_id", "day"])
+
+
+def _by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return base(spark, sf).withColumn("day", F.date_trunc("day", "time"))
 
 
 @query(f"""WITH {DAYS}, c AS (SELECT l[1] AS s1, l[2] AS s2, count(DISTINCT user_id) AS seq_count FROM seq GROUP BY 1, 2)
     SELECT coalesce(s1, 'END') AS s1, coalesce(s2, 'END') AS s2, seq_count, round(100.0 * seq_count / sum(seq_count) OVER (), 6) AS percent FROM c""")
 def seq_counts_distinct_end(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rounded(J.count_sequences(daily(spark, sf), 2, distinct="user_id", end="END"))
+    return R.rounded(J.count_sequences(J.first_steps(_by_day(spark, sf), ["user_id", "day"], 2, "consecutive"), 2, distinct="user_id", end="END"))
 
 
 def _rate(n: str, d: str, by: str = "") -> str:
@@ -159,7 +162,7 @@ _C3 = f"{DAYS}, c AS (SELECT l[1] AS s1, l[2] AS s2, l[3] AS s3, count(*) AS n F
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return J.count_sequences(daily(spark, sf), 3)
+    return J.count_sequences(J.first_steps(_by_day(spark, sf), ["user_id", "day"], 3, "consecutive"), 3)
 
 
 @query(f"""WITH {_C3}, p AS (SELECT s1 || '_1' AS source, s2 || '_2' AS target, n FROM c WHERE s2 IS NOT NULL UNION ALL SELECT s2 || '_2', s3 || '_3', n FROM c WHERE s3 IS NOT NULL UNION ALL SELECT s1 || '_1', s1 || '_1', n FROM c WHERE s2 IS NULL)
