@@ -19,6 +19,7 @@ from ..operators import relational as R
 from ..operators import rewards as W
 from ..operators import selection as L
 from ..operators import series as S
+from ..operators import transforms as N
 from ..operators.flow import Flow
 from ..sources import tables as K
 from ..specs import Metric, MetricSource, UnitMetric, consistent, unique_unit_metrics
@@ -349,3 +350,25 @@ def centred_overlays(spark: SparkSession, sf: str) -> DataFrame:
     """The first and the second time of each weekday, centred."""
     d = S.with_position(daily(spark, sf).withColumn("dow", (F.weekday("ts") + 1).cast("int")), "ts", "dow", dims=["event_type"])
     return R.rounded(S.overlays(d, "v", "dow", "position", [1, 2], "median", center=True, dims=["event_type"]), 4)
+
+
+# transforms of metrics
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT event_type, date_trunc('week', ts) AS p, sum(v) AS total, count(*) AS n FROM daily GROUP BY 1, 2), w AS (SELECT d.event_type, d.ts, d.v / CASE WHEN s.n = 7 THEN s.total END AS x FROM daily d JOIN s ON s.event_type = d.event_type AND s.p = date_trunc('week', d.ts))
+    SELECT w.event_type, w.ts, round(w.x - p.x, 6) AS value, 'total_within_week_weight_wow_diff' AS metric FROM w LEFT JOIN w p ON p.event_type = w.event_type AND p.ts = w.ts - INTERVAL 7 DAY""")
+def transformed_share_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Days' shares of whole weeks less those of the week before."""
+    steps = [N.ShareWithin("W"), N.Diff("W", 1)]
+    out = N.transformed(daily(spark, sf), steps, "ts", ["v"], "D", ["event_type"])
+    return out.select("event_type", "ts", F.round("v", 6).alias("value"), F.lit(N.metric_name("total", steps)).alias("metric"))
+
+
+@query("""WITH h AS (SELECT event_type, date_trunc('day', ts) AS ts, avg(value) AS v, count(*) AS n FROM events GROUP BY 1, 2), d AS (SELECT event_type, ts, v, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 3) OVER w AS c FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts))
+    SELECT event_type, ts, round((v - median(x)) / median(x), 6) AS value, 'mean_rel_median_3d_diff' AS metric FROM (SELECT event_type, ts, v, a, b, c, unnest([a, b, c]) AS x FROM d WHERE c IS NOT NULL) GROUP BY event_type, ts, v
+    UNION ALL SELECT event_type, ts, NULL, 'mean_rel_median_3d_diff' FROM d WHERE c IS NULL""")
+def transformed_relative_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Days' means relative to the median of the three days before."""
+    d = load(spark, sf, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("ts")).agg(F.avg("value").alias("v"))
+    steps = [N.Diff("D", 3, agg="median", relative=True)]
+    return N.transformed(d, steps, "ts", ["v"], "D", ["event_type"]).select("event_type", "ts", F.round("v", 6).alias("value"), F.lit(N.metric_name("mean", steps)).alias("metric"))
