@@ -106,10 +106,11 @@ def common_lines(docs: DataFrame, host: str, least: int = LEAST_DOCS, share: flo
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     longest = F.array_max(F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
     held = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64(longest["line"]).alias("doc"), level_lines(text).alias("lines")).where(F.size("lines") > 0)
-    held = held.select("host", "doc", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("lines"))
-    total = held.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
-    counted = held.select("host", "doc", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= least)
-    both = counted.alias("c").join(total.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
+    # each document holds the null line too, whose count is that of the host's documents: one reading for both
+    each = F.array_append(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))), F.lit(None).cast("long"))
+    counted = cut(held.select("host", "doc", F.explode(each).alias("line")).groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where((F.col("n") >= least) | F.col("line").isNull()))
+    total = counted.where("line IS NULL").select("host", F.col("n").alias("docs"))
+    both = counted.where("line IS NOT NULL").alias("c").join(total.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
     return both.where(F.col("n") > share * F.col("docs")).groupBy(F.col("c.host").alias("host")).agg(F.collect_set("line").alias("lines"))
 
 
