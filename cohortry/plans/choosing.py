@@ -70,7 +70,7 @@ _LOSS = " UNION ALL ".join(f"SELECT x.g, {i} AS a, {c + 1} AS seg, sum((y - b0 -
     cv AS (SELECT g, a, sum(l) / sum(n) AS mse FROM l GROUP BY 1, 2), early AS (SELECT g, a, sum(l) / sum(n) AS mse FROM l WHERE seg < 3 GROUP BY 1, 2),
     best AS (SELECT g, arg_min(a, mse) AS a, min(mse) AS mse FROM cv GROUP BY 1), be AS (SELECT g, arg_min(a, mse) AS a FROM early GROUP BY 1),
     fin AS (SELECT g, 0 AS a, b0, b1 FROM a0c3beta UNION ALL SELECT g, 1, b0, b1 FROM a1c3beta)
-    SELECT g AS event_type, CASE best.a WHEN 0 THEN {_A[0]} ELSE {_A[1]} END AS alpha, round(best.mse, 3) AS cv_mse, round(l.l / l.n, 3) AS backtest_mse, CASE be.a WHEN 0 THEN {_A[0]} ELSE {_A[1]} END AS backtest_alpha, round(b0, 4) AS b0, round(b1, 5) AS b1
+    SELECT g AS event_type, CAST(CASE best.a WHEN 0 THEN {_A[0]} ELSE {_A[1]} END AS DOUBLE) AS alpha, round(best.mse, 3) AS cv_mse, round(l.l / l.n, 3) AS backtest_mse, CAST(CASE be.a WHEN 0 THEN {_A[0]} ELSE {_A[1]} END AS DOUBLE) AS backtest_alpha, round(b0, 4) AS b0, round(b1, 5) AS b1
     FROM best JOIN be USING (g) JOIN l ON l.g = best.g AND l.a = be.a AND l.seg = 3 JOIN fin ON fin.g = best.g AND fin.a = best.a""")
 def forecast_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling search, backtest and final fit of a trend by weeks, each series read once."""

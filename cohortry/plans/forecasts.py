@@ -236,7 +236,7 @@ WEEKLY = G.Model(changepoints=0, seasons=(("weekly", 7.0, 1),), alpha=0.1)
     x AS (SELECT r.*, 1.0 AS x0, (d - a) / (b - a) AS x1, sin(2 * pi() * d / 7) AS x2, cos(2 * pi() * d / 7) AS x3 FROM r JOIN e ON e.event_type = r.g), {solved("x WHERE y IS NOT NULL", 4, [0, 0.1, 0.1, 0.1])},
     f AS (SELECT x.*, b0 + b1 * x1 AS growth, b2 * x2 + b3 * x3 AS season FROM x JOIN beta USING (g)), s AS (SELECT g, sqrt(avg((y - growth - season) ** 2)) AS sd FROM f GROUP BY 1)
     SELECT g AS event_type, ts, stage, round(y, 4) AS actual, round(growth + season, 4) AS forecast, round(growth + season - {Z95} * sd, 4) AS forecast_lower, round(growth + season + {Z95} * sd, 4) AS forecast_upper, round(sd, 4) AS std,
-        round(growth, 4) AS longterm_growth, round(season, 4) AS weekly_seasonality, 0.0 AS annual_seasonality FROM f JOIN s USING (g)""")
+        round(growth, 4) AS longterm_growth, round(season, 4) AS weekly_seasonality, CAST(0 AS DOUBLE) AS annual_seasonality FROM f JOIN s USING (g)""")
 def forecast_regression(spark: SparkSession, sf: str) -> DataFrame:
     """Trend and a weekly wave by ridge, from sums of products."""
     return R.rounded(G.regression_forecast(daily(spark, sf), "ts", "v", 7, model=WEEKLY, dims=["event_type"]), 4)
