@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.time import horizon_of, period_end, rows_per_period, shift
+from ..functions.time import expected_rows, horizon_of, period_end, rows_per_period, shift
 from .relational import match, union
 
 AGGS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}
@@ -80,7 +80,7 @@ def share_within_period(df: DataFrame, time_col: str, values: Sequence[str], fre
     """Each value over its period's total; null where the period lacks rows or the total is 0."""
     end = F.date_trunc(freq_unit(period), F.col(time_col)) if not period.startswith("W") else period_end(F.col(time_col), period)
     w = W.partitionBy(*dims, "_p")
-    out, full = df.withColumn("_p", end), rows_per_period(freq, period)
+    out, full = df.withColumn("_p", end), expected_rows(F.col("_p"), freq, period) if period in ("M", "Q", "Y") else rows_per_period(freq, period)
     for v in values:
         total = F.sum(v).over(w)
         out = out.withColumn(f"{v}_share", F.when((F.count("*").over(w) == full) & (total != 0), F.col(v) / total))

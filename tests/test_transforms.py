@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from cohortry.operators import series
 from cohortry.operators import transforms as N
 
 DAY = datetime.datetime(2024, 1, 1)  # a Monday
@@ -27,3 +28,11 @@ def test_values(spark):
     assert diff["a", DAY] is None and diff["a", DAY + datetime.timedelta(days=5)] == 1.0 and diff["a", DAY + datetime.timedelta(days=17)] is None and diff[None, DAY + datetime.timedelta(days=2)] == 0.0
     weeks = {(r.g, str(r.ts)[:10]): r.x for r in N.transformed(df, [N.Coarsen("W"), N.Diff("W", 1)], "ts", ["x"], "D", ["g"]).collect()}  # weeks end on Sundays
     assert weeks["a", "2024-01-14"] == 49.0 and weeks["a", "2024-01-07"] is None and (None, "2024-01-07") in weeks
+
+
+def test_shares_of_months(spark):
+    """A month is whole by its own number of days."""
+    days = [("a", datetime.datetime(2024, 2, 1) + datetime.timedelta(days=i), 1.0) for i in range(29 + 30)]  # March lacks a day
+    df = spark.createDataFrame(days, "g string, ts timestamp, x double")
+    got = {str(r.ts)[:10]: r.x_share for r in series.share_within_period(df, "ts", ["x"], "D", "M", ["g"]).collect()}
+    assert got["2024-02-29"] == 1 / 29 and got["2024-03-01"] is None
