@@ -9,6 +9,8 @@ import numpy as np
 
 #: Characters: 1 to 127 are themselves, then letters, white space and all others; 0 pads.
 LETTER, WHITE, OTHER, CHARS = 128, 129, 130, 131
+#: Characters up to which sums of scores keep their digits in single precision.
+EXACT = 256
 Params = dict[str, np.ndarray]
 
 
@@ -99,6 +101,29 @@ def _layers(p: Params, ids: np.ndarray, there: np.ndarray) -> tuple[np.ndarray,
     return both @ p["out"] + p["bias"], {"both": both, "f": kept_f, "b": kept_b, "mask": mask}
 
 
+def tag_scores(p: Params, ids: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Scores of tags for each (step, row), as `_layers` gives them, but nothing is kept for gradients; states are (unit, row)."""
+    n, rows = ids.shape
+    h = p["f_own"].shape[0]
+    scale = np.repeat(np.float32([0.5, 1]), [3 * h, h])  # a sigmoid is made of a tanh of half its input
+    out = np.empty((n, rows, len(p["bias"])), np.float32)
+    out[:] = p["bias"]
+    for side, order, weights in (("f", range(n), p["out"][:h]), ("b", range(n - 1, -1, -1), p["out"][h:])):
+        table, own = (p["embed"] @ p[f"{side}_in"] + p[f"{side}_gate"]) * scale, np.ascontiguousarray((p[f"{side}_own"] * scale).T)
+        state, cell = np.zeros((h, rows), np.float32), np.zeros((h, rows), np.float32)
+        for t in order:
+            z = own @ state
+            z += table[ids[t]].T
+            np.tanh(z, out=z)
+            z[: 3 * h] *= np.float32(0.5)
+            z[: 3 * h] += np.float32(0.5)
+            i, f, o, g = z.reshape(4, h, rows)
+            cell = (f * cell + i * g) * there[t]
+            state = o * np.tanh(cell) * there[t]
+            out[t] += state.T @ weights
+    return out
+
+
 def _add(x: np.ndarray, axis: int) -> np.ndarray:
     most = x.max(axis, keepdims=True)
     return np.log(np.exp(x - most).sum(axis)) + most.squeeze(axis)
@@ -193,10 +218,11 @@ def decode(p: Params, texts: Sequence[str], window: int) -> list[list[tuple[int,
     ids, there = padded([char_ids(x) for x in texts], window)
     kinds = (p["steps"].shape[0] - 1) // 2
     stop = forbidden(kinds)
-    scores, _ = _layers(p, ids, there)
-    z, fore, back, move = _chances(p, scores, there, stop)
+    scores = tag_scores(p, ids, there)
+    if window > EXACT:
+        scores = scores.astype(np.float64)
     n, rows, tags = scores.shape
-    best, came = scores[0] + p["first"], np.zeros((n, rows, tags), np.int64)
+    move, best, came = p["steps"] + stop, scores[0] + p["first"], np.zeros((n, rows, tags), np.int8)
     for t in range(1, n):
         every = best[:, :, None] + move
         came[t] = np.where(there[t][:, None], every.argmax(1), np.arange(tags)[None])
@@ -205,16 +231,20 @@ def decode(p: Params, texts: Sequence[str], window: int) -> list[list[tuple[int,
     path[-1] = best.argmax(1)
     for t in range(n - 1, 0, -1):
         path[t - 1] = came[t][own, path[t]]
-    sure = np.exp(np.take_along_axis(fore + back, path[..., None], 2)[..., 0] - z)
-    out = []
-    for r, text in enumerate(texts):
-        spans, tag = [], path[: len(text), r]
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    some = np.flatnonzero((path * there).any(0))  # chances are asked for where the best path has a span
+    if not len(some):
+        return out
+    z, fore, back, _ = _chances(p, scores[:, some], there[:, some], stop)
+    sure = np.exp(np.take_along_axis(fore + back, path[:, some, None], 2)[..., 0] - z)
+    for c, r in enumerate(some.tolist()):
+        spans, tag = [], path[: len(texts[r]), r]
         at = np.flatnonzero(tag)
         for t in at.tolist():
             kind = (tag[t] - 1) // 2
             if tag[t] % 2 or t == 0 or not spans or spans[-1][2] != t:
-                spans.append([int(kind), t, t + 1, float(sure[t, r])])
+                spans.append([int(kind), t, t + 1, float(sure[t, c])])
             else:
-                spans[-1][2], spans[-1][3] = t + 1, min(spans[-1][3], float(sure[t, r]))
-        out.append([tuple(s) for s in spans])
+                spans[-1][2], spans[-1][3] = t + 1, min(spans[-1][3], float(sure[t, c]))
+        out[r] = [tuple(s) for s in spans]
     return out

@@ -6,9 +6,10 @@ but without, by least hash), half of them rewritten as people write such data to
 `93[.]184[.]2[.]7`, cards with dots, phones without their plus) and a number of harmless figures (dates, prices, versions, long numbers) that
 belong to no span. The model is a few thousand floats.
 
-Each text is read in windows of `WINDOW` characters, one every half window; windows without an anchor (a digit, an @, the word dot)
-hold no span of these kinds and are passed over. Each window is decoded by itself; spans that touch an edge inside the text are left
-to the next window. Of all windows' spans a text keeps those without overlap whose summed certainty is highest. Spans have to be certain
+Each text is read in windows of `WINDOW` characters, one every half window. Each window is decoded by itself; a span that touches an edge
+inside the text is left to the next window, and one of half a window or more, which that may cut as well, is decoded again in a wider
+window until nothing cuts it. Spans that break their kind's law (below) don't count, and each law asks for a digit, an @ or the word at;
+so a window with none of these can add nothing, and only such windows aren't decoded. Of all windows' spans a text keeps those without overlap whose summed certainty is highest. Spans have to be certain
 (`SURE`) and to keep their kind's own law: at most 255 in an IP's four parts, Luhn's sum for a card, 9 to 15 digits for a phone, an
 at-sign and a dot in some form for an address. Base spans stay; the tagger adds only what doesn't overlap one.
 
@@ -41,6 +42,8 @@ EXAMPLES, AROUND, STEPS = 1500, 60, 500
 #: Characters of a window (one starts every half), windows that are decoded at once, least chance of a span's tags.
 WINDOW, AT_ONCE, SURE = 96, 1024, 0.7
 ANCHOR = re.compile(r"[0-9@]|(?<![A-Za-z])(?:dot|DOT|Dot)(?![A-Za-z])")
+#: What every span that `HOLDS` accepts has in it.
+NEEDED = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 
 # The base patterns as fixed by their contract; possessive, and tied to the start of a run of digits, so that time is linear.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -49,6 +52,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
+#: What an address has in this order in one line, with anything between.
+ADDRESS = [re.compile(x) for x in (r"\w", r"(?i)@|(?<![a-z])at(?![a-z])", r"\w", r"(?i)\.|(?<![a-z])dot(?![a-z])", r"\w")]
 
 
 def luhn(digits: str) -> bool:
@@ -71,12 +76,29 @@ def is_phone(text: str) -> bool:
 
 
 def is_email(text: str) -> bool:
-    return bool(re.search(r"(?i)\w.*?(?:@|(?<![a-z])at(?![a-z])).*?\w.*?(?:\.|(?<![a-z])dot(?![a-z])).*?\w", text))
+    for line in text.split("\n"):
+        at = 0
+        for part in ADDRESS:
+            found = part.search(line, at)
+            if not found:
+                break
+            at = found.end()
+        else:
+            return True
+    return False
 
 
 HOLDS = (is_email, is_ip, is_card, is_phone)
 
 
+def may_hold(kind: int, part: str) -> bool:
+    """Whether a longer text with this part in it can keep the kind's law."""
+    runs = DIGITS.findall(part)
+    if kind == 1:
+        return len(runs) <= 4 and all(len(x.lstrip("0")) <= 3 for x in runs)
+    return kind == 0 or sum(map(len, runs)) <= (19 if kind == 2 else 15)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at, end = text.find("@"), 0
     while at >= 0:
@@ -225,9 +247,9 @@ def train(found: Sequence[Labelled], steps: int = STEPS) -> Params | None:
 
 
 def windows(text: str) -> list[int]:
-    """Where the windows with an anchor start."""
+    """Where the windows start that have in them what every law asks for."""
     half, out = WINDOW // 2, set()
-    for m in ANCHOR.finditer(text):
+    for m in NEEDED.finditer(text):
         k = m.start() // half
         out |= {k, max(0, k - 1)}
     return [k * half for k in sorted(out)]
@@ -253,18 +275,46 @@ def reconciled(found: Sequence[tuple[int, int, int, float]]) -> list[tuple[int,
     return out[::-1]
 
 
+def _taken(texts: Sequence[str], piece: tuple[int, int, int], spans: Sequence[tuple[int, int, int, float]], found: list[list]) -> list[tuple[int, int, int]]:
+    """Puts a window's (text, start, end) whole spans into found; gives wider windows for those that the windows beside it may cut too."""
+    i, a, b = piece
+    out, size = [], len(texts[i])
+    for k, x, y, s in spans:
+        left, right = x == 0 and a > 0, a + y == b and b < size
+        if not left and not right:
+            found[i].append((k, a + x, a + y, s))
+        elif y - x >= WINDOW // 2 and may_hold(k, texts[i][a + x : a + y]):
+            out.append((i, max(0, a - (b - a) * left), min(size, b + (b - a) * right)))
+    return out
+
+
+def _merged(pieces: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pieces of texts, those that overlap made one."""
+    out: list[tuple[int, int, int]] = []
+    for i, a, b in sorted(pieces):
+        if out and out[-1][0] == i and a < out[-1][2]:
+            out[-1] = (i, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((i, a, b))
+    return out
+
+
 def added(texts: Sequence[str], base: Sequence[Sequence[tuple[int, int, int]]], model: Params | None, sure: float = SURE) -> list[list[tuple[int, int, int]]]:
     """The spans that the tagger adds to each text's base spans."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if model is None:
         return out
     found: list[list] = [[] for _ in texts]
-    every = [(i, a) for i, text in enumerate(texts) for a in windows(text)]
+    wide: list[tuple[int, int, int]] = []
+    every = [(i, a, min(a + WINDOW, len(text))) for i, text in enumerate(texts) for a in windows(text)]
     for at in range(0, len(every), AT_ONCE):
         some = every[at : at + AT_ONCE]
-        for (i, a), spans in zip(some, char_tagger.decode(model, [texts[i][a : a + WINDOW] for i, a in some], WINDOW), strict=True):
-            n = min(WINDOW, len(texts[i]) - a)
-            found[i] += [(k, a + x, a + y, s) for k, x, y, s in spans if (x > 0 or a == 0) and (y < n or a + n == len(texts[i]))]
+        for piece, spans in zip(some, char_tagger.decode(model, [texts[i][a:b] for i, a, b in some], WINDOW), strict=True):
+            wide += _taken(texts, piece, spans, found)
+    while wide:
+        wide, merged = [], _merged(wide)
+        for i, a, b in merged:
+            wide += _taken(texts, (i, a, b), char_tagger.decode(model, [texts[i][a:b]], b - a)[0], found)
     for i, spans in enumerate(found):
         good = [s for s in spans if s[3] >= sure and HOLDS[s[0]](texts[i][s[1] : s[2]])]
         starts, ends = sorted(s[1] for s in base[i]), sorted(s[2] for s in base[i])

@@ -108,6 +108,76 @@ def test_windows_see_every_short_span():
     assert personal.windows("no anchor here") == []
 
 
+@pytest.mark.parametrize("value", ["people at mail.example.com", "people[at]example.com", "people AT example DOT com", "people At example.com"])
+def test_addresses_without_digits_or_dots_in_words(value, monkeypatch):
+    monkeypatch.setattr(char_tagger, "decode", lambda model, texts, window: [[(0, *m.span(), 0.9) for m in re.finditer(re.escape(value), t)] for t in texts])
+    for n in range(12):
+        before = "the letters and " * n
+        assert personal.added([f"{before}{value} and ships{' and letters' * n}"], [[]], {}) == [[(0, len(before), len(before) + len(value))]]
+
+
+def test_windows_add_what_all_windows_would(model, monkeypatch):
+    rng, texts = random.Random(6), []
+    for x in _examples(7, 60):
+        text, end = "", 0
+        for k, a, b in x.spans:
+            text, end = x.text[:a] + personal.REWRITTEN[k](x.text[a:b], rng), b
+        texts.append("over ships at home. " * rng.randrange(4) + text + x.text[end:] + " and letters about people" * rng.randrange(9))
+    base = [personal.base_spans(t) for t in texts]
+    got = personal.added(texts, base, model)
+    monkeypatch.setattr(personal, "windows", lambda text: list(range(0, len(text), personal.WINDOW // 2)))
+    assert sum(map(len, got)) > 30 and got == personal.added(texts, base, model)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.one_of(st.text("aT@.tdO \n-ſé", max_size=12), st.lists(st.sampled_from(["at", "DOT", "@", ".", "b", " ", "\n", "x", "_", "İ"]), max_size=9).map("".join)))
+def test_law_of_addresses(text):
+    assert personal.is_email(text) is bool(re.search(r"(?i)\w.*?(?:@|(?<![a-z])at(?![a-z])).*?\w.*?(?:\.|(?<![a-z])dot(?![a-z])).*?\w", text))
+
+
+def test_law_of_addresses_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    assert not personal.is_email("@a" * 100_000) and not personal.is_email("a\n" * 100_000)
+    assert time.process_time() - began < 5
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("a@.t dot019\n-", max_size=30), st.text("aAtT @.x1", max_size=4), st.text("aAtT @.x1", max_size=4))
+def test_every_law_asks_for_what_windows_look_for(span, before, after):
+    starts = [m.start() - len(before) for m in personal.NEEDED.finditer(before + span + after)]
+    if any(law(span) for law in personal.HOLDS):
+        assert any(0 <= a < len(span) for a in starts)
+
+
+@pytest.mark.parametrize("size", [20, 47, 48, 49, 60, 95, 96, 97, 200, 1000])
+def test_spans_of_any_length_anywhere_are_found(size, monkeypatch):
+    def decode(model, texts, window):  # tags runs of x, @ and full stops as addresses, as far as a window shows them
+        assert all(len(t) <= window for t in texts)
+        return [[(0, *m.span(), 0.9) for m in re.finditer("[x@.]+", t)] for t in texts]
+
+    monkeypatch.setattr(char_tagger, "decode", decode)
+    for at in range(0, 2 * personal.WINDOW, 5):
+        for sign in (1, size // 2, size - 4):
+            span = "x" * sign + "@" + "x" * (size - sign - 3) + "." + "x"
+            text = "o" * at + span + "o" * 150
+            assert personal.added([text, ""], [[], []], {})[0] == [(0, at, at + size)]
+
+
+@pytest.mark.parametrize("kind,part,may", [(2, "1" * 19, True), (2, "1" * 20, False), (3, "1 " * 15, True), (3, "1 " * 16, False), (1, "1.2.3.4", True), (1, "1.2.3.4.5", False), (1, "00012", True), (1, "1234", False), (0, "1" * 99, True)])
+def test_parts_of_lawful_spans(kind, part, may):
+    assert personal.may_hold(kind, part) is may
+
+
+def test_scores_of_wide_windows(model):
+    """What decoding keeps no states for scores as what training does, and long sums keep chances from 0 to 1."""
+    texts = ["call ann at mail3 dot example dot com " * k for k in (1, 2, 60)] + ["é"]
+    ids, there = char_tagger.padded([char_tagger.char_ids(t) for t in texts], 2400)
+    assert np.allclose(char_tagger.tag_scores(model, ids, there)[there], char_tagger._layers(model, ids, there)[0][there], atol=1e-3)
+    assert all(0 <= s <= 1 + 1e-6 for spans in char_tagger.decode(model, texts, 2400) for *_, s in spans)
+
+
 def test_reconciled_is_the_best_choice():
     rng = random.Random(4)
     for _ in range(200):
