@@ -9,7 +9,8 @@ belong to no span. The model is a few thousand floats.
 Each text is read in windows of `WINDOW` characters, one every half window. Each window is decoded by itself; a span that touches an edge
 inside the text is left to the next window, and one of half a window or more, which that may cut as well, is decoded again in a wider
 window until nothing cuts it. Spans that break their kind's law (below) don't count, and each law asks for a digit, an @ or the word at;
-so a window with none of these can add nothing, and only such windows aren't decoded. Of all windows' spans a text keeps those without overlap whose summed certainty is highest. Spans have to be certain
+so a window with none of these holds no span that counts, and only such windows aren't decoded (nor do they start wider ones). Of all
+windows' spans a text keeps those without overlap whose summed certainty is highest. Spans have to be certain
 (`SURE`) and to keep their kind's own law: at most 255 in an IP's four parts, Luhn's sum for a card, 9 to 15 digits for a phone, an
 at-sign and a dot in some form for an address. Base spans stay; the tagger adds only what doesn't overlap one.
 
