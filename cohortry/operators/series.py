@@ -19,6 +19,8 @@ from .relational import match, union
 
 AGGS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}
 STEP = {"s": "interval 1 second", "min": "interval 1 minute", "h": "interval 1 hour", "D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "Y": "interval 1 year"}
+#: Seconds of time that label_intervals puts in order at once.
+SPAN_S = 600
 
 
 def _finite(c: str) -> Column:
@@ -368,21 +370,27 @@ def add_events(df: DataFrame, events: DataFrame, date_col: str, event_date: str,
 def label_intervals(points: DataFrame, intervals: DataFrame, time_col: str, start: str = "start_ts", end: str = "end_ts", on: Sequence[str] = (), days: bool = True) -> DataFrame:
     """points with is_anomaly: inside an interval, ends included, of the same values of `on`.
 
-    Intervals are spread over the days that they touch and met on them, so it's an equi-join whatever the numbers; `days=False`
-    compares each with each, for a handful of intervals.
+    A time is inside one if the latest end of the intervals that start by then isn't earlier. Times and starts are put in order within spans
+    of ten minutes, and the latest end of all earlier spans is carried into each, so the work grows with the rows, however many intervals
+    overlap and however long they are; `days=False` compares each with each, for a handful of intervals.
     """
-    iv = intervals.select(*on, F.col(start).cast("timestamp").alias("_a"), F.col(end).cast("timestamp").alias("_b"))
+    iv = intervals.select(*on, F.col(start).cast("timestamp").alias("_a"), F.col(end).cast("timestamp").alias("_b")).where("_a <= _b")
     rows = points.withColumn("_t", F.col(time_col).cast("timestamp"))
-    keys = list(on)
+    keys = [*on, "_t"]
+    times = rows.where("_t is not null").select(*keys)
     if days:
-        iv = iv.where("_a <= _b").withColumn("_day", F.explode(F.expr("sequence(to_date(_a), to_date(_b), interval 1 day)")))
-        rows = rows.withColumn("_day", F.to_date("_t"))
-        keys = [*keys, "_day"]
-    # of the intervals of a day the ones that matter are those that cover the time
-    hits = rows.select(*keys, "_t").distinct().alias("r").join(iv.alias("i"), [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys] + [F.col("_t") >= F.col("_a"), F.col("_t") <= F.col("_b")], "left_semi")
-    marks = hits.select(*keys, "_t").withColumn("is_anomaly", F.lit(True))
-    out = match(rows, marks, [*keys, "_t"], "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
-    return out.drop("_t", "_day")
+        # each time once, with the latest end of the intervals that start at it
+        ends = times.withColumn("_b", F.lit(None).cast("timestamp")).union(iv.select(*on, "_a", "_b")).groupBy(*keys).agg(F.max("_b").alias("_b"))
+        ends = ends.withColumn("_span", F.floor(F.col("_t").cast("long") / SPAN_S))
+        before = F.max("_b").over(W.partitionBy(*on).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+        carried = ends.groupBy(*on, "_span").agg(F.max("_b").alias("_b")).select(*on, F.lit(None).cast("timestamp").alias("_t"), before.alias("_b"), "_span")
+        # what is carried has no time and so comes first
+        seen = F.max("_b").over(W.partitionBy(*on, "_span").orderBy(F.asc_nulls_first("_t")).rowsBetween(W.unboundedPreceding, 0))
+        hits = ends.union(carried).withColumn("_seen", seen).where("_seen >= _t")
+    else:
+        hits = times.distinct().alias("r").join(iv.alias("i"), [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in on] + [F.col("_t") >= F.col("_a"), F.col("_t") <= F.col("_b")], "left_semi")
+    out = match(rows, hits.select(*keys).withColumn("is_anomaly", F.lit(True)), keys, "left")
+    return out.withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False))).drop("_t")
 
 
 def adjust(points: DataFrame, value: str, delta: str | None = None, flag: str = "is_anomaly") -> DataFrame:

@@ -1,6 +1,7 @@
 """Semantics on a few rows: nulls, ties, gaps, missing groups."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -143,6 +144,33 @@ def test_regularize_and_intervals(spark):
         assert [r.is_anomaly for r in series.label_intervals(points, iv, "ts", days=by_days).orderBy("ts").collect()] == [True, False, True, True]
 
 
+def test_labels_of_times(spark):
+    """Against each compared with each: short and very long intervals, ends and times on the borders of spans, times before 1970, nulls."""
+    rng = random.Random(4)
+    at = lambda: datetime(1969, 12, 31) + timedelta(seconds=300 * rng.randrange(600), microseconds=rng.choice([0, 0, 1, 999999]))
+    iv = [(rng.choice(["a", "b", None]), a, a + timedelta(seconds=rng.choice([-60, 0, 1, 599, 600, 3000]))) for a in (at() for _ in range(60))]
+    iv += [("a", datetime(1969, 12, 31, 20), datetime(1970, 1, 1, 6)), ("far", datetime(1900, 1, 1), datetime(1970, 1, 1, 0, 0, 1)), ("a", None, datetime(2000, 1, 1)), ("b", datetime(1960, 1, 1), None)]
+    points = [(i, rng.choice(["a", "b", None, "far", "none"]), rng.choice([at(), at(), rng.choice(iv)[rng.choice([1, 2])]])) for i in range(400)]
+    got = series.label_intervals(spark.createDataFrame(points, "i long, d string, ts timestamp"), spark.createDataFrame(iv, "d string, start_ts timestamp, end_ts timestamp"), "ts", on=["d"])
+    want = {i: t is not None and any(d == k and a is not None and b is not None and a <= t <= b for k, a, b in iv) for i, d, t in points}
+    rows_ = got.collect()
+    assert got.columns == ["i", "d", "ts", "is_anomaly"] and {r.i: r.is_anomaly for r in rows_} == want and len(rows_) == 400
+    assert {(r.d, r.is_anomaly) for r in rows_} >= {(d, x) for d in ("a", "b", None, "far") for x in (True, False)}
+
+
+def test_labels_grow_with_the_rows(spark):
+    """No time is compared with each interval of its day, and no interval is copied for each day that it touches."""
+    points = spark.range(3000).select("id", F.timestamp_seconds(F.col("id") * 2 + 40001).alias("ts"))
+    # all on one day, none over a time; and one of a thousand years
+    iv = spark.range(3000).select(F.timestamp_seconds(F.col("id") * 2 + 40000).alias("start_ts"), F.timestamp_seconds(F.col("id") * 2 + 40000.5).alias("end_ts"))
+    out = series.label_intervals(points, iv.union(spark.sql("SELECT timestamp'0900-01-01', timestamp'1969-12-31'")), "ts")
+    assert out.where("is_anomaly").count() == 0 and out.count() == 3000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    joins = [line.replace("<=>", "=") for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("<" in line or ">" in line for line in joins)
+
+
 def test_evaluate_trims_and_guards(spark):
     for n, kept in ((99, 99), (100, 99)):
         df = spark.createDataFrame([("g", float(i), 0.0, None, None) for i in range(1, n + 1)], "g string, actual double, forecast double, forecast_lower double, forecast_upper double")
